@@ -43,7 +43,7 @@ def fingerprint_tables(columns: DataFrame, by: list[str]) -> DataFrame:
     pair = F.when(~loader_column, F.struct("column_name", "data_type"))
     signature = F.array_join(
         F.transform(
-            F.array_sort(F.collect_list(pair)),
+            F.sort_array(F.collect_list(pair)),
             lambda c: F.concat_ws(":", c["column_name"], c["data_type"]),
         ),
         "|",

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tributary.sources.local import local_frame
+
 # Type groups of the classification.
 TEXTUAL = ("VARCHAR", "TEXT")
 TEMPORAL = ("DATE", "TIMESTAMP")
@@ -104,7 +106,7 @@ def column_manifest(columns: DataFrame, by: list[str]) -> DataFrame:
     """Per table: JSON list of its columns in order."""
     item = F.struct("ordinal_position", "column_name", "data_type")
     ordered = F.transform(
-        F.array_sort(F.collect_list(item)),
+        F.sort_array(F.collect_list(item)),
         lambda c: F.struct(
             c["column_name"].alias("column_name"),
             c["data_type"].alias("data_type"),
@@ -459,7 +461,7 @@ def list_models(metadata: DataFrame, joins: DataFrame) -> DataFrame:
 
 def _listed(condition: Column, *fields: str) -> Column:
     item = F.struct("position", *[F.col(f) for f in fields])
-    ordered = F.array_sort(F.collect_list(F.when(condition, item)))
+    ordered = F.sort_array(F.collect_list(F.when(condition, item)))
     return F.transform(ordered, lambda x: x.dropFields("position"))
 
 
@@ -482,10 +484,10 @@ def model_details(
         _listed(F.col("role") == "measure", "name", "type", "agg", "source_column").alias("measures"),
     )
     calc_lists = calcs.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("name", "label", "sql", "format"))).alias("calculated_measures")
+        F.sort_array(F.collect_list(F.struct("name", "label", "sql", "format"))).alias("calculated_measures")
     )
     join_lists = joins.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("to", "type", "left_on", "right_on"))).alias("joins")
+        F.sort_array(F.collect_list(F.struct("to", "type", "left_on", "right_on"))).alias("joins")
     )
     return fields.join(calc_lists, key, "left").join(join_lists, key, "left")
 
@@ -537,7 +539,7 @@ def readiness(manifest: DataFrame, catalog: DataFrame, columns: DataFrame) -> Da
 
 def tenant_readiness(states: DataFrame, tenant: str) -> DataFrame:
     """One row for a tenant, ``error`` when nothing is known about it."""
-    wanted = states.sparkSession.createDataFrame([(tenant,)], "tenant_slug string")
+    wanted = local_frame(states.sparkSession, [(tenant,)], "tenant_slug string")
     joined = wanted.join(states, "tenant_slug", "left")
     return joined.withColumns(
         {

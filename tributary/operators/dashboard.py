@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.plans.model import SemanticModel
+from tributary.sources.local import local_frame
 
 TIME_TYPES = ("date", "timestamp", "timestamp_epoch")
 # Name fragments that decide a metric's format.
@@ -44,7 +45,7 @@ def period_over_period(model: SemanticModel, as_of: dt.date, days: int = 30, top
     time_dim = next((d for d in model.dimensions.values() if d.type in TIME_TYPES), None)
     measures = list(model.measures.values())[:top]
     if time_dim is None or not measures:
-        return model.df.sparkSession.createDataFrame([], _POP_SCHEMA)
+        return local_frame(model.df.sparkSession, [], _POP_SCHEMA)
     start = _boundary(time_dim.type, as_of - dt.timedelta(days=days))
     older = _boundary(time_dim.type, as_of - dt.timedelta(days=2 * days))
     moment = F.col(time_dim.name)

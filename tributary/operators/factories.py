@@ -12,6 +12,7 @@ import tributary.operators.analytics  # noqa: F401
 import tributary.operators.orders  # noqa: F401
 from tributary.operators.users import users
 from tributary.registry import engine, sources_for
+from tributary.sources.local import broadcast_small
 from tributary.sources.sinks import conform, empty_star
 
 TABLE_OF = {
@@ -36,14 +37,26 @@ def enabled_pairs(sources: DataFrame, subject: str, first_only: bool) -> DataFra
     return known.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
 
 
-def for_source(rows: DataFrame, pairs: DataFrame, source: str) -> DataFrame:
+#: Up to this many (tenant, source) pairs become literal predicates on the scans.
+PAIR_LIMIT = 5_000
+
+
+def for_source(rows: DataFrame, pairs: DataFrame, source: str, known: list | None) -> DataFrame:
     """Rows of the tenants that use this source.
 
-    A semi join on the tenant; the pair list is one row per tenant and is broadcast by
-    the planner only while its measured size is under the threshold.
+    With few pairs the tenants are a literal list, which prunes ``tenant_slug`` partitions
+    and needs no join.  With many, a semi join on the tenant whose small side is broadcast
+    after its size was checked.
     """
+    if known is not None:
+        return rows.filter(F.col("tenant_slug").isin([p["tenant_slug"] for p in known if p["source"] == source]))
     tenants = pairs.filter(F.col("source") == source).select("tenant_slug")
-    return rows.join(tenants, "tenant_slug", "left_semi")
+    return rows.join(broadcast_small(tenants), "tenant_slug", "left_semi")
+
+
+def _few(pairs: DataFrame) -> list | None:
+    found = pairs.select("tenant_slug", "source").limit(PAIR_LIMIT + 1).collect()
+    return found if len(found) <= PAIR_LIMIT else None
 
 
 def _assemble(
@@ -55,11 +68,12 @@ def _assemble(
     **extra,
 ) -> DataFrame:
     pairs = enabled_pairs(sources, subject, first_only)
+    known = _few(pairs)
     table = TABLE_OF[subject]
     parts = [
-        conform(engine(source, subject)(for_source(rows, pairs, source), **extra), table)
+        conform(engine(source, subject)(for_source(rows, pairs, source, known), **extra), table)
         for source, rows in frames.items()
-        if source in sources_for(subject)
+        if source in sources_for(subject) and (known is None or any(p["source"] == source for p in known))
     ]
     return reduce(DataFrame.unionByName, parts) if parts else empty_star(spark, table)
 
@@ -94,5 +108,5 @@ def build_users(spark, events: DataFrame, orders: DataFrame, sources: DataFrame)
     pairs = enabled_pairs(sources, "users", first_only=True).select(
         "tenant_slug", F.col("source").alias("source_platform")
     )
-    own = events.join(pairs, ["tenant_slug", "source_platform"], "left_semi")
+    own = events.join(broadcast_small(pairs), ["tenant_slug", "source_platform"], "left_semi")
     return users(own, orders)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tributary.functions.keys import NULL_MARKER, fingerprint_tables, surrogate_key
 from tributary.operators.latest import latest_per
 from tributary.schemas import HUB, HUB_DIGEST
+from tributary.sources.local import local_frame
 from tributary.sources.connectors import SOURCES
 from tributary.sources.sinks import path_exists, read_hub, write_hub
 from tributary.sources.tenants import configured_tables
@@ -185,7 +186,7 @@ def schema_manifest(spark: SparkSession, tenant: str, tables: dict[str, DataFram
     """One row per raw table: its schema as JSON; metadata only, no data is read."""
     rows = [(tenant, name, df.schema.json()) for name, df in tables.items()]
     schema = "tenant_slug string, table_name string, source_schema string"
-    return spark.createDataFrame(rows, schema).withColumn("updated_at", _now(at))
+    return local_frame(spark, rows, schema).withColumn("updated_at", _now(at))
 
 
 # Landing types by semantic role.
@@ -218,7 +219,7 @@ def raw_manifest(columns: DataFrame, by: list[str] | None = None) -> DataFrame:
     keyed = F.max(F.when(is_key, F.struct("ordinal_position", "column_name")))
 
     def listed(condition: Column, item: Column) -> Column:
-        ordered = F.array_sort(F.collect_list(F.when(condition, item)))
+        ordered = F.sort_array(F.collect_list(F.when(condition, item)))
         return F.transform(ordered, lambda x: x.dropFields("ordinal_position"))
 
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tributary.functions.casts import DATE_LAYOUTS, parse_layout
 from tributary.schemas import catalogue_type
+from tributary.sources.local import local_frame
 
 TOP_VALUES_CEILING = 20  # fixed value: columns with more distinct values have no value list
 MEMBERS_CEILING = 50  # fixed value
@@ -131,7 +132,7 @@ def top_values(
     allowed = few_valued(df, ceiling)
     chosen = [c for c in (columns or df.columns) if c in allowed]
     if not chosen:
-        return df.sparkSession.createDataFrame([], "column_name string, value string, count bigint")
+        return local_frame(df.sparkSession, [], "column_name string, value string, count bigint")
     order = Window.partitionBy("column_name").orderBy(F.desc("count"), F.asc("value"))
     ranked = value_counts(df, chosen).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).drop("rank")
@@ -174,7 +175,7 @@ def members(df: DataFrame, profile: DataFrame, k: int = 10) -> DataFrame:
     )
     chosen = [r["column_name"] for r in wanted.select("column_name").coalesce(1).collect()]
     if not chosen:
-        return df.sparkSession.createDataFrame([], "column_name string, value string")
+        return local_frame(df.sparkSession, [], "column_name string, value string")
     order = Window.partitionBy("column_name").orderBy("value")
     ranked = value_counts(df, chosen).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).select("column_name", "value")

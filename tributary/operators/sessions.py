@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tributary.functions.attribution import earliest
 from tributary.functions.funnel import STEP_COLUMNS, funnel_position, step_counts
+from tributary.sources.local import broadcast_small
 from tributary.sources.sinks import conform
 
 FIRST_TOUCH = (
@@ -55,7 +56,7 @@ def with_conversions(events: DataFrame, conversions: DataFrame | list[str] | Non
         lists = conversions.select(
             "tenant_slug", F.col("source").alias("source_platform"), "conversion_events"
         )
-        joined = events.join(lists, ["tenant_slug", "source_platform"], "left")
+        joined = events.join(broadcast_small(lists), ["tenant_slug", "source_platform"], "left")
         listed = F.array_contains("conversion_events", F.col("event_name"))
         return joined.withColumn("is_conversion", F.coalesce(listed, F.lit(False))).drop("conversion_events")
     listed = F.col("event_name").isin(list(conversions or []))

@@ -11,6 +11,7 @@ from tributary.functions.casts import epoch_to_timestamp
 from tributary.operators import catalog
 from tributary.operators.factories import TABLE_OF
 from tributary.schemas import COLUMNS, catalogue_type
+from tributary.sources.local import local_frame
 
 
 @dataclass(frozen=True)
@@ -225,7 +226,7 @@ def columns_of_frames(spark: SparkSession, frames: Mapping[str, DataFrame], tena
         for position, f in enumerate(df.schema.fields, start=1):
             data_type = catalogue_type(f.name, f.dataType.simpleString())
             rows.append((tenant, kind, subject, f"{prefix}_{tenant}__{subject}", f.name, data_type, position))
-    return spark.createDataFrame(rows, COLUMNS)
+    return local_frame(spark, rows, COLUMNS)
 
 
 def _bind(row, df: DataFrame) -> SemanticModel:

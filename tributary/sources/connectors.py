@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tributary.sources.local import local_frame
+
 # Source, version, hub model id, objects.
 CONNECTORS = (
     ("linkedin_ads", "v202401", "linkedin_ads_api_v1", "campaigns ad_analytics ad_analytics_by_campaign"),
@@ -31,8 +33,8 @@ SOURCES = tuple(c[0] for c in CONNECTORS)
 
 def connector_catalog(spark: SparkSession) -> DataFrame:
     """One row per (source, object); ``hub_table_id`` is the hub id of that object."""
-    base = spark.createDataFrame(
-        CONNECTORS, "source_name string, version string, master_model_id string, objects string"
+    base = local_frame(
+        spark, CONNECTORS, "source_name string, version string, master_model_id string, objects string"
     )
     exploded = base.select(
         "source_name",

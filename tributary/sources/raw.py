@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tributary.sources.local import local_frame
+
 DEFAULT_LOAD_ID = "manual_run"  # fixed value
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -72,7 +74,7 @@ def physical_tables(spark: SparkSession) -> DataFrame:
         for table in spark.catalog.listTables(database.name)
     ]
     schema = "table_catalog string, table_schema string, table_name string"
-    return spark.createDataFrame(rows, schema)
+    return local_frame(spark, rows, schema)
 
 
 def tenant_inventory(tables: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tributary.sources.local import local_frame
 from tributary.schemas import HUB, HUB_DIGEST, STAR
 
 HUB_PARTITIONS = ("tenant_slug", "source_platform")
@@ -74,7 +75,7 @@ def persist(df: DataFrame, name: str, kind: str) -> DataFrame:
 
 def empty_star(spark: SparkSession, table: str) -> DataFrame:
     """Typed zero-row relation for a star table without any enabled source."""
-    return spark.createDataFrame([], STAR[table])
+    return local_frame(spark, [], STAR[table])
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -111,4 +112,4 @@ def read_current(spark: SparkSession, path: str, schema: T.StructType | None = N
         return reader.parquet(committed[-1])
     if schema is None:
         raise FileNotFoundError(path)
-    return spark.createDataFrame([], schema)
+    return local_frame(spark, [], schema)

@@ -388,7 +388,7 @@ def run_results(spark, sf) -> DataFrame:
     obj = _pick(F.col("o_orderkey") % 5, "orders", "campaigns", "events", "facebook_insights", "ads_reports_daily")
     kind = _pick(F.col("o_orderkey") % 4, "model", "test", "seed", "FRESHNESS")
     node = F.when(
-        F.col("o_orderkey") % 2 == 0, F.concat(F.lit("fct_"), tenant, F.lit("__orders"))
+        F.expr("o_orderkey div 4") % 2 == 0, F.concat(F.lit("fct_"), tenant, F.lit("__orders"))
     ).otherwise(F.concat(F.lit("stg_"), tenant, F.lit("__shopify_"), obj))
     started = F.col("o_orderdate").cast("timestamp") + F.expr("make_dt_interval(0, 0, 0, o_orderkey % 86400)")
     return table(spark, sf, "orders").select(

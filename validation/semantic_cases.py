@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,6 +28,7 @@ CONTRACT = [
     for subject, table in TABLE_OF.items()
     for i, f in enumerate(STAR[table].fields, start=1)
 ]
+CONTRACT_FIELDS = ("prefix", "subject", "column_name", "data_type", "ordinal_position")
 
 
 def _tenant():
@@ -41,18 +43,8 @@ def _has(subject):
 
 def physical_columns(spark, sf) -> DataFrame:
     """information_schema-like rows (table_schema, table_name, column_name, …) of all tenants."""
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(prefix).alias("prefix"),
-                F.lit(subject).alias("subject"),
-                F.lit(column).alias("column_name"),
-                F.lit(kind).alias("data_type"),
-                F.lit(position).alias("ordinal_position"),
-            )
-            for prefix, subject, column, kind, position in CONTRACT
-        ]
-    )
+    shape = "array<struct<prefix:string,subject:string,column_name:string,data_type:string,ordinal_position:int>>"
+    items = F.from_json(F.lit(json.dumps([dict(zip(CONTRACT_FIELDS, c, strict=True)) for c in CONTRACT])), shape)
     exploded = src.table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.explode(items).alias("x"))
     return exploded.filter(_has(F.col("x.subject"))).select(
         F.lit("main").alias("table_schema"),
@@ -65,7 +57,12 @@ def physical_columns(spark, sf) -> DataFrame:
 
 def physical_tables(spark, sf) -> DataFrame:
     """Star tables of all tenants plus tables whose names carry no tenant."""
-    star = physical_columns(spark, sf).select("table_schema", "table_name").distinct()
+    names = F.from_json(F.lit(json.dumps(sorted({c[:2] for c in CONTRACT}))), "array<array<string>>")
+    exploded = src.table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.explode(names).alias("x"))
+    star = exploded.filter(_has(F.col("x")[1])).select(
+        F.lit("main").alias("table_schema"),
+        F.concat(F.col("x")[0], F.lit("_"), _tenant(), F.lit("__"), F.col("x")[1]).alias("table_name"),
+    )
     odd = src.table(spark, sf, "supplier").select(
         F.lit("main").alias("table_schema"), F.concat(F.lit("fct_"), F.lower("s_name")).alias("table_name")
     )

@@ -84,7 +84,7 @@ RUNS = """
 runs AS (
   SELECT strftime(o_orderdate, '%Y-%m-%d') AS invocation_id,
     lower(kind) || '.proj.' || tenant || '.' || obj || (o_custkey % 10) AS node_id,
-    CASE WHEN o_orderkey % 2 = 0 THEN 'fct_' || tenant || '__orders' ELSE 'stg_' || tenant || '__shopify_' || obj END AS node_name,
+    CASE WHEN (o_orderkey // 4) % 2 = 0 THEN 'fct_' || tenant || '__orders' ELSE 'stg_' || tenant || '__shopify_' || obj END AS node_name,
     kind AS resource_type, status,
     CASE WHEN status <> 'success' THEN o_orderpriority END AS message, o_custkey AS rows_affected,
     o_totalprice / 100000.0::DOUBLE AS execution_time_seconds,

@@ -8,6 +8,7 @@ from tributary.functions.attribution import earliest_value
 from tributary.functions.funnel import funnel_position, step_counts
 from tributary.operators import ads, analytics, factories, orders as store, sessions as ses, users as usr
 from tributary.operators.unpack import SPECS, explode_line_items, unpack
+from tributary.sources.local import local_frame
 from tributary.sources.tenants import tenant_sources
 from validation import inputs as src, sqltext as sql
 from validation.case import case
@@ -414,7 +415,7 @@ MANIFEST = [
 
 
 def config(spark) -> DataFrame:
-    rows = spark.createDataFrame(MANIFEST, "tenant_slug string, status string, sources_config string")
+    rows = local_frame(spark, MANIFEST, "tenant_slug string, status string, sources_config string")
     return tenant_sources(rows)
 
 
@@ -427,7 +428,8 @@ CONVERSION_BY_TENANT = "((tenant_slug = 't0' AND event_name = 'purchase') OR (te
     CAST(sum(funnel_conversion_count) AS BIGINT) AS conversions FROM sessions GROUP BY 1, 2""",
 )
 def ses_9(spark, sf):
-    lists = spark.createDataFrame(
+    lists = local_frame(
+        spark,
         [("t0", "google_analytics", ["purchase"]), ("t1", "google_analytics", ["purchase", "add_to_cart"]), ("t2", "google_analytics", [])],
         "tenant_slug string, source string, conversion_events array<string>",
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import validation.hub_cases  # noqa: F401
+import validation.observability_cases  # noqa: F401
 import validation.semantic_cases as semantic_cases
 import validation.star_cases  # noqa: F401
 from tributary.session import apply_settings
