@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
-
-def earliest(value: str, ordering: str) -> Column:
-    """Partial state: smallest (time, value) pair over rows that carry both.
+def earliest(value: str, ordering: str) -> str:
+    """SQL of the partial state: smallest (time, value) pair over rows that carry both.
 
     Ties in time resolve to the smallest value, so the result depends on the rows
     only and not on how they are partitioned.
     """
-    present = F.col(value).isNotNull() & F.col(ordering).isNotNull()
-    pair = F.struct(F.col(ordering).alias("at"), F.col(value).alias("value"))
-    return F.min(F.when(present, pair))
+    return (
+        f"min(CASE WHEN `{value}` IS NOT NULL AND `{ordering}` IS NOT NULL"
+        f" THEN struct(`{ordering}` AS at, `{value}` AS value) END)"
+    )
 
 
-def earliest_value(value: str, ordering: str) -> Column:
-    return earliest(value, ordering).getField("value")
+def earliest_value(value: str, ordering: str) -> str:
+    return f"{earliest(value, ordering)}.value"

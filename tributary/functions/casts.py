@@ -8,18 +8,14 @@ from pyspark.sql import Column, functions as F
 DATE_LAYOUTS = ("MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd", "yyyy/MM/dd", "MM-dd-yyyy")
 
 
-def to_long(text: Column) -> Column:
-    """Whole numbers, also when written with decimals ("23.0" -> 23)."""
-    rounded = F.round(text.try_cast("decimal(38,9)"), 0)
-    return F.coalesce(text.try_cast("bigint"), rounded.try_cast("bigint"))
-
-
-def to_type(text: Column, kind: str) -> Column:
+def typed(text: str, kind: str) -> str:
+    """SQL of a safe cast; whole numbers may be written with decimals ("23.0" -> 23)."""
     if kind == "string":
         return text
     if kind == "bigint":
-        return to_long(text)
-    return text.try_cast(kind)
+        rounded = f"round(try_cast({text} AS decimal(38,9)), 0)"
+        return f"coalesce(try_cast({text} AS bigint), try_cast({rounded} AS bigint))"
+    return f"try_cast({text} AS {kind})"
 
 
 def parse_layout(text: Column, layout: str) -> Column:

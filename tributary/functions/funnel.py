@@ -19,14 +19,12 @@ STEP_COLUMNS = {
 }
 
 
-def funnel_position(event_name: Column) -> Column:
-    """1..6 for funnel events, 0 otherwise (NULL names included)."""
-    position = F.array_position(F.array(*map(F.lit, FUNNEL_EVENTS)), event_name)
-    return F.coalesce(position, F.lit(0)).cast("bigint")
+def funnel_position(event_name: str) -> str:
+    """SQL: 1..6 for funnel events, 0 otherwise (NULL names included)."""
+    steps = ", ".join(f"'{e}'" for e in FUNNEL_EVENTS)
+    return f"coalesce(array_position(array({steps}), {event_name}), 0L)"
 
 
-def step_counts(event_name: Column) -> list[Column]:
+def step_counts(event_name: str) -> list[Column]:
     """One count column per step."""
-    return [
-        F.count(F.when(event_name == name, 1)).alias(column) for column, name in STEP_COLUMNS.items()
-    ]
+    return [F.expr(f"count_if({event_name} = '{name}') AS {column}") for column, name in STEP_COLUMNS.items()]

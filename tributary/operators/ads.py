@@ -9,15 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 from tributary.registry import register_engine
 from tributary.sources.sinks import conform
 
-# Which unpacked columns differ from the star names, per platform, and
-# which star columns the platform cannot fill (account- or campaign-level reports).
-RENAMED = {
-    "facebook_ads": {"adset_id": "ad_group_id"},
-    "instagram_ads": {"adset_id": "ad_group_id"},
-}
-UNAVAILABLE = {
-    "bing_ads": ("campaign_id", "ad_group_id", "ad_id", "conversions"),
-    "linkedin_ads": ("ad_group_id", "ad_id"),
+# Star columns that have another name in a platform's unpacked rows, or
+# that the platform cannot fill (account- or campaign-level reports).
+OVERRIDES = {
+    "facebook_ads": {"ad_group_id": "adset_id"},
+    "instagram_ads": {"ad_group_id": "adset_id"},
+    "bing_ads": dict.fromkeys(("campaign_id", "ad_group_id", "ad_id", "conversions"), "NULL"),
+    "linkedin_ads": dict.fromkeys(("ad_group_id", "ad_id"), "NULL"),
 }
 AD_SOURCES = (
     "facebook_ads",
@@ -42,8 +40,7 @@ CAMPAIGN_OBJECT = {s: "campaigns" for s in AD_SOURCES} | {"amazon_ads": "sponsor
 
 def ad_performance(rows: DataFrame, source: str) -> DataFrame:
     """Projection to the fact's columns; what the platform lacks is a typed NULL."""
-    named = rows.drop(*UNAVAILABLE.get(source, ())).withColumnsRenamed(RENAMED.get(source, {}))
-    return conform(named, "fct_ad_performance")
+    return conform(rows, "fct_ad_performance", **OVERRIDES.get(source, {}))
 
 
 def campaigns(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tributary.functions.casts import UNITS_PER_SECOND
 from tributary.operators.sessions import SessionInput, native_sessions, sessionize
@@ -12,27 +10,19 @@ from tributary.operators.users import users
 from tributary.registry import register_engine
 from tributary.sources.sinks import conform
 
-NO_TRANSACTION = "N/A"  # fixed value
-
-
-def _real_transaction() -> Column:
-    transaction = F.col("transaction_id")
-    return F.when(transaction != NO_TRANSACTION, transaction)
+# Fixed value: the platform's text for "no transaction" is 'N/A'.
+REAL_TRANSACTION = "nullif(transaction_id, 'N/A')"
 
 
 @register_engine("google_analytics", "events")
 def google_analytics_events(rows: DataFrame) -> DataFrame:
     """Order id and total only for events that carry a real transaction."""
-    order = _real_transaction()
     return conform(
-        rows.withColumns(
-            {
-                "session_id": F.col("ga_session_id"),
-                "order_id": order,
-                "order_total": F.when(order.isNotNull(), F.col("purchase_revenue")),
-            }
-        ),
+        rows,
         "fct_events",
+        session_id="ga_session_id",
+        order_id=REAL_TRANSACTION,
+        order_total=f"CASE WHEN {REAL_TRANSACTION} IS NOT NULL THEN purchase_revenue END",
     )
 
 
@@ -44,21 +34,14 @@ def amplitude_events(rows: DataFrame) -> DataFrame:
 @register_engine("mixpanel", "events")
 def mixpanel_events(rows: DataFrame) -> DataFrame:
     """No session id; order fields come from the event properties."""
-    named = rows.withColumns(
-        {
-            "session_id": F.lit(None).cast("string"),
-            "order_id": F.col("prop_order_id"),
-            "order_total": F.col("prop_revenue"),
-        }
-    )
-    return conform(named, "fct_events")
+    return conform(rows, "fct_events", session_id="NULL", order_id="prop_order_id", order_total="prop_revenue")
 
 
 def session_input(source: str, gap_seconds: int = 1800) -> SessionInput:
     revenue, transaction = {
-        "google_analytics": (F.col("purchase_revenue"), _real_transaction()),
-        "mixpanel": (F.col("prop_revenue"), F.col("prop_order_id")),
-        "amplitude": (F.lit(0.0), F.lit(None).cast("string")),
+        "google_analytics": ("purchase_revenue", REAL_TRANSACTION),
+        "mixpanel": ("prop_revenue", "prop_order_id"),
+        "amplitude": ("0D", "CAST(NULL AS STRING)"),
     }[source]
     return SessionInput(UNITS_PER_SECOND[source], revenue, transaction, gap_seconds)
 

@@ -15,22 +15,20 @@ from tributary.sources.sinks import conform
 
 STORE_SOURCES = ("shopify", "woocommerce", "bigcommerce")
 
-# Unpacked column -> star column.
+# Star column -> unpacked column.
 _NAMES = {
-    "shopify": {"order_created_at": "order_date", "email": "customer_email"},
-    "woocommerce": {"order_created_at": "order_date", "order_status": "financial_status"},
+    "shopify": {"order_date": "order_created_at", "customer_email": "email"},
+    "woocommerce": {"order_date": "order_created_at", "financial_status": "order_status"},
     "bigcommerce": {
-        "order_created_at": "order_date",
-        "order_status": "financial_status",
-        "billing_email": "customer_email",
+        "order_date": "order_created_at",
+        "financial_status": "order_status",
+        "customer_email": "billing_email",
     },
 }
 
 
 def orders(rows: DataFrame, source: str) -> DataFrame:
-    names = _NAMES[source]
-    shadowed = [new for new in names.values() if new in rows.columns]
-    return conform(rows.drop(*shadowed).withColumnsRenamed(names), "fct_orders")
+    return conform(rows, "fct_orders", **_NAMES[source])
 
 
 for _source in STORE_SOURCES:

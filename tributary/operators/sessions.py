@@ -33,11 +33,11 @@ GAP_SECONDS = 1800  # fixed value
 
 @dataclass(frozen=True)
 class SessionInput:
-    """How a platform's unpacked events map to session measures."""
+    """How a platform's unpacked events map to session measures (SQL over event columns)."""
 
     units_per_second: int
-    revenue: Column
-    transaction: Column
+    revenue: str
+    transaction: str
     gap_seconds: int = GAP_SECONDS
 
     @property
@@ -64,18 +64,21 @@ def with_conversions(events: DataFrame, conversions: DataFrame | list[str] | Non
 
 
 def _event_aggregates(source: SessionInput) -> list[Column]:
-    name = F.col("event_name")
-    return [
-        F.min("event_timestamp").alias("session_start_ts"),
-        F.max("event_timestamp").alias("session_end_ts"),
-        F.count(F.lit(1)).alias("events_in_session"),
-        *[earliest(c, "event_timestamp").alias(c) for c in FIRST_TOUCH],
-        F.max(funnel_position(name)).alias("funnel_max_step"),
-        *step_counts(name),
-        F.count(F.when(F.col("is_conversion"), 1)).alias("funnel_conversion_count"),
-        F.sum(F.coalesce(source.revenue, F.lit(0.0))).alias("session_revenue"),
-        F.max(source.transaction).alias("transaction_id"),
-    ]
+    aggregates = {
+        "session_start_ts": "min(event_timestamp)",
+        "session_end_ts": "max(event_timestamp)",
+        "events_in_session": "count(1)",
+        **{c: earliest(c, "event_timestamp") for c in FIRST_TOUCH},
+        "funnel_max_step": f"max({funnel_position('event_name')})",
+        "funnel_conversion_count": "count_if(is_conversion)",
+        "session_revenue": f"sum(coalesce({source.revenue}, 0D))",
+        "transaction_id": f"max({source.transaction})",
+    }
+    return [*_aliased(aggregates), *step_counts("event_name")]
+
+
+def _aliased(expressions: dict[str, str]) -> list[Column]:
+    return [F.expr(f"{sql} AS `{name}`") for name, sql in expressions.items()]
 
 
 def _merged() -> list[Column]:
@@ -83,25 +86,25 @@ def _merged() -> list[Column]:
     smallest = ("session_start_ts", *FIRST_TOUCH)
     largest = ("user_id", "session_end_ts", "funnel_max_step", "transaction_id")
     added = ("events_in_session", *STEP_COLUMNS, "funnel_conversion_count", "session_revenue")
-    return [
-        *[F.min(c).alias(c) for c in smallest],
-        *[F.max(c).alias(c) for c in largest],
-        *[F.sum(c).alias(c) for c in added],
-    ]
+    return _aliased(
+        {c: f"min({c})" for c in smallest} | {c: f"max({c})" for c in largest} | {c: f"sum({c})" for c in added}
+    )
 
 
-def _finish(sessions: DataFrame, source: SessionInput) -> DataFrame:
-    span = (F.col("session_end_ts") - F.col("session_start_ts")).cast("double")
-    columns = {c: F.col(c)["value"] for c in FIRST_TOUCH}
-    columns["session_duration_seconds"] = span / F.lit(float(source.units_per_second))
-    columns["is_conversion_session"] = F.col("funnel_conversion_count") > 0
-    return conform(sessions.withColumns(columns), "fct_sessions")
+def _finish(sessions: DataFrame, source: SessionInput, session_id: str) -> DataFrame:
+    return conform(
+        sessions,
+        "fct_sessions",
+        session_id=session_id,
+        session_duration_seconds=f"CAST(session_end_ts - session_start_ts AS DOUBLE) / {source.units_per_second}D",
+        is_conversion_session="funnel_conversion_count > 0",
+        **{c: f"{c}.value" for c in FIRST_TOUCH},
+    )
 
 
 def slot_summaries(events: DataFrame, source: SessionInput) -> DataFrame:
     """One row per (tenant, platform, user, slot)."""
-    stamp = F.col("event_timestamp")
-    slot = stamp - F.pmod(stamp, F.lit(source.gap).cast("bigint"))
+    slot = F.expr(f"event_timestamp - pmod(event_timestamp, {source.gap}L)")
     return events.withColumn("slot", slot).groupBy(*USER, "slot").agg(
         F.max("user_id").alias("user_id"), *_event_aggregates(source)
     )
@@ -115,13 +118,12 @@ def number_sessions(slots: DataFrame, gap: int) -> DataFrame:
     """
     ordered = Window.partitionBy(*USER).orderBy(F.asc_nulls_last("slot"))
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    previous_end = F.lag("session_end_ts").over(ordered)
     has_previous = F.lag("events_in_session").over(ordered).isNotNull()
+    silence = F.col("session_start_ts") - F.lag("session_end_ts").over(ordered)
     starts = (
         F.when(F.col("slot").isNull(), F.col("events_in_session") - has_previous.cast("bigint"))
-        .when(~has_previous, 1)
-        .when(F.col("session_start_ts") - previous_end > gap, 1)
-        .otherwise(0)
+        .when(has_previous & (silence <= gap), 0)
+        .otherwise(1)
     )
     return slots.withColumn("starts", starts).withColumn("session_number", F.sum("starts").over(running))
 
@@ -134,8 +136,7 @@ def sessionize(
     slots = slot_summaries(with_conversions(events, conversions), source)
     numbered = number_sessions(slots, source.gap)
     merged = numbered.groupBy(*USER, "session_number").agg(*_merged())
-    session_id = F.concat("user_pseudo_id", F.lit("-"), F.col("session_number").cast("string"))
-    return _finish(merged.withColumn("session_id", session_id), source)
+    return _finish(merged, source, "concat(user_pseudo_id, '-', CAST(session_number AS STRING))")
 
 
 def native_sessions(
@@ -146,4 +147,4 @@ def native_sessions(
     """Sessions by the platform's own id; events without one are dropped."""
     kept = with_conversions(events.filter(F.col("session_id").isNotNull()), conversions)
     keys = ("tenant_slug", "source_platform", "session_id", "user_pseudo_id", "user_id")
-    return _finish(kept.groupBy(*keys).agg(*_event_aggregates(source)), source)
+    return _finish(kept.groupBy(*keys).agg(*_event_aggregates(source)), source, "session_id")

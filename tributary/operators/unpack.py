@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tributary.functions.casts import to_type
+from tributary.functions.casts import typed
 
 CARRIED = ("tenant_slug", "source_platform", "tenant_skey", "loaded_at")
 
@@ -241,16 +241,15 @@ def unpack(
     keys = sorted({key for field in spec.fields for key in field.keys})
     shape = T.StructType([T.StructField(key, T.StringType()) for key in keys])
     parsed = rows.withColumn("p", F.from_json("raw_data_payload", shape))
-    return parsed.select(
-        *CARRIED, *[_value(f).alias(f.alias) for f in spec.fields], "raw_data_payload"
-    )
+    fields = [f"{_value(f)} AS `{f.alias}`" for f in spec.fields]
+    return parsed.selectExpr(*CARRIED, *fields, "raw_data_payload")
 
 
-def _value(field: Field) -> Column:
+def _value(field: Field) -> str:
     if field.expression:
-        return F.expr(field.expression)
-    text = F.coalesce(*[F.col(f"p.{key}") for key in field.keys])
-    return to_type(text, field.kind)
+        return field.expression
+    keys = [f"p.`{key}`" for key in field.keys]
+    return typed(keys[0] if len(keys) == 1 else f"coalesce({', '.join(keys)})", field.kind)
 
 
 LINE_ITEM = "array<struct<product_id: string, name: string, quantity: double, price: double>>"

@@ -22,8 +22,8 @@ def user_aggregate(events: DataFrame) -> DataFrame:
         F.max("event_timestamp").alias("last_seen_at"),
         F.count(F.lit(1)).alias("total_events"),
         F.count_distinct("session_id").alias("total_sessions"),
-        earliest_value("geo_country", "event_timestamp").alias("first_geo_country"),
-        earliest_value("device_category", "event_timestamp").alias("first_device_category"),
+        F.expr(f"{earliest_value('geo_country', 'event_timestamp')} AS first_geo_country"),
+        F.expr(f"{earliest_value('device_category', 'event_timestamp')} AS first_device_category"),
     )
 
 
@@ -56,4 +56,4 @@ def users(events: DataFrame, orders: DataFrame) -> DataFrame:
     """user_aggregate LEFT JOIN resolved identities; a customer is a user with an email."""
     resolved = resolve_identities(purchase_links(events), orders)
     joined = user_aggregate(events).join(resolved, ["tenant_slug", "user_pseudo_id"], "left")
-    return conform(joined.withColumn("is_customer", F.col("customer_email").isNotNull()), "dim_users")
+    return conform(joined, "dim_users", is_customer="customer_email IS NOT NULL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tributary.sources.local import local_frame
 from tributary.schemas import HUB, HUB_DIGEST, STAR
@@ -78,15 +78,19 @@ def empty_star(spark: SparkSession, table: str) -> DataFrame:
     return local_frame(spark, [], STAR[table])
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Select and cast to a star table's contract; missing columns are NULL."""
-    present = set(df.columns)
+def conform(df: DataFrame, table: str, **expressions: str) -> DataFrame:
+    """A star table's columns and types from a frame.
 
-    def column(field: T.StructField) -> Column:
-        source = F.col(field.name) if field.name in present else F.lit(None)
-        return source.cast(field.dataType).alias(field.name)
-
-    return df.select([column(f) for f in STAR[table].fields])
+    ``expressions`` gives SQL for columns that are computed or named differently; other
+    columns are taken by name and missing ones are NULL.
+    """
+    present = {c: f"`{c}`" for c in df.columns} | expressions
+    return df.selectExpr(
+        [
+            f"CAST({present.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS `{f.name}`"
+            for f in STAR[table].fields
+        ]
+    )
 
 
 def overwrite_current(df: DataFrame, path: str) -> str:

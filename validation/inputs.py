@@ -32,105 +32,88 @@ EVENT_NAMES = {
     "purchase": "purchase",
     "error": "exception",
 }
+_TOUCH = "traffic_source traffic_medium traffic_campaign geo_country device_category".split()
+
+
+def _pick_sql(index: str, *values: str) -> str:
+    return f"get(array({', '.join(repr(v) for v in values)}), CAST({index} AS INT))"
 
 
 def events_base(spark: SparkSession, sf: str) -> DataFrame:
     """Events with decoded properties, before any connector's shape."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    name = F.coalesce(
-        *[F.when(F.col("event_type") == old, new) for old, new in EVENT_NAMES.items()]
+    names = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in EVENT_NAMES.items())
+    decoded = table(spark, sf, "events").selectExpr(
+        "*", "CAST(get_json_object(props, '$.k') AS INT) AS k", "CAST(ts AS TIMESTAMP) AS moment"
     )
-    moment = F.col("ts").cast("timestamp")
-    bought = F.col("event_type") == "purchase"
-    order = (F.col("event_id") * 3 + F.col("user_id") % 3).cast("string")
-    return (
-        table(spark, sf, "events")
-        .withColumn("k", k)
-        .select(
-            _tenant("user_id").alias("tenant_slug"),
-            name.alias("event_name"),
-            moment.alias("moment"),
-            "user_id",
-            "event_id",
-            "k",
-            F.when(F.col("k") % 10 != 0, _pick(F.col("k") % 4, "google", "direct", "email", "referral")).alias(
-                "traffic_source"
-            ),
-            F.when(F.col("k") % 2 == 0, "cpc").otherwise("organic").alias("traffic_medium"),
-            F.concat(F.lit("Supplier#"), F.lpad((F.col("k") % 100).cast("string"), 9, "0")).alias(
-                "traffic_campaign"
-            ),
-            _pick(F.col("k") % 3, "US", "GB", "DE").alias("geo_country"),
-            _pick(F.col("k") % 2, "mobile", "desktop").alias("device_category"),
-            F.when(bought & (F.col("event_id") % 7 == 0), order).alias("order_id"),
-            F.when(bought, F.col("value")).alias("revenue"),
-        )
+    return decoded.selectExpr(
+        "concat('t', user_id % 3) AS tenant_slug",
+        f"CASE event_type {names} END AS event_name",
+        "moment",
+        "user_id",
+        "event_id",
+        "k",
+        f"CASE WHEN k % 10 <> 0 THEN {_pick_sql('k % 4', 'google', 'direct', 'email', 'referral')} END AS traffic_source",
+        "CASE WHEN k % 2 = 0 THEN 'cpc' ELSE 'organic' END AS traffic_medium",
+        "concat('Supplier#', lpad(CAST(k % 100 AS STRING), 9, '0')) AS traffic_campaign",
+        f"{_pick_sql('k % 3', 'US', 'GB', 'DE')} AS geo_country",
+        f"{_pick_sql('k % 2', 'mobile', 'desktop')} AS device_category",
+        "CASE WHEN event_type = 'purchase' AND event_id % 7 = 0"
+        " THEN CAST(event_id * 3 + user_id % 3 AS STRING) END AS order_id",
+        "CASE WHEN event_type = 'purchase' THEN value END AS revenue",
     )
 
 
 def ga_events(spark: SparkSession, sf: str) -> DataFrame:
     """Unpacked google_analytics rows (microsecond timestamps)."""
-    base = events_base(spark, sf)
-    return base.select(
+    return events_base(spark, sf).selectExpr(
         "tenant_slug",
-        F.lit("google_analytics").alias("source_platform"),
+        "'google_analytics' AS source_platform",
         "event_name",
-        F.date_format("moment", "yyyyMMdd").alias("event_date"),
-        F.unix_micros("moment").alias("event_timestamp"),
-        F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("user_pseudo_id"),
-        F.col("user_id").cast("string").alias("user_id"),
+        "date_format(moment, 'yyyyMMdd') AS event_date",
+        "unix_micros(moment) AS event_timestamp",
+        "concat('u_', user_id) AS user_pseudo_id",
+        "CAST(user_id AS STRING) AS user_id",
         "geo_country",
-        F.lit("Springfield").alias("geo_city"),
+        "'Springfield' AS geo_city",
         "traffic_source",
         "traffic_medium",
         "traffic_campaign",
         "device_category",
-        F.concat_ws("_", F.col("user_id").cast("string"), F.date_format("moment", "yyyy-MM-dd")).alias(
-            "ga_session_id"
-        ),
-        F.coalesce("order_id", F.lit("N/A")).alias("transaction_id"),
-        F.coalesce("revenue", F.lit(0.0)).alias("purchase_revenue"),
-        F.lit("USD").alias("ecommerce_currency"),
+        "concat(user_id, '_', date_format(moment, 'yyyy-MM-dd')) AS ga_session_id",
+        "coalesce(order_id, 'N/A') AS transaction_id",
+        "coalesce(revenue, 0D) AS purchase_revenue",
+        "'USD' AS ecommerce_currency",
     )
 
 
 def mixpanel_events(spark: SparkSession, sf: str) -> DataFrame:
     """Unpacked mixpanel rows (seconds in the source, milliseconds here)."""
-    return events_base(spark, sf).select(
+    return events_base(spark, sf).selectExpr(
         "tenant_slug",
-        F.lit("mixpanel").alias("source_platform"),
+        "'mixpanel' AS source_platform",
         "event_name",
-        (F.unix_seconds("moment") * 1000).alias("event_timestamp"),
-        F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("user_pseudo_id"),
-        F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("user_id"),
-        "traffic_source",
-        "traffic_medium",
-        "traffic_campaign",
-        "geo_country",
-        "device_category",
-        F.col("order_id").alias("prop_order_id"),
-        F.col("revenue").alias("prop_revenue"),
+        "unix_seconds(moment) * 1000 AS event_timestamp",
+        "concat('u_', user_id) AS user_pseudo_id",
+        "concat('u_', user_id) AS user_id",
+        *_TOUCH,
+        "order_id AS prop_order_id",
+        "revenue AS prop_revenue",
     )
 
 
 def amplitude_events(spark: SparkSession, sf: str) -> DataFrame:
     """Unpacked amplitude rows: native session ids, missing for every tenth property."""
-    session = F.concat_ws("_", F.col("user_id").cast("string"), F.date_format("moment", "yyyy-MM-dd"))
-    return events_base(spark, sf).select(
+    return events_base(spark, sf).selectExpr(
         "tenant_slug",
-        F.lit("amplitude").alias("source_platform"),
+        "'amplitude' AS source_platform",
         "event_name",
-        (F.unix_seconds("moment") * 1000).alias("event_timestamp"),
-        F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("user_pseudo_id"),
-        F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("user_id"),
-        F.when(F.col("k") % 10 != 0, session).alias("session_id"),
-        "traffic_source",
-        "traffic_medium",
-        "traffic_campaign",
-        "geo_country",
-        "device_category",
+        "unix_seconds(moment) * 1000 AS event_timestamp",
+        "concat('u_', user_id) AS user_pseudo_id",
+        "concat('u_', user_id) AS user_id",
+        "CASE WHEN k % 10 <> 0 THEN concat(user_id, '_', date_format(moment, 'yyyy-MM-dd')) END AS session_id",
+        *_TOUCH,
         "order_id",
-        F.col("revenue").alias("order_total"),
+        "revenue AS order_total",
     )
 
 
@@ -184,19 +167,18 @@ def raw_amplitude(spark, sf) -> DataFrame:
 
 
 def ads_base(spark: SparkSession, sf: str) -> DataFrame:
-    spend = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return table(spark, sf, "lineitem").select(
-        _tenant("l_orderkey").alias("tenant_slug"),
+    return table(spark, sf, "lineitem").selectExpr(
+        "concat('t', l_orderkey % 3) AS tenant_slug",
         "l_returnflag",
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"),
-        F.col("l_suppkey").cast("string").alias("campaign_id"),
-        (F.col("l_partkey") % 50).cast("string").alias("ad_group_id"),
-        F.col("l_partkey").cast("string").alias("ad_id"),
-        spend.alias("spend"),
-        F.round("l_quantity").cast("bigint").alias("clicks"),
-        (F.round("l_quantity") * 100).cast("bigint").alias("impressions"),
-        F.col("l_linenumber").cast("double").alias("conversions"),
-        F.round(spend * 1_000_000).cast("bigint").alias("cost_micros"),
+        "date_format(l_shipdate, 'yyyy-MM-dd') AS day",
+        "CAST(l_suppkey AS STRING) AS campaign_id",
+        "CAST(l_partkey % 50 AS STRING) AS ad_group_id",
+        "CAST(l_partkey AS STRING) AS ad_id",
+        "l_extendedprice * (1 - l_discount) AS spend",
+        "CAST(round(l_quantity) AS BIGINT) AS clicks",
+        "CAST(round(l_quantity) * 100 AS BIGINT) AS impressions",
+        "CAST(l_linenumber AS DOUBLE) AS conversions",
+        "CAST(round(l_extendedprice * (1 - l_discount) * 1000000) AS BIGINT) AS cost_micros",
     )
 
 
@@ -235,13 +217,11 @@ def flagged_ads(spark, sf, platform: str) -> DataFrame:
 
 def ad_performance(spark, sf) -> DataFrame:
     """Canonical fct_ad_performance of the three flagged platforms, straight from lineitem."""
-    platform = F.coalesce(
-        *[F.when(F.col("l_returnflag") == flag, name) for flag, name in PLATFORM_OF_FLAG.items()]
-    )
-    return ads_base(spark, sf).select(
+    names = " ".join(f"WHEN '{flag}' THEN '{name}'" for flag, name in PLATFORM_OF_FLAG.items())
+    return ads_base(spark, sf).selectExpr(
         "tenant_slug",
-        platform.alias("source_platform"),
-        F.to_date("day").alias("report_date"),
+        f"CASE l_returnflag {names} END AS source_platform",
+        "to_date(day) AS report_date",
         "campaign_id",
         "ad_group_id",
         "ad_id",

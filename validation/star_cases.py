@@ -346,7 +346,7 @@ def ses_4(spark, sf):
 )
 def ses_5(spark, sf):
     return src.ga_events(spark, sf).groupBy("tenant_slug", "user_pseudo_id").agg(
-        *[earliest_value(c, "event_timestamp").alias(c) for c in ses.FIRST_TOUCH]
+        *[F.expr(f"{earliest_value(c, 'event_timestamp')} AS {c}") for c in ses.FIRST_TOUCH]
     )
 
 
@@ -357,7 +357,7 @@ def ses_5(spark, sf):
     AS funnel_position, count(*) AS event_count FROM ga GROUP BY 1, 2, 3""",
 )
 def ses_6(spark, sf):
-    positioned = src.ga_events(spark, sf).withColumn("funnel_position", funnel_position(F.col("event_name")))
+    positioned = src.ga_events(spark, sf).withColumn("funnel_position", F.expr(funnel_position("event_name")))
     return positioned.groupBy("tenant_slug", "event_name", "funnel_position").agg(
         F.count(F.lit(1)).alias("event_count")
     )
@@ -385,7 +385,7 @@ def ses_7(spark, sf):
     + " FROM ga GROUP BY 1, 2",
 )
 def ses_8(spark, sf):
-    return src.ga_events(spark, sf).groupBy("tenant_slug", "user_pseudo_id").agg(*step_counts(F.col("event_name")))
+    return src.ga_events(spark, sf).groupBy("tenant_slug", "user_pseudo_id").agg(*step_counts("event_name"))
 
 
 # Tenant configuration of the cases: t0 and t1 list conversion events, t2 lists none.
