@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Text date layouts, in the order they are tried.
-DATE_LAYOUTS = ("MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd", "yyyy/MM/dd", "MM-dd-yyyy")
+DATE_LAYOUTS = ("M/d/yyyy", "d/M/yyyy", "yyyy-M-d", "yyyy/M/d", "M-d-yyyy")
+
+# A failed parse costs an exception, so texts of another shape are ruled out first.
+_SHAPES = {
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+}
+_ISO_START = r"^\s*\d{4}-\d"
+_NUMBER_START = r"^\s*[-+.0-9iInN]"
 
 
 def typed(text: str, kind: str) -> str:
@@ -19,14 +30,18 @@ def typed(text: str, kind: str) -> str:
 
 
 def parse_layout(text: Column, layout: str) -> Column:
-    """NULL unless the text has exactly the layout's shape."""
-    return F.try_to_timestamp(text, F.lit(layout))
+    """NULL unless the text has exactly the layout's shape and names a real day."""
+    return F.when(text.rlike(_SHAPES[layout]), F.try_to_timestamp(text, F.lit(layout)))
+
+
+def iso_date(text: Column) -> Column:
+    return F.when(text.rlike(_ISO_START), text.try_cast("date"))
 
 
 def to_moment(value: Column) -> Column:
     """Timestamp from text in any accepted layout; native timestamps pass through."""
     text = value.cast("string")
-    attempts = [text.try_cast("timestamp")]
+    attempts = [F.when(text.rlike(_ISO_START), text.try_cast("timestamp"))]
     attempts += [parse_layout(text, layout) for layout in DATE_LAYOUTS]
     return F.coalesce(*attempts)
 
@@ -35,6 +50,10 @@ def to_number(value: Column) -> Column:
     return value.try_cast("double")
 
 
+def text_number(text: Column) -> Column:
+    return F.when(text.rlike(_NUMBER_START), text.try_cast("double"))
+
+
 def epoch_to_timestamp(value: Column, platform: Column) -> Column:
     """Epoch column to timestamp with each platform's own unit."""
     return F.when(platform == "google_analytics", F.timestamp_micros(value)).otherwise(

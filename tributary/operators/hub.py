@@ -136,17 +136,16 @@ def push_into(spark: SparkSession, path: str, batch: DataFrame) -> None:
     pairs they become a static partition filter; otherwise the whole key set is joined.
     """
     batch = with_digest(batch)
-    if not path_exists(spark, path):
-        write_hub(batch, path)
-        return
-    hub = read_hub(spark, path, digest=True)
     pairs = batch.select("tenant_slug", "source_platform").distinct().limit(PAIR_FILTER_LIMIT + 1).collect()
-    if len(pairs) <= PAIR_FILTER_LIMIT:
-        tenants = sorted({p[0] for p in pairs if p[0] is not None})
-        platforms = sorted({p[1] for p in pairs if p[1] is not None})
-        hub = hub.filter(F.col("tenant_slug").isin(tenants) & F.col("source_platform").isin(platforms))
-    fresh = push(hub, batch)
-    write_hub(fresh.select(*HUB.fieldNames(), HUB_DIGEST), path)
+    fresh = batch
+    if path_exists(spark, path):
+        hub = read_hub(spark, path, digest=True)
+        if len(pairs) <= PAIR_FILTER_LIMIT:
+            tenants = sorted({p[0] for p in pairs if p[0] is not None})
+            platforms = sorted({p[1] for p in pairs if p[1] is not None})
+            hub = hub.filter(F.col("tenant_slug").isin(tenants) & F.col("source_platform").isin(platforms))
+        fresh = push(hub, batch)
+    write_hub(fresh.select(*HUB.fieldNames(), HUB_DIGEST), path, one_folder=len(pairs) <= 1)
 
 
 def schema_observations(batch: DataFrame) -> DataFrame:

@@ -23,33 +23,27 @@ def upsert(target: DataFrame | None, fresh: DataFrame, key: list[str]) -> DataFr
     return kept.select(fresh.columns).unionByName(fresh)
 
 
-def _newest_run() -> list[Column]:
-    return [F.desc("run_started_at"), F.desc("extracted_at"), F.asc("status"), F.asc("node_name")]
+STAGED_COLUMNS = (
+    "invocation_id", "dlt_load_id", "node_id", "node_name", "resource_type", "run_result_status",
+    "run_result_message", "rows_affected", "execution_time_seconds", "run_started_at", "run_completed_at",
+    "extracted_at",
+)
+
+
+def newest_runs(staged: DataFrame) -> DataFrame:
+    """Newest row per (invocation, node); the order of arrival does not matter."""
+    order = [F.desc("run_started_at"), F.desc("extracted_at"), F.asc("run_result_status"), F.asc("node_name")]
+    return latest_per(staged, _KEY, order)
 
 
 def stage_run_results(
     current: DataFrame, target: DataFrame | None = None, load_id: str = DEFAULT_LOAD_ID
 ) -> DataFrame:
     """Newest row per (invocation, node), renamed, stamped, upserted."""
-    newest = latest_per(current, _KEY, _newest_run())
-    renamed = stamp_load_id(newest, load_id).withColumnsRenamed(
+    renamed = stamp_load_id(current, load_id).withColumnsRenamed(
         {"status": "run_result_status", "message": "run_result_message"}
     )
-    staged = renamed.select(
-        "invocation_id",
-        "dlt_load_id",
-        "node_id",
-        "node_name",
-        "resource_type",
-        "run_result_status",
-        "run_result_message",
-        "rows_affected",
-        "execution_time_seconds",
-        "run_started_at",
-        "run_completed_at",
-        "extracted_at",
-    )
-    return upsert(target, staged, _KEY)
+    return upsert(target, newest_runs(renamed.select(*STAGED_COLUMNS)), _KEY)
 
 
 def after_high_water(rows: DataFrame, target: DataFrame | None, column: str, target_column: str) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tributary.functions.casts import DATE_LAYOUTS, parse_layout
+from tributary.functions.casts import DATE_LAYOUTS, iso_date, parse_layout, text_number
 from tributary.schemas import catalogue_type
 from tributary.sources.local import local_frame
 
@@ -33,13 +33,18 @@ def _ordered(kind: str) -> bool:
     return not kind.startswith(("array", "map", "struct", "binary", "variant"))
 
 
+def approx_distinct(value: Column) -> Column:
+    """Sketch-based count: one small binary per column and task, exact for few values."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(value.cast("string")))
+
+
 def _stats(df: DataFrame, exact_distinct: bool) -> DataFrame:
     """One row of aggregates, every column in the same scan."""
     aggregates = [F.count(F.lit(1)).alias("n")]
     for i, (name, kind) in enumerate(df.dtypes):
         value = F.col(f"`{name}`")
         countable = value if _ordered(kind) else F.to_json(value) if kind != "binary" else F.hex(value)
-        distinct = F.count_distinct(countable) if exact_distinct else F.approx_count_distinct(countable, 0.02)
+        distinct = F.count_distinct(countable) if exact_distinct else approx_distinct(countable)
         aggregates += [F.count(value).alias(f"filled_{i}"), distinct.alias(f"distinct_{i}")]
         if _ordered(kind):
             aggregates += [F.min(value).alias(f"min_{i}"), F.max(value).alias(f"max_{i}")]
@@ -53,8 +58,8 @@ def _stats(df: DataFrame, exact_distinct: bool) -> DataFrame:
 def _text_checks(value: Column) -> dict[str, Column]:
     checks = {
         "times": F.count_if(value.rlike(TIME_TEXT)),
-        "numbers": F.count(value.try_cast("double")),
-        "dates": F.count(value.try_cast("date")),
+        "numbers": F.count(text_number(value)),
+        "dates": F.count(iso_date(value)),
     }
     for j, layout in enumerate(DATE_LAYOUTS):
         checks[f"layout{j}"] = F.count(parse_layout(value, layout))

@@ -14,6 +14,7 @@ from tributary.operators.analytics import ANALYTICS_SOURCES
 from tributary.operators.hub import pack_payload, push_into
 from tributary.operators.orders import STORE_SOURCES
 from tributary.operators.unpack import SPECS, unpack
+from tributary.schemas import STAR
 from tributary.sources.raw import normalize_landing
 from tributary.sources.sinks import read_hub
 from tributary.sources.connectors import CONNECTORS
@@ -82,26 +83,46 @@ def star_tables(
     }
 
 
-def write_star(tables: Mapping[str, DataFrame], root: str) -> None:
-    """Write every star table partitioned by tenant, each tenant's rows spread by AQE."""
+def write_star(tables: Mapping[str, DataFrame], root: str, tenants: list[str] | None = None) -> None:
+    """Write every star table partitioned by tenant, each tenant's rows spread by AQE.
+
+    With ``tenants`` only their partitions are rebuilt and replaced; without, the whole
+    table is, so tenants that are gone leave nothing behind.
+    """
     for subject, df in tables.items():
+        if tenants is not None:
+            df = df.filter(F.col("tenant_slug").isin(tenants))
         (
             df.hint("rebalance", F.col("tenant_slug"))
             .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static" if tenants is None else "dynamic")
             .partitionBy("tenant_slug")
-            .parquet(f"{root.rstrip('/')}/{factories.TABLE_OF[subject]}")
+            .parquet(star_path(root, subject))
         )
 
 
+def star_path(root: str, subject: str) -> str:
+    return f"{root.rstrip('/')}/{factories.TABLE_OF[subject]}"
+
+
+def read_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The stored star tables; a tenant filter prunes partitions."""
+    return {
+        subject: spark.read.schema(STAR[table]).parquet(star_path(root, subject)).select(*STAR[table].fieldNames())
+        for subject, table in factories.TABLE_OF.items()
+    }
+
+
 def refresh(
-    spark: SparkSession, hub_root: str, star_root: str, tables: list[RawTable], sources: DataFrame
+    spark: SparkSession,
+    hub_root: str,
+    star_root: str,
+    tables: list[RawTable],
+    sources: DataFrame,
+    tenants: list[str] | None = None,
 ) -> dict[str, DataFrame]:
     """Hub first, then the star tables, so fresh rows are visible in the same run."""
     land(spark, hub_root, tables)
     landed = {(t.source, t.object_name) for t in tables}
-    built = star_tables(spark, hub_root, sources, landed)
-    write_star(built, star_root)
-    return {
-        s: spark.read.schema(df.schema).parquet(f"{star_root.rstrip('/')}/{factories.TABLE_OF[s]}")
-        for s, df in built.items()
-    }
+    write_star(star_tables(spark, hub_root, sources, landed), star_root, tenants)
+    return read_star(spark, star_root)

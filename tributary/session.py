@@ -16,7 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # call-site capture costs several round trips per column expression
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -12,22 +12,19 @@ from tributary.schemas import HUB, HUB_DIGEST, STAR
 HUB_PARTITIONS = ("tenant_slug", "source_platform")
 
 
-def write_hub(df: DataFrame, path: str) -> None:
+def write_hub(df: DataFrame, path: str, one_folder: bool = False) -> None:
     """Append hub rows, partitioned by tenant and platform; history is never rewritten.
 
-    The rebalance groups rows by partition folder; adaptive execution then splits a
+    Rows of several folders are rebalanced by folder first: adaptive execution splits a
     folder that holds much of the data over many tasks and merges small ones, so one
-    large tenant is not one task and small tenants do not leave a file per task.
+    large tenant is not one task and small tenants do not leave a file per task.  When
+    all rows belong to one folder they are written where they are, without a shuffle.
     """
     if HUB_DIGEST not in df.columns:
         df = df.withColumn(HUB_DIGEST, F.md5("raw_data_payload"))
-    (
-        df.hint("rebalance", *map(F.col, HUB_PARTITIONS))
-        .write.mode("append")
-        .partitionBy(*HUB_PARTITIONS)
-        .option("mergeSchema", "true")
-        .parquet(path)
-    )
+    if not one_folder:
+        df = df.hint("rebalance", *map(F.col, HUB_PARTITIONS))
+    df.write.mode("append").partitionBy(*HUB_PARTITIONS).option("mergeSchema", "true").parquet(path)
 
 
 def stored_hub_schema() -> T.StructType:

@@ -1,14 +1,20 @@
-"""Run results folded in once per log row, instead of a high-water mark."""
+"""Run results folded in once per log row, instead of a high-water mark.
+
+Each micro-batch is reduced to its newest row per (invocation, node) and appended; the
+current state is the newest row per key over the log.  "Newest" does not depend on the
+order of arrival, so late and repeated deliveries give the same state, and no batch ever
+rewrites what is stored.  ``compact`` replaces a long log by its current state.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tributary.operators.observability import stage_run_results
+from tributary.operators.observability import newest_runs, stage_run_results
 from tributary.schemas import RUN_RESULTS, struct
 from tributary.sources.raw import DEFAULT_LOAD_ID
-from tributary.sources.sinks import overwrite_current, read_current
+from tributary.sources.sinks import overwrite_current
 
 STAGED_RUNS = struct(
     "invocation_id:s dlt_load_id:s node_id:s node_name:s resource_type:s run_result_status:s "
@@ -21,23 +27,23 @@ def runs_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.
     return spark.readStream.format(fmt).schema(schema).load(path)
 
 
-def fold_runs(spark: SparkSession, target_path: str, batch: DataFrame, load_id: str = DEFAULT_LOAD_ID) -> None:
-    """Upsert one batch into the stored runs; an older row never replaces a newer one."""
-    stored = read_current(spark, target_path, STAGED_RUNS)
-    known = stored.withColumnsRenamed({"run_result_status": "status", "run_result_message": "message"})
-    fields = RUN_RESULTS.fieldNames()
-    both = known.select(*fields, "dlt_load_id").unionByName(
-        batch.select(*fields).withColumn("dlt_load_id", F.lit(load_id))
-    )
-    newest = stage_run_results(both.drop("dlt_load_id"), None, load_id)
-    overwrite_current(newest, target_path)
+def fold_runs(log_path: str, batch: DataFrame, load_id: str = DEFAULT_LOAD_ID) -> None:
+    stage_run_results(batch, None, load_id).write.mode("append").parquet(log_path)
+
+
+def current_runs(spark: SparkSession, log_path: str) -> DataFrame:
+    return newest_runs(spark.read.schema(STAGED_RUNS).parquet(log_path))
+
+
+def compact(spark: SparkSession, log_path: str, snapshot_path: str) -> str:
+    return overwrite_current(current_runs(spark, log_path), snapshot_path)
 
 
 def run_results_stream(
-    runs: DataFrame, target_path: str, checkpoint: str, load_id: str = DEFAULT_LOAD_ID, available_now: bool = True
+    runs: DataFrame, log_path: str, checkpoint: str, load_id: str = DEFAULT_LOAD_ID, available_now: bool = True
 ) -> StreamingQuery:
     def write(batch: DataFrame, _batch_id: int) -> None:
-        fold_runs(batch.sparkSession, target_path, batch, load_id)
+        fold_runs(log_path, batch, load_id)
 
     writer = runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

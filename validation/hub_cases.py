@@ -15,7 +15,7 @@ from tributary.sources import raw, sinks, tenants
 from tributary.sources.local import local_frame
 from tributary.sources.connectors import CONNECTORS, SOURCES, connector_catalog
 from tributary.streaming.hub_stream import push_stream, raw_stream
-from tributary.streaming.run_stream import run_results_stream, runs_stream
+from tributary.streaming.run_stream import current_runs, run_results_stream, runs_stream
 from validation import inputs as src, sqltext as sql
 from validation.case import case
 from validation.star_cases import config, ga_sessions_sql
@@ -599,7 +599,7 @@ def str_2(spark, sf):
     for condition in ("year(run_started_at) >= 1997", "year(run_started_at) < 1997", "year(run_started_at) = 1997"):
         runs.filter(condition).write.mode("append").parquet(landing)
         run_results_stream(runs_stream(spark, landing), stored, progress).awaitTermination()
-    return sinks.read_current(spark, stored).select("invocation_id", "node_id", "run_result_status", "rows_affected")
+    return current_runs(spark, stored).select("invocation_id", "node_id", "run_result_status", "rows_affected")
 
 
 __all__ = ["HUB", "SOURCES", "SPECS", "sessions"]
