@@ -16,7 +16,8 @@ _SHAPES = {
     "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
 }
 _ISO_START = r"^\s*\d{4}-\d"
-_NUMBER_START = r"^\s*[-+.0-9iInN]"
+# Words that are numbers.
+NUMBER_WORDS = ("inf", "infinity", "nan")
 
 
 def typed(text: str, kind: str) -> str:
@@ -51,7 +52,9 @@ def to_number(value: Column) -> Column:
 
 
 def text_number(text: Column) -> Column:
-    return F.when(text.rlike(_NUMBER_START), text.try_cast("double"))
+    """Number in a text; only texts that start like one are parsed."""
+    word = F.lower(F.trim(text)).isin(*NUMBER_WORDS)
+    return F.when((text < ":") | word, text.try_cast("double"))
 
 
 def epoch_to_timestamp(value: Column, platform: Column) -> Column:

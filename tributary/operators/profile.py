@@ -35,7 +35,7 @@ def _ordered(kind: str) -> bool:
 
 def approx_distinct(value: Column) -> Column:
     """Sketch-based count: one small binary per column and task, exact for few values."""
-    return F.hll_sketch_estimate(F.hll_sketch_agg(value.cast("string")))
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value))))
 
 
 def _stats(df: DataFrame, exact_distinct: bool) -> DataFrame:
@@ -56,13 +56,15 @@ def _stats(df: DataFrame, exact_distinct: bool) -> DataFrame:
 
 
 def _text_checks(value: Column) -> dict[str, Column]:
+    # a byte comparison rules out words before any pattern is tried
+    digits = F.when(value < ":", value)
     checks = {
-        "times": F.count_if(value.rlike(TIME_TEXT)),
+        "times": F.count_if(digits.rlike(TIME_TEXT)),
         "numbers": F.count(text_number(value)),
-        "dates": F.count(iso_date(value)),
+        "dates": F.count(iso_date(digits)),
     }
     for j, layout in enumerate(DATE_LAYOUTS):
-        checks[f"layout{j}"] = F.count(parse_layout(value, layout))
+        checks[f"layout{j}"] = F.count(parse_layout(digits, layout))
     return checks
 
 

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tributary.operators.hub import pack_payload
@@ -17,6 +19,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+@lru_cache(maxsize=64)
+def _scan_tasks(spark: SparkSession, sf: str, name: str) -> int:
+    return table(spark, sf, name).rdd.getNumPartitions()
+
+
+def spread(spark: SparkSession, sf: str, name: str, columns: str, key: str) -> DataFrame:
+    """Columns of a table; a file with fewer splits than cores is spread over all cores.
+
+    The supplied files are a few megabytes in one row group.  Tables with enough splits
+    are read as they are, without a shuffle.
+    """
+    rows = table(spark, sf, name).select(*columns.split())
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if _scan_tasks(spark, sf, name) < cores else rows
+
+
 def _pick(index: Column, *values: str) -> Column:
     return F.get(F.array(*map(F.lit, values)), index.cast("int"))
 
@@ -42,7 +60,8 @@ def _pick_sql(index: str, *values: str) -> str:
 def events_base(spark: SparkSession, sf: str) -> DataFrame:
     """Events with decoded properties, before any connector's shape."""
     names = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in EVENT_NAMES.items())
-    decoded = table(spark, sf, "events").selectExpr(
+    events = spread(spark, sf, "events", "event_id ts user_id event_type value props", "event_id")
+    decoded = events.selectExpr(
         "*", "CAST(get_json_object(props, '$.k') AS INT) AS k", "CAST(ts AS TIMESTAMP) AS moment"
     )
     return decoded.selectExpr(
@@ -166,8 +185,15 @@ def raw_amplitude(spark, sf) -> DataFrame:
     )
 
 
-def ads_base(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").selectExpr(
+_ADS_COLUMNS = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_returnflag l_shipdate"
+)
+
+
+def ads_base(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
+    """``heavy`` is for cases that pack and parse every row."""
+    lines = spread(spark, sf, "lineitem", _ADS_COLUMNS, "l_orderkey") if heavy else table(spark, sf, "lineitem")
+    return lines.selectExpr(
         "concat('t', l_orderkey % 3) AS tenant_slug",
         "l_returnflag",
         "date_format(l_shipdate, 'yyyy-MM-dd') AS day",
@@ -197,7 +223,7 @@ RAW_AD_COLUMNS = {
 
 
 def raw_ads(spark, sf, platform: str, rows: DataFrame | None = None) -> DataFrame:
-    rows = ads_base(spark, sf) if rows is None else rows
+    rows = ads_base(spark, sf, heavy=True) if rows is None else rows
     pairs = [c.split(":") for c in RAW_AD_COLUMNS[platform].split()]
     return rows.select("tenant_slug", *[F.col(p[0]).alias(p[-1]) for p in pairs])
 
@@ -212,7 +238,7 @@ def unpacked_ads(spark, sf, platform: str, rows: DataFrame | None = None) -> Dat
 def flagged_ads(spark, sf, platform: str) -> DataFrame:
     """Unpacked rows of the platform a return flag stands for."""
     flag = {v: k for k, v in PLATFORM_OF_FLAG.items()}[platform]
-    return unpacked_ads(spark, sf, platform, ads_base(spark, sf).filter(F.col("l_returnflag") == flag))
+    return unpacked_ads(spark, sf, platform, ads_base(spark, sf, heavy=True).filter(F.col("l_returnflag") == flag))
 
 
 def ad_performance(spark, sf) -> DataFrame:

@@ -729,7 +729,7 @@ def qry_22(spark, sf):
 
 @case("qry_22_route_documents", _routed_sql("documents", "doc_id"))
 def qry_22_documents(spark, sf):
-    return route_questions(src.table(spark, sf, "documents"), "text").select("doc_id", "model", "score")
+    return route_questions(src.spread(spark, sf, "documents", "doc_id text", "doc_id"), "text").select("doc_id", "model", "score")
 
 
 def alias_model(spark, sf) -> AliasModel:
