@@ -294,7 +294,8 @@ def discovered_assets(inventory: DataFrame, tenants: DataFrame) -> DataFrame:
     """
     who = tenants.select(F.col("tenant_slug").alias("client_slug"), F.col("status").alias("tenant_status"))
     by_schema = inventory.join(who, F.col("source_schema") == F.col("client_slug"))
-    shapes = who.select(F.regexp_replace("client_slug", "[^_]", "x").alias("mask")).distinct()
+    shaped = who.withColumn("mask", F.regexp_replace("client_slug", "[^_]", "x"))
+    shapes = shaped.select("mask").distinct()
     shapes = shapes.withColumn("slug_length", F.length("mask"))
     # the slug and at least one more character must fit
     fitting = F.filter(
@@ -306,7 +307,7 @@ def discovered_assets(inventory: DataFrame, tenants: DataFrame) -> DataFrame:
         .join(shapes, "slug_length")
         .withColumn("client_slug", _masked(F.col("source_table"), F.col("mask")))
     )
-    by_name = started.join(who, "client_slug").select(by_schema.columns)
+    by_name = started.join(shaped, ["client_slug", "mask"]).select(by_schema.columns)
     only_by_name = by_name.filter(~F.col("source_schema").eqNullSafe(F.col("client_slug")))
     return by_schema.unionByName(only_by_name)
 

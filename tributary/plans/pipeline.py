@@ -16,7 +16,7 @@ from tributary.operators.orders import STORE_SOURCES
 from tributary.operators.unpack import SPECS, unpack
 from tributary.schemas import STAR
 from tributary.sources.raw import normalize_landing
-from tributary.sources.sinks import read_hub
+from tributary.sources.sinks import path_exists, read_hub
 from tributary.sources.connectors import CONNECTORS
 
 
@@ -106,10 +106,11 @@ def star_path(root: str, subject: str) -> str:
 
 
 def read_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The stored star tables; a tenant filter prunes partitions."""
+    """The star tables stored so far; a tenant filter prunes partitions."""
     return {
         subject: spark.read.schema(STAR[table]).parquet(star_path(root, subject)).select(*STAR[table].fieldNames())
         for subject, table in factories.TABLE_OF.items()
+        if path_exists(spark, star_path(root, subject))
     }
 
 
