@@ -12,7 +12,7 @@ import tributary.operators.analytics  # noqa: F401
 import tributary.operators.orders  # noqa: F401
 from tributary.operators.users import users
 from tributary.registry import engine, sources_for
-from tributary.sources.local import broadcast_small
+from tributary.sources.local import broadcast_small, local_frame
 from tributary.sources.sinks import conform, empty_star
 
 TABLE_OF = {
@@ -97,9 +97,15 @@ def build_events(spark, frames: Mapping[str, DataFrame], sources: DataFrame) ->
 
 
 def build_sessions(spark, frames: Mapping[str, DataFrame], sources: DataFrame) -> DataFrame:
-    """First enabled analytics source per tenant, with that source's conversion events."""
-    pairs = enabled_pairs(sources, "sessions", first_only=True)
-    lists = pairs.select("tenant_slug", "source", "conversion_events")
+    """First enabled analytics source per tenant, with that source's conversion events.
+
+    The lists are one row per tenant.  A few are read once and become a local relation of
+    known size; many are broadcast only after their number was checked.
+    """
+    columns = ["tenant_slug", "source", "conversion_events"]
+    lists = enabled_pairs(sources, "sessions", first_only=True).select(columns)
+    found = lists.limit(PAIR_LIMIT + 1).collect()
+    lists = local_frame(spark, found, lists.schema) if len(found) <= PAIR_LIMIT else broadcast_small(lists)
     return _assemble(spark, "sessions", frames, sources, first_only=True, conversions=lists)
 
 

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tributary.functions.attribution import earliest
 from tributary.functions.funnel import STEP_COLUMNS, funnel_position, step_counts
-from tributary.sources.local import broadcast_small
 from tributary.sources.sinks import conform
 
 FIRST_TOUCH = (
@@ -50,13 +49,13 @@ def with_conversions(events: DataFrame, conversions: DataFrame | list[str] | Non
 
     Per-tenant lists arrive as (tenant_slug, source, conversion_events), one row per
     tenant and source, and are joined on the event's own platform; NULL or no list
-    means never.
+    means never.  The caller decides on a broadcast, as it knows how many lists there are.
     """
     if isinstance(conversions, DataFrame):
         lists = conversions.select(
             "tenant_slug", F.col("source").alias("source_platform"), "conversion_events"
         )
-        joined = events.join(broadcast_small(lists), ["tenant_slug", "source_platform"], "left")
+        joined = events.join(lists, ["tenant_slug", "source_platform"], "left")
         listed = F.array_contains("conversion_events", F.col("event_name"))
         return joined.withColumn("is_conversion", F.coalesce(listed, F.lit(False))).drop("conversion_events")
     listed = F.col("event_name").isin(list(conversions or []))

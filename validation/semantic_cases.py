@@ -885,14 +885,23 @@ _TOP = """SELECT column_name, value, count FROM (SELECT *, row_number() OVER (PA
     WHERE rn <= 10"""
 
 
-def _counted(table: str, *columns: str) -> str:
+def _counted(table: str, ceiling: int, *columns: str) -> str:
+    """Value counts of the columns that have at most ``ceiling`` distinct values."""
     return " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM {table} WHERE {c} IS NOT NULL GROUP BY {c}"
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM {table}"
+        f" WHERE {c} IS NOT NULL AND (SELECT count(DISTINCT {c}) FROM {table}) <= {ceiling} GROUP BY {c}"
         for c in columns
     )
 
 
-@case("prf_2_top_values", _TOP.format(_counted("lineitem", "l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus")))
+_LINE_COLUMNS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus",
+)
+_FEW = "CASE WHEN (SELECT count(DISTINCT {0}) FROM lineitem) > 14 THEN 'numerical' ELSE 'categorical' END"
+
+
+@case("prf_2_top_values", _TOP.format(_counted("lineitem", 20, *_LINE_COLUMNS)))
 def prf_2(spark, sf):
     return profile.top_values(src.table(spark, sf, "lineitem"))
 
@@ -928,8 +937,8 @@ _check_case(5, "time_text", "time_text", "is_time_text")
 
 @case(
     "prf_6_categories",
-    """SELECT * FROM (VALUES ('l_orderkey', 'numerical', 'number'), ('l_partkey', 'numerical', 'number'), ('l_suppkey', 'numerical', 'number'),
-    ('l_linenumber', 'categorical', 'number'), ('l_quantity', 'continuous', 'number'), ('l_extendedprice', 'continuous', 'number'),
+    f"""SELECT * FROM (VALUES ('l_orderkey', {_FEW.format('l_orderkey')}, 'number'), ('l_partkey', {_FEW.format('l_partkey')}, 'number'),
+    ('l_suppkey', {_FEW.format('l_suppkey')}, 'number'), ('l_linenumber', {_FEW.format('l_linenumber')}, 'number'), ('l_quantity', 'continuous', 'number'), ('l_extendedprice', 'continuous', 'number'),
     ('l_discount', 'continuous', 'number'), ('l_tax', 'continuous', 'number'), ('l_returnflag', 'categorical', 'string'),
     ('l_linestatus', 'categorical', 'string'), ('l_shipdate', 'temporal', 'timestamp')) v(column_name, category, ingest_type),
     (SELECT count(*) AS row_count FROM lineitem)""",
@@ -942,7 +951,9 @@ def prf_6(spark, sf):
 @case(
     "prf_7_members",
     """SELECT column_name, value FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY value) AS rn FROM ("""
-    + _counted("lineitem", "l_linenumber", "l_returnflag", "l_linestatus")
+    + _counted("lineitem", 14, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    + " UNION ALL "
+    + _counted("lineitem", 49, "l_returnflag", "l_linestatus")
     + ")) WHERE rn <= 10",
 )
 def prf_7(spark, sf):

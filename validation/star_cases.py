@@ -352,7 +352,7 @@ def ses_5(spark, sf):
 
 @case(
     "ses_6_funnel_position",
-    f"""WITH {sql.GA} SELECT tenant_slug, event_name, CASE event_name WHEN 'session_start' THEN 1 WHEN 'view_item' THEN 2
+    f"""WITH {sql.GA} SELECT tenant_slug, event_name, CASE event_name WHEN 'session_start' THEN 1::BIGINT WHEN 'view_item' THEN 2
     WHEN 'add_to_cart' THEN 3 WHEN 'begin_checkout' THEN 4 WHEN 'add_payment_info' THEN 5 WHEN 'purchase' THEN 6 ELSE 0 END
     AS funnel_position, count(*) AS event_count FROM ga GROUP BY 1, 2, 3""",
 )
