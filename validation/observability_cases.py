@@ -191,7 +191,7 @@ def obs_10(spark, sf):
 
 _HEALTH = """
 health AS (SELECT 's' || s_suppkey AS source_name, 'raw_s' || s_suppkey || '_shopify_orders' AS source_table, CASE s_nationkey % 3 WHEN 0 THEN 'warn' WHEN 1 THEN 'pass' ELSE 'error' END AS freshness_status
-  FROM supplier WHERE s_suppkey % 4 <> 3)"""
+  FROM supplier WHERE s_acctbal < 7000)"""
 
 
 def health(spark, sf) -> DataFrame:
@@ -202,7 +202,7 @@ def health(spark, sf) -> DataFrame:
         F.struct(F.lit("runtime error").alias("s"), early().alias("at")), F.struct(newer.alias("s"), late().alias("at"))
     )
     slug = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
-    return src.table(spark, sf, "supplier").filter("s_suppkey % 4 <> 3").select(
+    return src.table(spark, sf, "supplier").filter("s_acctbal < 7000").select(
         slug.alias("source_name"), F.concat(F.lit("raw_"), slug, F.lit("_shopify_orders")).alias("source_table"), F.explode(checks).alias("c")
     ).select("source_name", "source_table", F.col("c.s").alias("freshness_status"), F.col("c.at").alias("generated_at"))
 

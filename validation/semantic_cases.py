@@ -348,7 +348,7 @@ _SEGMENT_STATUS = {"BUILDING": "active", "MACHINERY": "onboarding", "AUTOMOBILE"
 @case(
     "sem_24_readiness",
     f"""WITH {CLASSIFIED}, t AS (SELECT 'c' || c_custkey AS tenant_slug, c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'active'
-      WHEN 'MACHINERY' THEN 'onboarding' ELSE 'pending' END AS status, c_custkey % 4 >= 2 AS has_tables, c_custkey % 4 = 3 AS has_columns FROM customer),
+      WHEN 'MACHINERY' THEN 'onboarding' ELSE 'pending' END AS status, c_nationkey >= 10 AS has_tables, c_nationkey >= 18 AS has_columns FROM customer),
     n AS (SELECT tenant_slug, count(*) AS columns, min(table_name) AS first_table FROM classified GROUP BY 1)
     SELECT t.tenant_slug, has_columns AS is_ready,
       CASE WHEN has_columns THEN 'ready' WHEN has_tables THEN 'cataloging' WHEN status = 'onboarding' THEN 'modeling'
@@ -360,9 +360,9 @@ def sem_24(spark, sf):
     status = F.when(F.col("c_mktsegment") == "BUILDING", "active").when(F.col("c_mktsegment") == "MACHINERY", "onboarding")
     customers = src.table(spark, sf, "customer").withColumn("tenant_slug", _tenant())
     manifest = customers.select("tenant_slug", status.otherwise("pending").alias("status"))
-    stage = customers.select("tenant_slug", (F.col("c_custkey") % 4).alias("stage"))
-    tables = semantic(spark, sf).join(stage.filter("stage >= 2"), "tenant_slug", "left_semi")
-    columns = classified_columns(spark, sf).join(stage.filter("stage = 3"), "tenant_slug", "left_semi")
+    stage = customers.select("tenant_slug", "c_nationkey")
+    tables = semantic(spark, sf).join(stage.filter("c_nationkey >= 10"), "tenant_slug", "left_semi")
+    columns = classified_columns(spark, sf).join(stage.filter("c_nationkey >= 18"), "tenant_slug", "left_semi")
     return catalog.readiness(manifest, tables, columns)
 
 
