@@ -195,8 +195,7 @@ def pii_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     kinds = F.transform("spans", lambda s: s["kind"])
-    counts = [F.size(F.array_remove(kinds, k)).cast("long") for k in BASE]
-    counts = [(F.size("spans") - n).alias(f"n_{k}") for k, n in zip(BASE, counts, strict=True)]
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select(
         key,
         *counts,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tributary.llm import pii, tokens
+from tributary.llm import pii, secrets, sharding, simhash, tokens
 from tributary.llm.common import prepare, table
 from tributary.session import apply_settings
 
@@ -27,13 +27,28 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_simhash_near_dedup")
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=3)
+
+
 @query("op3_pii")
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op5_sharding")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_law(table(spark, sf_dir, "documents"), shards=40)
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     counts = tokens.token_counts(table(spark, sf_dir, "documents"), path)
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("op7_secrets")
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
