@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,7 +16,14 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that Python workers hold."""
+    """Bound the Arrow batches that Python workers hold, and let workers import this package.
+
+    The search path helps workers on machines that hold the package where the driver does;
+    elsewhere it is installed or shipped with ``--py-files`` as usual.
+    """
+    environment = spark.sparkContext.environment
+    paths = [str(Path(__file__).resolve().parents[2]), *environment.get("PYTHONPATH", "").split(os.pathsep)]
+    environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(p for p in paths if p))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark

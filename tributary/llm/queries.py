@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tributary.llm import pii, secrets, sharding, simhash, tokens
+from tributary.llm import pii, secrets, sharding, simhash, tokens, toxicity
 from tributary.llm.common import prepare, table
 from tributary.session import apply_settings
 
@@ -37,6 +37,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 @query("op5_sharding")
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_law(table(spark, sf_dir, "documents"), shards=40)
