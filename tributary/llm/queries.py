@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tributary.llm import pii, secrets, sharding, simhash, tokens, toxicity
+from tributary.llm import decontamination, mixing, pii, secrets, sharding, simhash, tokens, toxicity
 from tributary.llm.common import prepare, table
 from tributary.session import apply_settings
 
@@ -27,6 +28,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_mixing")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixture = mixing.plan(docs, entropy=0.98, repetition=2.0)
+    return mixing.mixed(docs, mixture).select("doc_id", "source", *mixing.ADDED)
+
+
 @query("op2_simhash_near_dedup")
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=3)
@@ -57,3 +65,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_secrets")
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.contaminated(docs, benchmark, similarity=0.8).drop("row_key")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
