@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tributary.llm import decontamination, mixing, pii, secrets, sharding, simhash, tokens, toxicity
+from tributary.llm import decontamination, lines, mixing, neighbours, pii, secrets, sharding, simhash, tokens, toxicity
 from tributary.llm.common import prepare, table
 from tributary.session import apply_settings
 
@@ -67,12 +67,23 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_verdicts(table(spark, sf_dir, "documents"), max_bits=3, similarity=0.8)
+
+
 @query("op9_decontamination")
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontamination.contaminated(docs, benchmark, similarity=0.8).drop("row_key")
 
 
+@query("op10_nearest_neighbours")
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
