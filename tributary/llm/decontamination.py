@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tributary.llm.common import stored
 
 WINDOW, SIMILARITY = 5, 0.8
-#: Windows need so many words that are not slots, unless an item has no such window.
+#: Windows need so many words that are not slots.  An item without such a window is met only as it stands.
 LITERALS = 2
 #: Up to so many benchmark windows, of a few dozen bytes each, are broadcast; beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 200_000
@@ -64,7 +64,7 @@ def window_hashes(hashed: Column, size: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Rows ``(item, at, size, window, words, total)`` of the benchmark's windows.
+    """Rows ``(item, at, size, window, words, total, exact)`` of the benchmark's windows.
 
     Items shorter than a window are one window of their own length; empty items have none.
     Repeated items count once.
@@ -91,6 +91,7 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
         .select(
             "item", "at", "size", "window", "words",
             F.when(F.col("literals") > 0, F.col("literals")).otherwise(F.col("windows")).alias("total"),
+            (F.col("literals") == 0).alias("exact"),
         )
     )
 
@@ -129,17 +130,19 @@ def contaminated(
         .withColumn("h", F.transform("w", typed))
         .select("k", "row_key", "w", F.posexplode(windows).alias("place", "met"))
     )
-    side = items.select("item", F.col("at").alias("item_at"), "size", "window", F.col("words").alias("item_words"), "total")
+    side = items.select(
+        "item", F.col("at").alias("item_at"), "size", "window", F.col("words").alias("item_words"), "total", "exact"
+    )
     side = F.broadcast(side) if found["n"] <= BROADCAST_WINDOWS else side
     hits = exploded.join(side, F.col("met") == F.col("window")).withColumn("at", F.col("place") - F.coalesce(*first))
     hits = hits.select(
-        "k", "row_key", "item", "item_at", "total", (F.col("at") - F.col("item_at")).alias("shift"),
+        "k", "row_key", "item", "item_at", "total", "exact", (F.col("at") - F.col("item_at")).alias("shift"),
         F.filter(
             F.arrays_zip(F.col("item_words").alias("i"), F.slice("w", F.col("at") + 1, F.col("size")).alias("d")),
             lambda p: is_slot(p["i"]),
         ).alias("slots"),
     )
-    hits = stored(hits, "hits")
+    hits = stored(hits.where(~F.col("exact") | F.forall("slots", lambda p: p["i"] == p["d"])).drop("exact"), "hits")
     pair = ["row_key", "item"]
     # items met often enough at all
     likely = hits.groupBy(*pair, "item_at").agg(F.first("total").alias("total")).groupBy(*pair)
