@@ -16,7 +16,7 @@ from tributary.operators.orders import STORE_SOURCES
 from tributary.operators.unpack import SPECS, unpack
 from tributary.schemas import STAR
 from tributary.sources.raw import normalize_landing
-from tributary.sources.sinks import path_exists, read_hub
+from tributary.sources.sinks import current_version, overwrite_current, path_exists, read_hub, replace_partitions
 from tributary.sources.connectors import CONNECTORS
 
 
@@ -55,10 +55,24 @@ def land(spark: SparkSession, root: str, tables: list[RawTable]) -> dict[str, st
     return hashes
 
 
+def stored_objects(spark: SparkSession, root: str) -> set[tuple[str, str]]:
+    """The (source, object) pairs whose hub table exists, whichever refresh landed them."""
+    known = {hub_path(root, source, name): set() for source, name in SPECS if source in HUB_ID}
+    for source, name in SPECS:
+        if source in HUB_ID:
+            known[hub_path(root, source, name)].add((source, name))
+    return {pair for path, pairs in known.items() if path_exists(spark, path) for pair in pairs}
+
+
 def star_tables(
-    spark: SparkSession, root: str, sources: DataFrame, landed: set[tuple[str, str]]
+    spark: SparkSession, root: str, sources: DataFrame, landed: set[tuple[str, str]] | None = None
 ) -> dict[str, DataFrame]:
-    """The six star tables as lazy plans over the stored hub."""
+    """The six star tables as lazy plans over the stored hub.
+
+    They are built from every hub table there is, so that a refresh that lands one
+    connector keeps the rows of the others; ``landed`` narrows them to some objects.
+    """
+    landed = stored_objects(spark, root) if landed is None else landed
 
     def rows(source: str, object_name: str) -> DataFrame:
         hub = read_hub(spark, hub_path(root, source, object_name))
@@ -97,20 +111,21 @@ SORT_KEYS = {
 def write_star(tables: Mapping[str, DataFrame], root: str, tenants: list[str] | None = None) -> None:
     """Write every star table partitioned by tenant, each tenant's rows spread by AQE.
 
-    With ``tenants`` only their partitions are rebuilt and replaced; without, the whole
-    table is, so tenants that are gone leave nothing behind.
+    Without ``tenants`` a new version of the table becomes current when it is complete, so
+    a failed job leaves the old one.  With ``tenants`` their partitions of the current
+    version are replaced, also by nothing when a tenant has no rows any more; a reader
+    during that swap can miss a listed tenant, and one writer at a time is assumed.
     """
     for subject, df in tables.items():
+        path = star_path(root, subject)
+        current = None if tenants is None else current_version(df.sparkSession, path)
         if tenants is not None:
             df = df.filter(F.col("tenant_slug").isin(tenants))
-        (
-            df.hint("rebalance", F.col("tenant_slug"))
-            .sortWithinPartitions("tenant_slug", *SORT_KEYS[subject])
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static" if tenants is None else "dynamic")
-            .partitionBy("tenant_slug")
-            .parquet(star_path(root, subject))
-        )
+        laid_out = df.hint("rebalance", F.col("tenant_slug")).sortWithinPartitions("tenant_slug", *SORT_KEYS[subject])
+        if current is None:
+            overwrite_current(laid_out, path, "tenant_slug")
+        else:
+            replace_partitions(laid_out, current, "tenant_slug", tenants)
 
 
 def star_path(root: str, subject: str) -> str:
@@ -118,12 +133,13 @@ def star_path(root: str, subject: str) -> str:
 
 
 def read_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The star tables stored so far; a tenant filter prunes partitions."""
-    return {
-        subject: spark.read.schema(STAR[table]).parquet(star_path(root, subject)).select(*STAR[table].fieldNames())
-        for subject, table in factories.TABLE_OF.items()
-        if path_exists(spark, star_path(root, subject))
-    }
+    """The current star tables; a tenant filter prunes partitions."""
+    stored = {}
+    for subject, table in factories.TABLE_OF.items():
+        version = current_version(spark, star_path(root, subject))
+        if version is not None:
+            stored[subject] = spark.read.schema(STAR[table]).parquet(version).select(*STAR[table].fieldNames())
+    return stored
 
 
 def refresh(
@@ -136,11 +152,11 @@ def refresh(
 ) -> dict[str, DataFrame]:
     """Hub first, then the star tables, so fresh rows are visible in the same run.
 
-    Users come from the stored events and orders, so payloads are not parsed again.
+    The star tables hold what all refreshes so far have landed.  Users come from the
+    stored events and orders, so payloads are not parsed again.
     """
     land(spark, hub_root, tables)
-    landed = {(t.source, t.object_name) for t in tables}
-    built = star_tables(spark, hub_root, sources, landed)
+    built = star_tables(spark, hub_root, sources)
     write_star({s: df for s, df in built.items() if s != "users"}, star_root, tenants)
     stored = read_star(spark, star_root)
     users = factories.build_users(spark, stored["events"], stored["orders"], sources)

@@ -90,27 +90,52 @@ def conform(df: DataFrame, table: str, **expressions: str) -> DataFrame:
     )
 
 
-def overwrite_current(df: DataFrame, path: str) -> str:
+def overwrite_current(df: DataFrame, path: str, *partition_by: str) -> str:
     """Replace a snapshot: write a new version folder, leave the old one readable.
 
     A job may therefore read the current snapshot while it computes the next one, and a
     lost executor or a failed job leaves the previous version as the current one.
     """
     version = f"{path.rstrip('/')}/version={time.time_ns():020d}"
-    df.write.mode("errorifexists").parquet(version)
+    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(version)
     return version
 
 
-def read_current(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Newest committed version; an empty typed frame when there is none yet."""
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest committed version."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     marks = fs.globStatus(hadoop.Path(f"{path.rstrip('/')}/version=*/_SUCCESS")) or []
-    committed = sorted(m.getPath().getParent().toString() for m in marks)
-    if committed:
+    return max((m.getPath().getParent().toString() for m in marks), default=None)
+
+
+def replace_partitions(df: DataFrame, version: str, column: str, values: list[str]) -> None:
+    """Replace the partitions ``column`` = each of ``values``; one without rows in ``df`` ends up empty.
+
+    The new rows are complete in a folder of their own before the first partition is
+    touched.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    staged = f"{version}-staged-{time.time_ns():020d}".replace("/version=", "/staged=")
+    df.write.mode("errorifexists").partitionBy(column).parquet(staged)
+    fs = hadoop.Path(version).getFileSystem(spark._jsc.hadoopConfiguration())
+    for value in values:
+        folder = f"{column}={escape(value)}"
+        old, new = hadoop.Path(f"{version}/{folder}"), hadoop.Path(f"{staged}/{folder}")
+        fs.delete(old, True)
+        if fs.exists(new) and not fs.rename(new, old):
+            raise OSError(f"{new} could not take the place of {old}")
+    fs.delete(hadoop.Path(staged), True)
+
+
+def read_current(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Newest committed version; an empty typed frame when there is none yet."""
+    version = current_version(spark, path)
+    if version is not None:
         reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(committed[-1])
+        return reader.parquet(version)
     if schema is None:
         raise FileNotFoundError(path)
     return local_frame(spark, [], schema)

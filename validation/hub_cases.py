@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tributary.functions.keys import surrogate_key
@@ -508,29 +510,17 @@ def hub_15(spark, sf):
 _CONVERSION = "((tenant_slug = 't0' AND event_name = 'purchase'))"
 
 
-@case(
-    "hub_16_refresh",
-    f"""WITH {ga_sessions_sql(1800, _CONVERSION)}, {sql.ADS_BASE}, {sql.ORDERS}
+def _refresh_sql(ads: str) -> str:
+    return f"""WITH {ga_sessions_sql(1800, _CONVERSION)}, {sql.ADS_BASE}, {sql.ORDERS}
     SELECT 'sessions' AS subject, tenant_slug, source_platform, count(*) AS row_count, CAST(sum(funnel_conversion_count) AS BIGINT) AS measure FROM sessions WHERE tenant_slug = 't0' GROUP BY 1, 2, 3
     UNION ALL SELECT 'events', tenant_slug, source_platform, count(*), count(user_id) FROM ga WHERE tenant_slug = 't0' GROUP BY 1, 2, 3
     UNION ALL SELECT 'users', tenant_slug, source_platform, count(DISTINCT user_pseudo_id), count(*) FROM ga WHERE tenant_slug = 't0' GROUP BY 1, 2, 3
     UNION ALL SELECT 'orders', tenant_slug, 'shopify', count(*), count(o_custkey) FROM orders_base WHERE tenant_slug = 't0' GROUP BY 1, 2, 3
-    UNION ALL SELECT 'ad_performance', tenant_slug, source_platform, count(*), CAST(sum(clicks) AS BIGINT) FROM ads
-      WHERE source_platform = 'facebook_ads' AND tenant_slug IN ('t0', 't2') GROUP BY 1, 2, 3""",
-)
-def hub_16(spark, sf):
-    """Raw tables of three connectors through the stored hub into stored star tables.
+    UNION ALL SELECT 'ad_performance', tenant_slug, p.source_platform, count(*), CAST(sum(clicks) AS BIGINT)
+      FROM ads_base, (VALUES ('facebook_ads'), ('google_ads')) p(source_platform) WHERE tenant_slug IN ({ads}) GROUP BY 1, 2, 3"""
 
-    t1 and t2 are configured with other stores and analytics sources first, so only t0 has
-    orders, events, sessions and users here.
-    """
-    flagged = src.ads_base(spark, sf).filter("l_returnflag = 'A'")
-    tables = [
-        RawTable("google_analytics", "events", src.raw_ga(spark, sf).drop("source_platform"), F.col("tenant_slug")),
-        RawTable("shopify", "orders", src.raw_orders(spark, sf, "shopify"), F.col("tenant_slug")),
-        RawTable("facebook_ads", "facebook_insights", src.raw_ads(spark, sf, "facebook_ads", flagged), F.col("tenant_slug")),
-    ]
-    star = refresh(spark, scratch_path(spark, "hubs"), scratch_path(spark, "star"), tables, config(spark))
+
+def _star_summary(star) -> DataFrame:
     measures = {
         "sessions": F.sum("funnel_conversion_count"), "events": F.count("user_id"), "users": F.sum("total_events"),
         "orders": F.count("customer_id"), "ad_performance": F.sum("clicks"),
@@ -540,10 +530,42 @@ def hub_16(spark, sf):
         .withColumn("subject", F.lit(subject))
         for subject, m in measures.items()
     ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _raw_tables(spark, sf):
+    def of(source, name, rows):
+        return RawTable(source, name, rows, F.col("tenant_slug"))
+
+    first = [
+        of("google_analytics", "events", src.raw_ga(spark, sf).drop("source_platform")),
+        of("shopify", "orders", src.raw_orders(spark, sf, "shopify")),
+        of("facebook_ads", "facebook_insights", src.raw_ads(spark, sf, "facebook_ads")),
+    ]
+    return first, [of("google_ads", "ad_performance", src.raw_ads(spark, sf, "google_ads"))]
+
+
+@case("hub_16_refresh", _refresh_sql("'t0', 't2'"))
+def hub_16(spark, sf):
+    """Two refreshes with different connectors: the second keeps what the first landed.
+
+    t1 and t2 are configured with other stores and analytics sources first, so only t0 has
+    orders, events, sessions and users here.
+    """
+    hubs, star = scratch_path(spark, "hubs"), scratch_path(spark, "star")
+    for tables in _raw_tables(spark, sf):
+        result = refresh(spark, hubs, star, tables, config(spark))
+    return _star_summary(result)
+
+
+@case("hub_16_source_disabled", _refresh_sql("'t2'"))
+def hub_16_disabled(spark, sf):
+    """A refresh of one tenant after its ad sources were disabled empties its partition only."""
+    hubs, star = scratch_path(spark, "hubs"), scratch_path(spark, "star")
+    first, second = _raw_tables(spark, sf)
+    refresh(spark, hubs, star, first + second, config(spark))
+    less = config(spark).withColumn("enabled", F.expr("enabled AND NOT (tenant_slug = 't0' AND source LIKE '%ads')"))
+    return _star_summary(refresh(spark, hubs, star, [], less, tenants=["t0"]))
 
 
 # --- extension points ------------------------------------------------------------------
