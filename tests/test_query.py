@@ -9,7 +9,7 @@ from tributary.operators.questions import route_questions
 from tributary.plans.alias import AliasDimension, AliasMeasure, AliasModel
 from tributary.plans.model import SemanticLayer
 from tributary.plans.pipeline import read_star, write_star
-from tributary.plans.query import Filter, OrderBy, Request, semantic_query
+from tributary.plans.query import Filter, OrderBy, Request, preview, semantic_query
 from tributary.schemas import STAR
 from tributary.session import scratch_path
 from tributary.sources.local import local_frame
@@ -54,11 +54,43 @@ def test_unknown_fields_are_refused(layer, bad):
 
 
 def test_request_validation():
-    for make in (lambda: Filter("a", "~"), lambda: OrderBy("a", "up"), lambda: Request("m", limit=10_001)):
+    for make in (lambda: Filter("a", "~"), lambda: OrderBy("a", "up")):
         with pytest.raises(ValueError):
             make()
     assert Filter("a", "is not null").op == "IS NOT NULL"
-    assert Request("m").limit == 1000
+    assert Request("m").limit is None
+
+
+def test_only_previews_are_cut(spark):
+    many = local_frame(spark, [("t0", "bing_ads", str(i), "n", "ACTIVE") for i in range(1200)], STAR["dim_campaigns"])
+    layer = SemanticLayer.from_frames(spark, {"campaigns": many})
+    request = Request("campaigns", dimensions=("campaign_id",))
+    assert semantic_query(layer, "t0", request).count() == 1200
+    assert preview(layer, "t0", request).count() == 1000
+    with pytest.raises(ValueError):
+        preview(layer, "t0", Request("campaigns", limit=10_001))
+
+
+@pytest.mark.parametrize(
+    ("op", "value", "days"),
+    [("=", "2024-01-02", [2]), (">=", dt.date(2024, 1, 3), [3, 4]), (">", "2024-01-03", [4]), ("<", "2024-01-02", [1]),
+     ("<=", "2024-01-02", [1, 2]), ("BETWEEN", ("2024-01-02", "2024-01-03"), [2, 3]), ("IN", ("2024-01-04", "2024-01-01"), [1, 4])],
+)
+def test_date_filters_reach_the_epoch_column(spark, tmp_path, op, value, days):
+    schema = "tenant_slug string, source_platform string, session_id string, session_start_ts long"
+    unit = {"google_analytics": 1_000_000, "mixpanel": 1_000}
+    data = [
+        ("t0", p, f"{p}{d}{s}", int(dt.datetime(2024, 1, d, tzinfo=dt.timezone.utc).timestamp() + s) * u)
+        for p, u in unit.items() for d in range(1, 5) for s in (0, 86_399)
+    ]
+    local_frame(spark, data, schema).write.parquet(f"{tmp_path}/s")
+    layer = SemanticLayer.from_frames(spark, {"sessions": spark.read.parquet(f"{tmp_path}/s")})
+    df = semantic_query(
+        layer, "t0", Request("sessions", dimensions=("session_id",), filters=(Filter("session_start_date", op, value),))
+    )
+    want = {f"{p}{d}{s}" for p in unit for d in days for s in (0, 86_399)}
+    assert {r[0] for r in df.collect()} == want
+    assert "EqualTo(source_platform" in plan_of(df).split("PushedFilters")[1]
 
 
 def test_projection_keeps_duplicates_and_grouping_does_not(layer):

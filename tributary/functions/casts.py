@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, functions as F
 
 # Text date layouts, in the order they are tried.
@@ -66,3 +68,18 @@ def epoch_to_timestamp(value: Column, platform: Column) -> Column:
 
 # Epoch units per second of each analytics platform.
 UNITS_PER_SECOND = {"google_analytics": 1_000_000, "mixpanel": 1_000, "amplitude": 1_000}
+
+
+def epoch_bound(value: Column, platform: Column, moment: dt.datetime, since: bool) -> Column:
+    """Whether an epoch column is at or after (``since``) or before a moment, in each platform's unit.
+
+    The bounds are literals next to plain columns, so that a scan can skip row groups.
+    """
+
+    def compared(units: int) -> Column:
+        bound = F.lit(int(moment.timestamp() * units)).cast("bigint")
+        return value >= bound if since else value < bound
+
+    micros = [p for p, units in UNITS_PER_SECOND.items() if units == 1_000_000]
+    is_micros = platform.isin(micros)
+    return (is_micros & compared(1_000_000)) | ((~is_micros | platform.isNull()) & compared(1_000))

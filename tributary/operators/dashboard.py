@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tributary.functions.casts import epoch_bound
 from tributary.plans.model import SemanticModel
 from tributary.sources.local import local_frame
 
@@ -29,31 +30,32 @@ def percent_change(current: Column, previous: Column) -> Column:
     return F.when(previous == 0, grown).otherwise((current - previous) / previous * 100)
 
 
-def _boundary(kind: str, day: dt.date) -> Column:
+def _since(kind: str, moment: Column, day: dt.date) -> Column:
+    """Rows from a day on; an epoch counts in the unit of its row's platform."""
     if kind == "timestamp_epoch":
         midnight = dt.datetime(day.year, day.month, day.day, tzinfo=dt.timezone.utc)
-        return F.lit(int(midnight.timestamp()) * 1_000_000).cast("bigint")
-    return F.lit(day).cast("date" if kind == "date" else "timestamp")
+        return epoch_bound(moment, F.col("source_platform"), midnight, since=True)
+    return moment >= F.lit(day).cast("date" if kind == "date" else "timestamp")
 
 
 def period_over_period(model: SemanticModel, as_of: dt.date, days: int = 30, top: int = 4) -> DataFrame:
     """First measures of a model, last period against the one before.
 
     Both periods come from one scan with conditional aggregates, and the older bound is
-    a plain predicate on the date column, so it reaches the file scan.
+    a plain predicate on the time column, so it reaches the file scan.  Epochs of several
+    platforms may be mixed: each row is compared in its own platform's unit.
     """
     time_dim = next((d for d in model.dimensions.values() if d.type in TIME_TYPES), None)
     measures = list(model.measures.values())[:top]
     if time_dim is None or not measures:
         return local_frame(model.df.sparkSession, [], _POP_SCHEMA)
-    start = _boundary(time_dim.type, as_of - dt.timedelta(days=days))
-    older = _boundary(time_dim.type, as_of - dt.timedelta(days=2 * days))
     moment = F.col(time_dim.name)
-    rows = model.df.filter(moment >= older)
+    recent = _since(time_dim.type, moment, as_of - dt.timedelta(days=days))
+    rows = model.df.filter(_since(time_dim.type, moment, as_of - dt.timedelta(days=2 * days)))
     columns = []
     for i, m in enumerate(measures):
-        columns.append(m.over(F.when(moment >= start, m.source())).alias(f"cur_{i}"))
-        columns.append(m.over(F.when(moment < start, m.source())).alias(f"prev_{i}"))
+        columns.append(m.over(F.when(recent, m.source())).alias(f"cur_{i}"))
+        columns.append(m.over(F.when(~recent, m.source())).alias(f"prev_{i}"))
     totals = rows.agg(*columns)
 
     def number(name: str) -> Column:

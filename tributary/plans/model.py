@@ -81,6 +81,8 @@ class SemanticModel:
     joins: Mapping[str, Join] = field(default_factory=dict)
     label: str = ""
     description: str = ""
+    #: Derived date dimensions and the epoch column each comes from.
+    epochs: Mapping[str, str] = field(default_factory=dict)
 
     # fluent form -------------------------------------------------------------
     def filter(self, condition: Column | str) -> SemanticModel:
@@ -231,12 +233,14 @@ def columns_of_frames(spark: SparkSession, frames: Mapping[str, DataFrame], tena
 
 def _bind(row, df: DataFrame) -> SemanticModel:
     dimensions = {d["name"]: Dimension(d["name"], d["type"], d["is_time_dimension"]) for d in row["dimensions"]}
+    epochs = {}
     for d in row["dimensions"]:
         if d["type"] == "timestamp_epoch":
             dated = _date_name(d["name"])
             if dated in dimensions and dated not in df.columns:
                 moment = epoch_to_timestamp(F.col(d["name"]), F.col("source_platform"))
                 df = df.withColumn(dated, F.to_date(moment))
+                epochs[dated] = d["name"]
     measures = {m["name"]: Measure(m["name"], m["agg"], m["source_column"], m["type"]) for m in row["measures"]}
     on: dict[str, list] = {}
     for j in row["joins"] or []:
@@ -255,6 +259,7 @@ def _bind(row, df: DataFrame) -> SemanticModel:
         joins=joins,
         label=row["label"],
         description=row["description"],
+        epochs=epochs,
     )
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tributary.functions.casts import epoch_bound
 from tributary.plans.model import Join, SemanticLayer, SemanticModel, prefix_columns
 
-# Row limits of a request.
+# Row limits of a preview.
 DEFAULT_LIMIT = 1000
 MAX_LIMIT = 10_000
 
@@ -76,11 +78,7 @@ class Request:
     filters: tuple[Filter, ...] = ()
     joins: tuple[str, ...] = ()
     order_by: tuple[OrderBy, ...] = ()
-    limit: int | None = DEFAULT_LIMIT
-
-    def __post_init__(self) -> None:
-        if self.limit is not None and self.limit > MAX_LIMIT:
-            raise ValueError(f"Limit cannot exceed {MAX_LIMIT}")
+    limit: int | None = None
 
 
 def _check(kind: str, wanted, valid, model: str) -> None:
@@ -116,6 +114,8 @@ def semantic_query(layer: SemanticLayer, tenant: str, request: Request) -> DataF
         rows = _join(rows, target, model.joins[target.name], tenant)
     for f in request.filters:
         rows = rows.filter(OPERATORS[f.op](_field(model, f.field), f.value))
+        for bound in _epoch_bounds(model, f):
+            rows = rows.filter(bound)
 
     dims = [F.col(f"`{d}`").alias(d) for d in request.dimensions]
     aggregates = [model.measures[m].column() for m in request.measures]
@@ -135,6 +135,48 @@ def semantic_query(layer: SemanticLayer, tenant: str, request: Request) -> DataF
     return result if request.limit is None else result.limit(request.limit)
 
 
+def preview(layer: SemanticLayer, tenant: str, request: Request) -> DataFrame:
+    """The first rows of a request: its own limit up to ``MAX_LIMIT``, else ``DEFAULT_LIMIT``."""
+    limit = DEFAULT_LIMIT if request.limit is None else request.limit
+    if limit > MAX_LIMIT:
+        raise ValueError(f"Limit cannot exceed {MAX_LIMIT}")
+    return semantic_query(layer, tenant, replace(request, limit=limit))
+
+
+def _epoch_bounds(model: SemanticModel, f: Filter) -> list[Column]:
+    """Ranges of the epoch column that a filter on a date derived from it implies.
+
+    They repeat the filter in a form that a scan can skip row groups by.
+    """
+    epoch = model.epochs.get(f.field)
+    try:
+        days = sorted(map(_midnight, _values(f.value))) if epoch else []
+    except (TypeError, ValueError):  # not dates: the filter itself decides
+        days = []
+    if not days:
+        return []
+    day = dt.timedelta(days=1)
+    least, most = {
+        "=": (days[0], days[-1] + day),
+        "IN": (days[0], days[-1] + day),
+        "BETWEEN": (days[0], days[-1] + day),
+        ">=": (days[0], None),
+        ">": (days[0] + day, None),
+        "<": (None, days[0]),
+        "<=": (None, days[0] + day),
+    }.get(f.op, (None, None))
+    value, platform = F.col(f"`{epoch}`"), F.col("source_platform")
+    bounds = [] if least is None else [epoch_bound(value, platform, least, since=True)]
+    return bounds if most is None else [*bounds, epoch_bound(value, platform, most, since=False)]
+
+
+def _midnight(value: Any) -> dt.datetime:
+    day = dt.date.fromisoformat(value) if isinstance(value, str) else value
+    if isinstance(day, dt.datetime) or not isinstance(day, dt.date):
+        raise ValueError("not a date")
+    return dt.datetime(day.year, day.month, day.day, tzinfo=dt.timezone.utc)
+
+
 def _field(model: SemanticModel, name: str) -> Column:
     measure = model.measures.get(name)
     return F.col(f"`{measure.source_column}`") if measure and measure.source_column else F.col(f"`{name}`")

@@ -8,16 +8,16 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tributary.operators import catalog, dashboard, profile
+from tributary.operators import analytics, catalog, dashboard, profile
 from tributary.operators.factories import TABLE_OF
 from tributary.operators.questions import KEYWORDS, route_questions
 from tributary.plans.alias import AliasDimension, AliasMeasure, AliasModel, date_safe
 from tributary.plans.model import SemanticLayer
-from tributary.plans.query import Filter, OrderBy, Request, semantic_query
+from tributary.plans.query import Filter, OrderBy, Request, preview, semantic_query
 from tributary.schemas import STAR, catalogue_type
 from validation import inputs as src, sqltext as sql
 from validation.case import case
-from validation.star_cases import DAY, ga_sessions, ga_sessions_sql, ga_star_events, rounded, users_sql
+from validation.star_cases import DAY, PURCHASE, _amp_sessions, _mix_sql, ga_sessions, ga_sessions_sql, ga_star_events, rounded, users_sql
 from tributary.operators.users import users
 
 # --- a multi-tenant columns frame: every customer is a tenant ------------------------------
@@ -90,6 +90,8 @@ cols AS (
   FROM customer, contract
   WHERE NOT (subject = 'orders' AND c_nationkey % 5 = 0) AND NOT (subject = 'users' AND c_nationkey % 7 = 0))"""
 
+#: The column names of each table, so that a rule about several columns needs no self-join.
+_HELD = "held AS (SELECT tenant_slug, subject, table_name, list(column_name) AS names FROM cols GROUP BY ALL)"
 _EPOCH = r"(data_type IN ('BIGINT', 'INTEGER') AND regexp_matches(column_name, '_(start|end|ts|at|timestamp|date)$') AND NOT starts_with(column_name, 'funnel_'))"
 _ROLE = r"""CASE WHEN column_name = 'tenant_slug' OR data_type IN ('JSON', 'BLOB') THEN 'skip'
   WHEN data_type IN ('DOUBLE', 'FLOAT', 'DECIMAL', 'REAL') THEN 'measure'
@@ -172,9 +174,8 @@ def sem_8(spark, sf):
     "sem_9_calculated_measures",
     f"""WITH {COLS}, need(name, format, a, b) AS (VALUES ('ctr', 'percent', 'clicks', 'impressions'), ('cpc', 'currency', 'spend', 'clicks'),
     ('cpm', 'currency', 'spend', 'impressions'), ('aov', 'currency', 'total_price', 'order_id'),
-    ('conversion_rate', 'percent', 'funnel_step_6_purchase', 'session_id'))
-    SELECT x.tenant_slug, x.subject, name, format FROM need JOIN cols x ON x.column_name = a
-    JOIN cols y ON y.column_name = b AND x.table_name = y.table_name""",
+    ('conversion_rate', 'percent', 'funnel_step_6_purchase', 'session_id')), {_HELD}
+    SELECT tenant_slug, subject, name, format FROM held JOIN need ON list_contains(names, a) AND list_contains(names, b)""",
 )
 def sem_9(spark, sf):
     return catalog.infer_calc_measures(star_columns(spark, sf)).select("tenant_slug", "subject", "name", "format")
@@ -216,8 +217,8 @@ _LABEL = """CASE subject WHEN 'ad_performance' THEN 'Ad Performance' WHEN 'order
 
 @case(
     "sem_17_auto_count_measures",
-    f"""WITH {COLS}, {_COUNTS} SELECT tenant_slug, subject, column_name AS measure_name, source_column FROM counts c
-    WHERE NOT EXISTS (SELECT 1 FROM cols k WHERE k.table_name = c.table_name AND k.column_name = c.column_name)""",
+    f"""WITH {COLS}, {_COUNTS}, {_HELD} SELECT c.tenant_slug, c.subject, column_name AS measure_name, source_column
+    FROM counts c JOIN held USING (table_name) WHERE NOT list_contains(names, column_name)""",
 )
 def sem_17(spark, sf):
     counts = catalog.auto_count_measures(star_columns(spark, sf))
@@ -485,9 +486,10 @@ def qry_1(spark, sf):
     for bad in (
         {"model": "nothing"}, {"dimensions": ("nothing",)}, {"measures": ("nothing",)}, {"joins": ("users",)},
         {"calculated_measures": ("aov",)}, {"filters": (("nothing", "=", 1),)}, {"filters": (("clicks", "~", 1),)},
-        {"order_by": (("nothing",),)}, {"limit": 10_001},
+        {"order_by": (("nothing",),)},
     ):
         _refused(lambda bad=bad: ask(spark, sf, "t0", **{**good, **bad}))
+    _refused(lambda: preview(layer(spark, sf), "t0", Request("ad_performance", limit=10_001)))
     return ask(spark, sf, "t0", **good)
 
 
@@ -822,6 +824,54 @@ def dsh_1_epoch(spark, sf):
     return rounded(result, current=4, previous=4, change_percent=6).select("name", "current", "previous", "change_percent")
 
 
+_TWO_WEEKS = """f AS (SELECT *, moment >= TIMESTAMP '2024-01-15' AS cur FROM timed WHERE tenant_slug = 't1' AND moment >= TIMESTAMP '2024-01-01'),
+    u AS (SELECT 'session_duration_seconds' AS name, coalesce(avg(session_duration_seconds) FILTER (WHERE cur), 0) AS c, coalesce(avg(session_duration_seconds) FILTER (WHERE NOT cur), 0) AS p FROM f
+    UNION ALL SELECT 'events_in_session', CAST(coalesce(sum(events_in_session) FILTER (WHERE cur), 0) AS DOUBLE), CAST(coalesce(sum(events_in_session) FILTER (WHERE NOT cur), 0) AS DOUBLE) FROM f)
+    SELECT name, round(c, 4) AS current, round(p, 4) AS previous, round(CASE WHEN p = 0 THEN CASE WHEN c > 0 THEN 100.0 ELSE 0.0 END ELSE (c - p) / p * 100 END, 6) AS change_percent FROM u"""
+_TIMED = "SELECT tenant_slug, session_duration_seconds, events_in_session, {} AS moment FROM {}"
+_MILLIS = "make_timestamp(session_start_ts * 1000)"
+_AMPLITUDE = f"{sql.AMPLITUDE}, {_amp_sessions(PURCHASE)}"
+
+
+def _two_weeks(spark, sessions: DataFrame) -> DataFrame:
+    model = SemanticLayer.from_frames(spark, {"sessions": sessions}).model("sessions").for_tenant("t1")
+    result = dashboard.period_over_period(model, dt.date(2024, 1, 29), days=14, top=2)
+    return rounded(result, current=4, previous=4, change_percent=6).select("name", "current", "previous", "change_percent")
+
+
+@case("dsh_1_period_over_period_mixpanel", f"WITH {_mix_sql(DAY)}, timed AS ({_TIMED.format(_MILLIS, 'sessions')}), {_TWO_WEEKS}")
+def dsh_1_mixpanel(spark, sf):
+    return _two_weeks(spark, analytics.mixpanel_sessions(src.mixpanel_events(spark, sf), ["purchase"], gap_seconds=DAY))
+
+
+@case("dsh_1_period_over_period_amplitude", f"WITH {_AMPLITUDE}, timed AS ({_TIMED.format(_MILLIS, 'amp_sessions')}), {_TWO_WEEKS}")
+def dsh_1_amplitude(spark, sf):
+    return _two_weeks(spark, analytics.amplitude_sessions(src.amplitude_events(spark, sf), ["purchase"]))
+
+
+@case(
+    "dsh_1_period_over_period_mixed",
+    f"""{GA_DAY}, {_AMPLITUDE.replace(sql.EVENTS_BASE + ',', '')}, timed AS ({_TIMED.format('make_timestamp(session_start_ts)', 'sessions')}
+    UNION ALL {_TIMED.format(_MILLIS, 'amp_sessions')}), {_TWO_WEEKS}""",
+)
+def dsh_1_mixed(spark, sf):
+    """One table with microsecond and millisecond rows."""
+    amplitude = analytics.amplitude_sessions(src.amplitude_events(spark, sf), ["purchase"])
+    return _two_weeks(spark, ga_sessions(spark, sf, DAY).unionByName(amplitude))
+
+
+@case(
+    "qry_filtered_derived_date",
+    f"""{GA_DAY} SELECT traffic_source, count(DISTINCT session_id) AS total_sessions FROM sessions
+    WHERE tenant_slug = 't1' AND CAST(make_timestamp(session_start_ts) AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' GROUP BY 1""",
+)
+def qry_filtered_derived_date(spark, sf):
+    return ask(
+        spark, sf, "t1", model="sessions", dimensions=("traffic_source",), measures=("total_sessions",),
+        filters=(("session_start_date", "BETWEEN", (dt.date(2024, 1, 5), dt.date(2024, 1, 12))),),
+    )
+
+
 @case(
     "dsh_2_value_formats",
     f"""WITH {CLASSIFIED} SELECT column_name, CASE WHEN regexp_matches(lower(column_name), 'revenue|spend|price|cost') THEN 'currency'
