@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tributary.functions.keys import NULL_MARKER, fingerprint_tables, surrogate_key
@@ -14,9 +16,6 @@ from tributary.sources.tenants import configured_tables
 
 __all__ = ["NULL_MARKER", "fingerprint_tables", "pack_payload", "push", "push_into"]
 
-#: Up to this many (tenant, platform) pairs become a partition filter on the hub scan.
-PAIR_FILTER_LIMIT = 500
-
 
 def _now(at: Column | None) -> Column:
     return F.current_timestamp() if at is None else at
@@ -117,35 +116,52 @@ def with_digest(df: DataFrame) -> DataFrame:
 _PUSH_KEY = ["tenant_slug", "source_platform", HUB_DIGEST]
 
 
+def _keys(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(prefix + c) for c in _PUSH_KEY])
+
+
+def _equal(left: str, right: str) -> Column:
+    """Equality of two push keys; NULL equals NULL."""
+    return reduce(Column.__and__, [F.col(left + c).eqNullSafe(F.col(right + c)) for c in _PUSH_KEY])
+
+
 def push(hub: DataFrame, batch: DataFrame) -> DataFrame:
     """Batch rows whose (tenant, platform, payload digest) is not in the hub yet.
 
-    Insert-only: nothing is updated, and copies inside one batch are all returned.
-    The hub side is reduced to distinct keys before the shuffle, so many copies of a
-    payload in the hub cost one row; copies in the batch are split by the adaptive
-    skew join, which may split the left side of an anti join.
+    Insert-only: nothing is updated, and copies inside one batch are all returned.  A NULL
+    tenant is a tenant like any other.  The stored keys are first cut down to those of the
+    batch, by a semi join whose small side is the batch's distinct keys, so what is
+    shuffled afterwards follows the batch and not the history.
     """
-    known = with_digest(hub).select(*_PUSH_KEY).distinct()
-    return with_digest(batch).join(known, _PUSH_KEY, "left_anti")
+    rows = with_digest(batch)
+    wanted = _keys(rows, "_wanted_").distinct()
+    stored = _keys(with_digest(hub), "_stored_").join(wanted, _equal("_stored_", "_wanted_"), "left_semi").distinct()
+    return rows.join(stored, _equal("", "_stored_"), "left_anti")
+
+
+def _among(column: str, values: set) -> Column:
+    """Partition predicate; the values are tenants or platforms of a batch, so few."""
+    named = F.col(column).isin(sorted(v for v in values if v is not None))
+    return named | F.col(column).isNull() if None in values else named
 
 
 def push_into(spark: SparkSession, path: str, batch: DataFrame) -> None:
     """Push a batch into the stored hub.
 
-    Only key columns of the hub are read.  When the batch covers few (tenant, platform)
-    pairs they become a static partition filter; otherwise the whole key set is joined.
+    Only key columns of the partitions that the batch touches are read.  Columns beyond
+    the contract are kept; ``read_hub(evolve=True)`` shows them.  One writer at a time is
+    assumed: two overlapping pushes of the same row both see the old hub and both insert.
     """
     batch = with_digest(batch)
-    pairs = batch.select("tenant_slug", "source_platform").distinct().limit(PAIR_FILTER_LIMIT + 1).collect()
+    pairs = batch.select("tenant_slug", "source_platform").distinct().collect()
     fresh = batch
     if path_exists(spark, path):
         hub = read_hub(spark, path, digest=True)
-        if len(pairs) <= PAIR_FILTER_LIMIT:
-            tenants = sorted({p[0] for p in pairs if p[0] is not None})
-            platforms = sorted({p[1] for p in pairs if p[1] is not None})
-            hub = hub.filter(F.col("tenant_slug").isin(tenants) & F.col("source_platform").isin(platforms))
+        hub = hub.filter(_among("tenant_slug", {p[0] for p in pairs}) & _among("source_platform", {p[1] for p in pairs}))
         fresh = push(hub, batch)
-    write_hub(fresh.select(*HUB.fieldNames(), HUB_DIGEST), path, one_folder=len(pairs) <= 1)
+    contract = [*HUB.fieldNames(), HUB_DIGEST]
+    added = [c for c in fresh.columns if c not in contract]
+    write_hub(fresh.select(*contract, *added), path, one_folder=len(pairs) <= 1)
 
 
 def schema_observations(batch: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def write_hub(df: DataFrame, path: str, one_folder: bool = False) -> None:
         df = df.withColumn(HUB_DIGEST, F.md5("raw_data_payload"))
     if not one_folder:
         df = df.hint("rebalance", *map(F.col, HUB_PARTITIONS))
-    df.write.mode("append").partitionBy(*HUB_PARTITIONS).option("mergeSchema", "true").parquet(path)
+    df.write.mode("append").partitionBy(*HUB_PARTITIONS).parquet(path)
 
 
 def stored_hub_schema() -> T.StructType:

@@ -392,6 +392,24 @@ def hub_7(spark, sf):
     )
 
 
+@case(
+    "hub_7_null_tenants_and_new_column",
+    f"""WITH {sql.ORDERS} SELECT CASE WHEN o_orderkey % 5 > 0 THEN tenant_slug END AS tenant_slug, count(*) AS row_count,
+    count(*) FILTER (WHERE order_status <> 'F') AS with_region FROM orders_base GROUP BY 1""",
+)
+def hub_7_evolving(spark, sf):
+    """Orders with and without a tenant, pushed three times; the later pushes bring a column."""
+    path = scratch_path(spark, "hub")
+    key = F.get_json_object("raw_data_payload", "$.id").cast("bigint")
+    tenant = F.when(key % 5 > 0, F.col("tenant_slug"))
+    hub.push_into(spark, path, order_batch(spark, sf, "status = 'F'").withColumn("tenant_slug", tenant))
+    everything = order_batch(spark, sf, "true").withColumn("tenant_slug", tenant).withColumn("region", F.lit("EU"))
+    for _ in range(3):
+        hub.push_into(spark, path, everything)
+    stored = sinks.read_hub(spark, path, evolve=True)
+    return stored.groupBy("tenant_slug").agg(F.count(F.lit(1)).alias("row_count"), F.count("region").alias("with_region"))
+
+
 def observations(spark, sf, condition: str = "true") -> DataFrame:
     tenant = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
     digest = F.md5(F.concat(F.lit("v"), F.year("o_orderdate").cast("string")))
