@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 import tributary.operators.ads  # noqa: F401  (registers engines)
 import tributary.operators.analytics  # noqa: F401
 import tributary.operators.orders  # noqa: F401
-from tributary.operators.users import users
 from tributary.registry import engine, sources_for
-from tributary.sources.local import broadcast_small, local_frame
+from tributary.sources.local import local_frame
 from tributary.sources.sinks import conform, empty_star
 
 TABLE_OF = {
@@ -37,82 +36,77 @@ def enabled_pairs(sources: DataFrame, subject: str, first_only: bool) -> DataFra
     return known.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
 
 
-#: Up to this many (tenant, source) pairs become literal predicates on the scans.
-PAIR_LIMIT = 5_000
+def enabled_rows(sources: DataFrame, subject: str, first_only: bool) -> list:
+    """The enabled pairs on the driver: configuration, one row per tenant and source."""
+    return enabled_pairs(sources, subject, first_only).collect()
 
 
-def for_source(rows: DataFrame, pairs: DataFrame, source: str, known: list | None) -> DataFrame:
-    """Rows of the tenants that use this source.
+def of_tenants(rows: DataFrame, pairs: list, names: set[str]) -> DataFrame:
+    """Rows of the tenants that use one of the sources ``names``.
 
-    With few pairs the tenants are a literal list, which prunes ``tenant_slug`` partitions
-    and needs no join.  With many, a semi join on the tenant whose small side is broadcast
-    after its size was checked.
+    The tenants are a literal list, which prunes ``tenant_slug`` partitions without a join.
     """
-    if known is not None:
-        return rows.filter(F.col("tenant_slug").isin([p["tenant_slug"] for p in known if p["source"] == source]))
-    tenants = pairs.filter(F.col("source") == source).select("tenant_slug")
-    return rows.join(broadcast_small(tenants), "tenant_slug", "left_semi")
-
-
-def _few(pairs: DataFrame) -> list | None:
-    found = pairs.select("tenant_slug", "source").limit(PAIR_LIMIT + 1).collect()
-    return found if len(found) <= PAIR_LIMIT else None
+    return rows.filter(F.col("tenant_slug").isin(sorted({p["tenant_slug"] for p in pairs if p["source"] in names})))
 
 
 def _assemble(
     spark: SparkSession,
     subject: str,
     frames: Mapping[str, DataFrame],
-    sources: DataFrame,
-    first_only: bool,
+    pairs: list,
     **extra,
 ) -> DataFrame:
-    pairs = enabled_pairs(sources, subject, first_only)
-    known = _few(pairs)
     table = TABLE_OF[subject]
     parts = [
-        conform(engine(source, subject)(for_source(rows, pairs, source, known), **extra), table)
+        conform(engine(source, subject)(of_tenants(rows, pairs, {source}), **extra), table)
         for source, rows in frames.items()
-        if source in sources_for(subject) and (known is None or any(p["source"] == source for p in known))
+        if any(p["source"] == source for p in pairs)
     ]
     return reduce(DataFrame.unionByName, parts) if parts else empty_star(spark, table)
 
 
 def build_ad_performance(spark, frames: Mapping[str, DataFrame], sources: DataFrame) -> DataFrame:
     """Union over every enabled ad source."""
-    return _assemble(spark, "ad_performance", frames, sources, first_only=False)
+    return _assemble(spark, "ad_performance", frames, enabled_rows(sources, "ad_performance", first_only=False))
 
 
 def build_campaigns(spark, frames: Mapping[str, DataFrame], sources: DataFrame) -> DataFrame:
-    return _assemble(spark, "campaigns", frames, sources, first_only=False)
+    return _assemble(spark, "campaigns", frames, enabled_rows(sources, "campaigns", first_only=False))
 
 
 def build_orders(spark, frames: Mapping[str, DataFrame], sources: DataFrame) -> DataFrame:
     """First enabled store source per tenant."""
-    return _assemble(spark, "orders", frames, sources, first_only=True)
+    return _assemble(spark, "orders", frames, enabled_rows(sources, "orders", first_only=True))
 
 
 def build_events(spark, frames: Mapping[str, DataFrame], sources: DataFrame) -> DataFrame:
-    return _assemble(spark, "events", frames, sources, first_only=True)
+    return _assemble(spark, "events", frames, enabled_rows(sources, "events", first_only=True))
 
 
 def build_sessions(spark, frames: Mapping[str, DataFrame], sources: DataFrame) -> DataFrame:
     """First enabled analytics source per tenant, with that source's conversion events.
 
-    The lists are one row per tenant.  A few are read once and become a local relation of
-    known size; many are broadcast only after their number was checked.
+    The lists are one row per tenant, a local relation whose size the planner knows.
     """
-    columns = ["tenant_slug", "source", "conversion_events"]
-    lists = enabled_pairs(sources, "sessions", first_only=True).select(columns)
-    found = lists.limit(PAIR_LIMIT + 1).collect()
-    lists = local_frame(spark, found, lists.schema) if len(found) <= PAIR_LIMIT else broadcast_small(lists)
-    return _assemble(spark, "sessions", frames, sources, first_only=True, conversions=lists)
+    pairs = enabled_rows(sources, "sessions", first_only=True)
+    schema = "tenant_slug string, source string, conversion_events array<string>"
+    lists = local_frame(spark, [(p["tenant_slug"], p["source"], p["conversion_events"]) for p in pairs], schema)
+    return _assemble(spark, "sessions", frames, pairs, conversions=lists)
 
 
 def build_users(spark, events: DataFrame, orders: DataFrame, sources: DataFrame) -> DataFrame:
-    """Users of each tenant's first analytics source, from the assembled facts."""
-    pairs = enabled_pairs(sources, "users", first_only=True).select(
-        "tenant_slug", F.col("source").alias("source_platform")
-    )
-    own = events.join(broadcast_small(pairs), ["tenant_slug", "source_platform"], "left_semi")
-    return users(own, orders)
+    """Users of each tenant's first analytics source, from the assembled facts.
+
+    Sources that share an engine are one plan; a source with an engine of its own adds one.
+    """
+    pairs = enabled_rows(sources, "users", first_only=True)
+    by_engine: dict = {}
+    for source in sorted({p["source"] for p in pairs}):
+        by_engine.setdefault(engine(source, "users"), set()).add(source)
+    parts = []
+    for build, names in by_engine.items():
+        rows = [(p["tenant_slug"], p["source"]) for p in pairs if p["source"] in names]
+        own = local_frame(spark, rows, "tenant_slug string, source_platform string")
+        mine = of_tenants(events, pairs, names).join(own, ["tenant_slug", "source_platform"], "left_semi")
+        parts.append(conform(build(mine, orders), TABLE_OF["users"]))
+    return reduce(DataFrame.unionByName, parts) if parts else empty_star(spark, TABLE_OF["users"])

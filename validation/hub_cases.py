@@ -7,20 +7,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tributary.functions.keys import surrogate_key
-from tributary.operators import hub, sessions
-from tributary.operators.unpack import SPECS, unpack
+from tributary.operators import hub
+from tributary.operators.factories import build_users
+from tributary.operators.unpack import unpack
 from tributary.plans.pipeline import RawTable, refresh
 from tributary.registry import engine, register_engine
-from tributary.schemas import BLUEPRINTS, HUB, SCHEMA_HISTORY, STAR
+from tributary.schemas import BLUEPRINTS, SCHEMA_HISTORY, STAR
 from tributary.session import scratch_path
 from tributary.sources import raw, sinks, tenants
 from tributary.sources.local import local_frame
-from tributary.sources.connectors import CONNECTORS, SOURCES, connector_catalog
+from tributary.sources.connectors import CONNECTORS, connector_catalog
 from tributary.streaming.hub_stream import push_stream, raw_stream
 from tributary.streaming.run_stream import current_runs, run_results_stream, runs_stream
 from validation import inputs as src, sqltext as sql
 from validation.case import case
-from validation.star_cases import config, ga_sessions_sql
+from validation.star_cases import config, ga_sessions_sql, ga_star_events
 
 MARKER = "_dbt_utils_surrogate_key_null_"
 
@@ -599,6 +600,29 @@ def ext_1(spark, sf):
     return result.groupBy("tenant_slug", "source_platform").agg(F.count(F.lit(1)).alias("orders"))
 
 
+@case(
+    "ext_1_users_engine",
+    f"""WITH {sql.GA} SELECT tenant_slug, 'custom_analytics' AS source_platform, count(DISTINCT user_pseudo_id) AS users,
+    count(*) AS total_events FROM ga WHERE tenant_slug = 't1' GROUP BY 1""",
+)
+def ext_1_users(spark, sf):
+    """A source with a users engine of its own goes through the factory; t0 keeps the built-in one."""
+
+    def custom(events: DataFrame, orders: DataFrame) -> DataFrame:
+        counted = events.groupBy("tenant_slug", "source_platform", "user_pseudo_id").agg(F.count(F.lit(1)).alias("total_events"))
+        return sinks.conform(counted, "dim_users")
+
+    register_engine("custom_analytics", "users", custom)
+    schema = "tenant_slug string, source string, rank int, enabled boolean, conversion_events array<string>"
+    pairs = [("t0", "google_analytics", 1, True, []), ("t1", "custom_analytics", 1, True, []), ("t2", "mixpanel", 1, False, [])]
+    events = ga_star_events(spark, sf).withColumn(
+        "source_platform", F.when(F.col("tenant_slug") == "t1", "custom_analytics").otherwise(F.col("source_platform"))
+    )
+    built = build_users(spark, events, src.orders(spark, sf), local_frame(spark, pairs, schema))
+    mine = built.filter("source_platform = 'custom_analytics'").groupBy("tenant_slug", "source_platform")
+    return mine.agg(F.count_distinct("user_pseudo_id").alias("users"), F.sum("total_events").alias("total_events"))
+
+
 @case("ext_2_expression_field", "SELECT 't' || (o_orderkey % 3) AS tenant_slug, CAST(sum(o_orderkey * 2 + 1) AS BIGINT) AS doubled FROM orders GROUP BY 1")
 def ext_2(spark, sf):
     from tributary.operators.unpack import Field, Spec
@@ -641,5 +665,3 @@ def str_2(spark, sf):
         run_results_stream(runs_stream(spark, landing), stored, progress).awaitTermination()
     return current_runs(spark, stored).select("invocation_id", "node_id", "run_result_status", "rows_affected")
 
-
-__all__ = ["HUB", "SOURCES", "SPECS", "sessions"]
