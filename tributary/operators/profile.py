@@ -38,14 +38,32 @@ def approx_distinct(value: Column) -> Column:
     return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value))))
 
 
-def _stats(df: DataFrame, exact_distinct: bool) -> DataFrame:
-    """One row of aggregates, every column in the same scan."""
+def _countable(name: str, kind: str) -> Column:
+    value = F.col(f"`{name}`")
+    return value if _ordered(kind) else F.to_json(value) if kind != "binary" else F.hex(value)
+
+
+def distinct_counts(df: DataFrame, exact: bool = False) -> DataFrame:
+    """One row per column: position, name, number of distinct values.
+
+    An aggregate of its own: with sketches beside them, all other aggregates of a scan
+    would leave generated code.
+    """
+    count = F.count_distinct if exact else approx_distinct
+    counts = df.agg(*[count(_countable(name, kind)).alias(f"c{i}") for i, (name, kind) in enumerate(df.dtypes)])
+    rows = [
+        F.struct(F.lit(i + 1).alias("ordinal_position"), F.lit(name).alias("column_name"), F.col(f"c{i}").alias("approx_unique"))
+        for i, name in enumerate(df.columns)
+    ]
+    return counts.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+
+
+def _stats(df: DataFrame) -> DataFrame:
+    """One row of aggregates but for the distinct counts, every column in the same scan."""
     aggregates = [F.count(F.lit(1)).alias("n")]
     for i, (name, kind) in enumerate(df.dtypes):
         value = F.col(f"`{name}`")
-        countable = value if _ordered(kind) else F.to_json(value) if kind != "binary" else F.hex(value)
-        distinct = F.count_distinct(countable) if exact_distinct else approx_distinct(countable)
-        aggregates += [F.count(value).alias(f"filled_{i}"), distinct.alias(f"distinct_{i}")]
+        aggregates.append(F.count(value).alias(f"filled_{i}"))
         if _ordered(kind):
             aggregates += [F.min(value).alias(f"min_{i}"), F.max(value).alias(f"max_{i}")]
         if _is_numeric(kind):
@@ -74,7 +92,7 @@ def summarize(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     The text checks say whether all values present parse as a time, a number or, for one
     single layout, as a date.
     """
-    stats = _stats(df, exact_distinct)
+    stats = _stats(df)
     present = set(stats.columns)
     rows = []
     for i, (name, kind) in enumerate(df.dtypes):
@@ -99,7 +117,6 @@ def summarize(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
                 stat("min", "string"),
                 stat("max", "string"),
                 stat("avg", "double"),
-                F.col(f"distinct_{i}").alias("approx_unique"),
                 F.col("n").alias("row_count"),
                 F.when(F.col("n") > 0, (F.col("n") - filled) * 100.0 / F.col("n")).alias("null_percentage"),
                 time_like.alias("is_time_text"),
@@ -107,13 +124,18 @@ def summarize(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
                 date_like.alias("is_date_text"),
             )
         )
-    return stats.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    described = stats.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    counts = distinct_counts(df, exact_distinct).drop("column_name")
+    return described.join(counts, "ordinal_position").select(
+        "ordinal_position", "column_name", "column_type", "min", "max", "avg", "approx_unique", "row_count",
+        "null_percentage", "is_time_text", "is_numeric_text", "is_date_text",
+    )
 
 
-def few_valued(df: DataFrame, ceiling: int, exact_distinct: bool = False) -> list[str]:
-    """Columns with at most ``ceiling`` distinct values; one row comes to the driver."""
-    stats = summarize(df, exact_distinct).filter(F.col("approx_unique").between(1, ceiling))
-    return [r["column_name"] for r in stats.select("column_name").coalesce(1).collect()]
+def few_valued(counts: DataFrame, ceiling: int) -> list[str]:
+    """Columns with 1 to ``ceiling`` distinct values, of a profile or of :func:`distinct_counts`."""
+    few = counts.filter(F.col("approx_unique").between(1, ceiling))
+    return [r["column_name"] for r in few.select("column_name").coalesce(1).collect()]
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -133,10 +155,17 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def top_values(
-    df: DataFrame, columns: list[str] | None = None, k: int = 10, ceiling: int = TOP_VALUES_CEILING
+    df: DataFrame,
+    columns: list[str] | None = None,
+    k: int = 10,
+    ceiling: int = TOP_VALUES_CEILING,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
-    """Most frequent values of every low-cardinality column, ties by value."""
-    allowed = few_valued(df, ceiling)
+    """Most frequent values of every low-cardinality column, ties by value.
+
+    A profile that was taken before saves the scan that finds those columns.
+    """
+    allowed = few_valued(distinct_counts(df) if profile is None else profile, ceiling)
     chosen = [c for c in (columns or df.columns) if c in allowed]
     if not chosen:
         return local_frame(df.sparkSession, [], "column_name string, value string, count bigint")
@@ -149,7 +178,7 @@ def _name_has(words: tuple[str, ...]) -> Column:
     return F.lower("column_name").rlike("|".join(words))
 
 
-def categorize(profile: DataFrame) -> DataFrame:
+def categorize(profile: DataFrame, few: int = FEW_DISTINCT) -> DataFrame:
     """Add the semantic category and the ingest type of every profiled column."""
     kind = F.col("column_type")
     name = F.lower("column_name")
@@ -160,7 +189,7 @@ def categorize(profile: DataFrame) -> DataFrame:
     numeric_text = F.col("is_numeric_text") & ~F.col("is_time_text")
     date_text = F.col("is_date_text") & ~F.col("is_time_text") & ~numeric_text
     number_like = is_float | is_integer | numeric_text
-    measure_like = (F.col("approx_unique") > FEW_DISTINCT) | is_id | _name_has(MEASURE_WORDS)
+    measure_like = (F.col("approx_unique") > few) | is_id | _name_has(MEASURE_WORDS)
     category = (
         F.when(number_like & measure_like & is_id, "identifier")
         .when(number_like & measure_like & is_float, "continuous")
@@ -175,10 +204,10 @@ def categorize(profile: DataFrame) -> DataFrame:
     return profile.withColumns({"category": category, "ingest_type": ingest})
 
 
-def members(df: DataFrame, profile: DataFrame, k: int = 10) -> DataFrame:
+def members(df: DataFrame, profile: DataFrame, k: int = 10, ceiling: int = MEMBERS_CEILING) -> DataFrame:
     """First ``k`` distinct values, in order, of categorical columns with few values."""
     wanted = categorize(profile).filter(
-        (F.col("category") == "categorical") & (F.col("approx_unique") < MEMBERS_CEILING)
+        (F.col("category") == "categorical") & (F.col("approx_unique") < ceiling)
     )
     chosen = [r["column_name"] for r in wanted.select("column_name").coalesce(1).collect()]
     if not chosen:

@@ -931,6 +931,14 @@ def prf_1(spark, sf):
     return rounded(kept, avg=4, null_percentage=6)
 
 
+@case("prf_1_summarize_sketches", _profile_sql("orders", {"o_orderstatus": "VARCHAR", "o_orderpriority": "VARCHAR"}))
+def prf_1_sketches(spark, sf):
+    """The default path, on columns with so few values that the sketches are exact."""
+    stats = profile.summarize(src.table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority"))
+    kept = stats.drop("is_time_text", "is_numeric_text", "is_date_text")
+    return rounded(kept, avg=4, null_percentage=6)
+
+
 _TOP = """SELECT column_name, value, count FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value) AS rn FROM ({}))
     WHERE rn <= 10"""
 
