@@ -198,8 +198,9 @@ def drop_near_duplicates(
     )
     kept = stored(winner.select("winner"), "winners")
     copies = prints.join(kept, prints["row_key"] == kept["winner"]).groupBy("winner").agg(F.count("*").alias("copies"))
+    # whole rows are shuffled once, at every size alike: the winners grow with the documents
     tagged = docs.withColumn("__row_key", F.xxhash64(key, text)).join(
-        stored(copies, "copies"), F.col("__row_key") == F.col("winner")
+        stored(copies, "copies").hint("merge"), F.col("__row_key") == F.col("winner")
     )
     once = tagged.where("copies = 1").select(*docs.columns)
     repeated = tagged.where("copies > 1").dropDuplicates(["__row_key"]).select(*docs.columns)
