@@ -197,11 +197,39 @@ def push_schema_history(history: DataFrame, batch: DataFrame, at: Column | None
     return kept.select(columns).unionByName(fresh, allowMissingColumns=True).select(columns)
 
 
+# Landing type of a stored type.
+LANDING_TYPES = {
+    "string": "text",
+    "boolean": "bool",
+    "tinyint": "bigint",
+    "smallint": "bigint",
+    "int": "bigint",
+    "float": "double",
+    "timestamp_ntz": "timestamp",
+}
+
+
+def landing_columns(tables: dict[str, DataFrame]) -> list[tuple]:
+    """(table_name, column_name, data_type, ordinal_position) of raw tables, from their schemas."""
+    rows = []
+    for name, df in tables.items():
+        for i, (column, kind) in enumerate(df.dtypes, start=1):
+            kind = "decimal" if kind.startswith("decimal") else LANDING_TYPES.get(kind, kind)
+            rows.append((name, column, kind, i))
+    return rows
+
+
 def schema_manifest(spark: SparkSession, tenant: str, tables: dict[str, DataFrame], at: Column | None = None) -> DataFrame:
-    """One row per raw table: its schema as JSON; metadata only, no data is read."""
+    """One row per raw table: its schema as JSON and its manifest; metadata only, no data is read."""
     rows = [(tenant, name, df.schema.json()) for name, df in tables.items()]
     schema = "tenant_slug string, table_name string, source_schema string"
-    return local_frame(spark, rows, schema).withColumn("updated_at", _now(at))
+    columns = "table_name string, column_name string, data_type string, ordinal_position int"
+    described = raw_manifest(local_frame(spark, landing_columns(tables), columns)).select(
+        "table_name", F.to_json(F.struct("dimensions", "measures", "primary_key")).alias("boring_semantic_manifest")
+    )
+    return local_frame(spark, rows, schema).join(described, "table_name", "left").select(
+        "tenant_slug", "table_name", "source_schema", "boring_semantic_manifest", _now(at).alias("updated_at")
+    )
 
 
 # Landing types by semantic role.

@@ -63,16 +63,15 @@ def describe_columns(df: DataFrame, **labels: str) -> list[tuple]:
     ]
 
 
-def physical_tables(spark: SparkSession) -> DataFrame:
-    """All catalogued tables as (table_catalog, table_schema, table_name).
+def physical_tables(spark: SparkSession, databases: str = "*") -> DataFrame:
+    """All catalogued tables of the databases like a pattern: (table_catalog, table_schema, table_name).
 
-    Reads catalogue entries database by database; no table data is touched.
+    Reads catalogue entries database by database, one call each; no table data is touched.
     """
-    rows = [
-        (spark.catalog.currentCatalog(), database.name, table.name)
-        for database in spark.catalog.listDatabases()
-        for table in spark.catalog.listTables(database.name)
-    ]
+    rows = []
+    for database in spark.catalog.listDatabases(databases):
+        for table in spark.catalog.listTables(database.name):
+            rows.append((spark.catalog.currentCatalog(), database.name, table.name))
     schema = "table_catalog string, table_schema string, table_name string"
     return local_frame(spark, rows, schema)
 

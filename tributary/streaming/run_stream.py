@@ -3,24 +3,28 @@
 Each micro-batch is reduced to its newest row per (invocation, node) and appended; the
 current state is the newest row per key over the log.  "Newest" does not depend on the
 order of arrival, so late and repeated deliveries give the same state, and no batch ever
-rewrites what is stored.  ``compact`` replaces a long log by its current state.
+rewrites what is stored.  ``compact`` writes the current state as a snapshot, after which
+only the batches that followed it are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+import time
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tributary.operators.observability import newest_runs, stage_run_results
 from tributary.schemas import RUN_RESULTS, struct
 from tributary.sources.raw import DEFAULT_LOAD_ID
-from tributary.sources.sinks import overwrite_current
+from tributary.sources.sinks import current_version, overwrite_current
 
 STAGED_RUNS = struct(
     "invocation_id:s dlt_load_id:s node_id:s node_name:s resource_type:s run_result_status:s "
     "run_result_message:s rows_affected:l execution_time_seconds:d run_started_at:ts run_completed_at:ts "
     "extracted_at:ts"
 )
+_BATCH = T.StructField("batch", T.LongType())
 
 
 def runs_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = RUN_RESULTS) -> DataFrame:
@@ -28,15 +32,43 @@ def runs_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.
 
 
 def fold_runs(log_path: str, batch: DataFrame, load_id: str = DEFAULT_LOAD_ID) -> None:
-    stage_run_results(batch, None, load_id).write.mode("append").parquet(log_path)
+    """Append a batch, in a folder that is newer than all before it."""
+    rows = stage_run_results(batch, None, load_id).withColumn("batch", F.lit(time.time_ns()))
+    rows.write.mode("append").partitionBy("batch").parquet(log_path)
+
+
+def _log(spark: SparkSession, log_path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*STAGED_RUNS.fields, _BATCH])).parquet(log_path)
+
+
+def current_runs(spark: SparkSession, log_path: str, snapshot_path: str | None = None) -> DataFrame:
+    """Newest row per key over the log, or over a snapshot and the batches after it.
+
+    With a snapshot only the tail of the log is read; batch folders that the snapshot
+    covers may be removed.
+    """
+    return _current(spark, log_path, snapshot_path).drop("batch")
 
 
-def current_runs(spark: SparkSession, log_path: str) -> DataFrame:
-    return newest_runs(spark.read.schema(STAGED_RUNS).parquet(log_path))
+def _current(spark: SparkSession, log_path: str, snapshot_path: str | None) -> DataFrame:
+    log = _log(spark, log_path)
+    version = None if snapshot_path is None else current_version(spark, snapshot_path)
+    if version is None:
+        return newest_runs(log)
+    snapshot = spark.read.schema(T.StructType([*STAGED_RUNS.fields, _BATCH])).parquet(version)
+    through = snapshot.agg(F.max("batch")).first()[0] or 0
+    return newest_runs(snapshot.unionByName(log.filter(F.col("batch") > through)))
 
 
 def compact(spark: SparkSession, log_path: str, snapshot_path: str) -> str:
-    return overwrite_current(current_runs(spark, log_path), snapshot_path)
+    """Replace the snapshot by the current state; the log stays as it is.
+
+    Every row of the snapshot is marked with the newest batch it covers, so batches that
+    come later are the tail.
+    """
+    through = _log(spark, log_path).agg(F.max("batch")).first()[0] or 0
+    state = _current(spark, log_path, snapshot_path).withColumn("batch", F.lit(through).cast("bigint"))
+    return overwrite_current(state, snapshot_path)
 
 
 def run_results_stream(

@@ -18,7 +18,7 @@ from tributary.sources import raw, sinks, tenants
 from tributary.sources.local import local_frame
 from tributary.sources.connectors import CONNECTORS, connector_catalog
 from tributary.streaming.hub_stream import push_stream, raw_stream
-from tributary.streaming.run_stream import current_runs, run_results_stream, runs_stream
+from tributary.streaming.run_stream import compact, current_runs, run_results_stream, runs_stream
 from validation import inputs as src, sqltext as sql
 from validation.case import case
 from validation.star_cases import config, ga_sessions_sql, ga_star_events
@@ -121,13 +121,14 @@ CATALOG = f"catalog(source_name, version, master_model_id, source_table_name) AS
 
 @case(
     "src_5_connector_catalog",
-    f"""WITH {CATALOG}, {sql.RUNS} SELECT c.*, master_model_id || '_' || source_table_name AS hub_table_id, count(*) AS runs
-    FROM catalog c JOIN runs r ON ends_with(r.node_name, '__shopify_' || c.source_table_name) GROUP BY ALL""",
+    f"""WITH {CATALOG}, {sql.RUNS} SELECT c.*, master_model_id || '_' || source_table_name AS hub_table_id, count(r.node_name) AS runs
+    FROM catalog c LEFT JOIN runs r ON ends_with(r.node_name, '__shopify_' || c.source_table_name) GROUP BY ALL""",
 )
 def src_5(spark, sf):
     runs = src.run_results(spark, sf).select(F.regexp_extract("node_name", "__shopify_(.+)$", 1).alias("source_table_name"))
     counted = runs.groupBy("source_table_name").agg(F.count(F.lit(1)).alias("runs"))
-    return connector_catalog(spark).join(counted, "source_table_name")
+    catalogue = connector_catalog(spark).join(counted, "source_table_name", "left")
+    return catalogue.withColumn("runs", F.coalesce("runs", F.lit(0)))
 
 
 def inventory_tables(spark, sf) -> DataFrame:
@@ -155,6 +156,27 @@ def src_6(spark, sf):
     return raw.tenant_inventory(inventory_tables(spark, sf)).drop("created_at")
 
 
+@case(
+    "src_6_physical_tables",
+    """SELECT 'raw_t' || (o_orderkey % 3) || '_shopify_orders' AS source_table, count(*) AS row_count FROM orders GROUP BY 1""",
+)
+def src_6_physical(spark, sf):
+    """One catalogued table per tenant, made here and found in the catalogue."""
+    path = scratch_path(spark, "inventory")
+    database = "inventory_" + path.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    orders = src.table(spark, sf, "orders")
+    for n in range(3):
+        orders.filter(f"o_orderkey % 3 = {n}").write.saveAsTable(f"{database}.raw_t{n}_shopify_orders")
+    found = raw.tenant_inventory(raw.physical_tables(spark, database))
+    counts = [
+        spark.table(f"{r.source_schema}.{r.source_table}").agg(F.count(F.lit(1)).alias("row_count"))
+        .select(F.lit(r.source_table).alias("source_table"), "row_count")
+        for r in found.collect()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # --- sinks ---------------------------------------------------------------------------
 
 ORDER_HUB_SQL = f"WITH {sql.ORDERS} SELECT tenant_slug, 'bigcommerce' AS source_platform, md5(tenant_slug) AS tenant_skey, count(*) AS row_count FROM orders_base GROUP BY 1"
@@ -444,14 +466,24 @@ def hub_8(spark, sf):
 
 @case(
     "hub_9_schema_manifest",
-    "SELECT 't0' AS tenant_slug, v.table_name, v.columns, n.row_count FROM (VALUES ('raw_t0_shopify_orders', 6), ('raw_t0_shopify_customers', 5)) v(table_name, columns), (SELECT count(*) AS row_count FROM orders) n",
+    """SELECT 't0' AS tenant_slug, v.table_name, v.columns, v.dimensions, v.measures, n.row_count FROM (VALUES
+    ('orders', 6, 'o_orderstatus,o_orderdate,o_orderpriority', 'o_orderkey,o_custkey,o_totalprice'),
+    ('customer', 5, 'c_name,c_mktsegment', 'c_custkey,c_nationkey,c_acctbal')) v(table_name, columns, dimensions, measures)
+    JOIN (SELECT 'orders' AS table_name, count(*) AS row_count FROM orders UNION ALL SELECT 'customer', count(*) FROM customer) n USING (table_name)""",
 )
 def hub_9(spark, sf):
-    tables = {"raw_t0_shopify_orders": src.table(spark, sf, "orders"), "raw_t0_shopify_customers": src.table(spark, sf, "customer")}
+    """Schemas and manifests of two raw tables, next to their row counts."""
+    tables = {name: src.table(spark, sf, name) for name in ("orders", "customer")}
     rows = hub.schema_manifest(spark, "t0", tables)
-    fields = F.json_array_length(F.get_json_object("source_schema", "$.fields")).alias("columns")
-    total = src.table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("row_count")).withColumn("tenant_slug", F.lit("t0"))
-    return rows.join(total, "tenant_slug").select("tenant_slug", "table_name", fields, "row_count")
+    counts = [df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(n)) for n, df in tables.items()]
+    listed = "dimensions array<struct<name:string>>, measures array<struct<name:string>>"
+    manifest = F.from_json("boring_semantic_manifest", listed)
+    return rows.join(reduce(DataFrame.unionByName, counts), "table_name").select(
+        "tenant_slug", "table_name",
+        F.json_array_length(F.get_json_object("source_schema", "$.fields")).alias("columns"),
+        F.array_join(manifest.getField("dimensions").getField("name"), ",").alias("dimensions"),
+        F.array_join(manifest.getField("measures").getField("name"), ",").alias("measures"), "row_count",
+    )
 
 
 @case(
@@ -657,11 +689,13 @@ def str_1(spark, sf):
     SELECT invocation_id, node_id, status AS run_result_status, rows_affected FROM staged WHERE rn = 1""",
 )
 def str_2(spark, sf):
-    """Two deliveries of the run log, the older half last: rows fold in by key."""
-    landing, stored, progress = (scratch_path(spark, x) for x in ("runlog", "runs", "progress"))
+    """Three deliveries of the run log, a snapshot before the last: rows fold in by key."""
+    landing, stored, progress, snapshot = (scratch_path(spark, x) for x in ("runlog", "runs", "progress", "snapshot"))
     runs = src.run_results(spark, sf)
     for condition in ("year(run_started_at) >= 1997", "year(run_started_at) < 1997", "year(run_started_at) = 1997"):
         runs.filter(condition).write.mode("append").parquet(landing)
         run_results_stream(runs_stream(spark, landing), stored, progress).awaitTermination()
-    return current_runs(spark, stored).select("invocation_id", "node_id", "run_result_status", "rows_affected")
+        if condition.endswith("< 1997"):
+            compact(spark, stored, snapshot)
+    return current_runs(spark, stored, snapshot).select("invocation_id", "node_id", "run_result_status", "rows_affected")
 

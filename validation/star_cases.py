@@ -601,18 +601,22 @@ def fct_6(spark, sf):
 
 @case(
     "fct_7_tenant_config",
-    f"""WITH {sql.GA}, cfg(tenant_slug, source, rank, enabled, conversion_count) AS (VALUES
-    ('t0', 'shopify', 1, true, 0), ('t0', 'facebook_ads', 2, true, 0), ('t0', 'google_ads', 3, true, 0),
-    ('t0', 'google_analytics', 4, true, 1), ('t0', 'mixpanel', 5, true, 0),
-    ('t1', 'google_analytics', 1, false, 0), ('t1', 'woocommerce', 2, true, 0), ('t1', 'shopify', 3, true, 0),
-    ('t1', 'instagram_ads', 4, true, 0), ('t1', 'facebook_ads', 5, false, 0), ('t1', 'mixpanel', 6, true, 2),
-    ('t2', 'bigcommerce', 1, true, 0), ('t2', 'amplitude', 2, true, 0), ('t2', 'facebook_ads', 3, true, 0),
-    ('t2', 'google_ads', 4, true, 0), ('t2', 'instagram_ads', 5, true, 0)),
-    n AS (SELECT tenant_slug, count(*) AS event_count FROM ga GROUP BY 1)
-    SELECT cfg.tenant_slug, source, rank, enabled, conversion_count, event_count FROM cfg JOIN n ON cfg.tenant_slug = n.tenant_slug""",
+    """SELECT 'c' || c_custkey AS tenant_slug, source, rank, CASE source WHEN 'shopify' THEN true ELSE c_nationkey % 2 = 0 END AS enabled,
+    CASE source WHEN 'shopify' THEN 0 ELSE 1 + CAST(c_nationkey % 3 = 0 AS INTEGER) END AS conversion_count
+    FROM customer, (VALUES ('shopify', 1), ('google_analytics', 2)) v(source, rank)""",
 )
 def fct_7(spark, sf):
-    counts = src.ga_events(spark, sf).groupBy("tenant_slug").agg(F.count(F.lit(1)).alias("event_count"))
-    return config(spark).join(counts, "tenant_slug").select(
-        "tenant_slug", "source", "rank", "enabled", F.size("conversion_events").alias("conversion_count"), "event_count"
+    """A manifest per customer: one store and one analytics source with its own conversion events."""
+    customers = src.table(spark, sf, "customer")
+    even, third = F.col("c_nationkey") % 2 == 0, F.col("c_nationkey") % 3 == 0
+    text = F.concat(
+        F.lit('{"shopify": {"enabled": true}, "google_analytics": {"enabled": '), even.cast("string"),
+        F.lit(', "logic": {"conversion_events": ["purchase"'), F.when(third, ', "add_to_cart"').otherwise(""), F.lit("]}}}"),
+    )
+    manifest = customers.select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("tenant_slug"), F.lit("active").alias("status"),
+        text.alias("sources_config"),
+    )
+    return tenant_sources(manifest).select(
+        "tenant_slug", "source", "rank", "enabled", F.size("conversion_events").alias("conversion_count")
     )
