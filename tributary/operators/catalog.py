@@ -486,9 +486,8 @@ def model_details(
     calc_lists = calcs.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("name", "label", "sql", "format"))).alias("calculated_measures")
     )
-    join_lists = joins.groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.struct("to", "type", "left_on", "right_on"))).alias("joins")
-    )
+    pair = [c for c in ("to", "type", "left_on", "right_on", "cardinality") if c in joins.columns]
+    join_lists = joins.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*pair))).alias("joins"))
     return fields.join(calc_lists, key, "left").join(join_lists, key, "left")
 
 

@@ -246,7 +246,7 @@ def _bind(row, df: DataFrame) -> SemanticModel:
     for j in row["joins"] or []:
         on.setdefault(j["to"], []).append(j)
     joins = {
-        to: Join(to, tuple((p["left_on"], p["right_on"]) for p in pairs), pairs[0]["type"])
+        to: Join(to, tuple((p["left_on"], p["right_on"]) for p in pairs), pairs[0]["type"], pairs[0]["cardinality"])
         for to, pairs in on.items()
     }
     return SemanticModel(

@@ -111,7 +111,7 @@ def semantic_query(layer: SemanticLayer, tenant: str, request: Request) -> DataF
     model, targets = validate(layer, request)
     rows = model.df.filter(F.col("tenant_slug") == tenant)
     for target in targets:
-        rows = _join(rows, target, model.joins[target.name], tenant)
+        rows = _join(rows, target, model.joins[target.name], tenant, _fields_used(request))
     for f in request.filters:
         rows = rows.filter(OPERATORS[f.op](_field(model, f.field), f.value))
         for bound in _epoch_bounds(model, f):
@@ -182,14 +182,22 @@ def _field(model: SemanticModel, name: str) -> Column:
     return F.col(f"`{measure.source_column}`") if measure and measure.source_column else F.col(f"`{name}`")
 
 
-def _join(rows: DataFrame, target: SemanticModel, join: Join, tenant: str) -> DataFrame:
+def _fields_used(request: Request) -> set[str]:
+    return {*request.dimensions, *(f.field for f in request.filters), *(o.field for o in request.order_by)}
+
+
+def _join(rows: DataFrame, target: SemanticModel, join: Join, tenant: str, used: set[str]) -> DataFrame:
     """Join on all key pairs within the tenant; the target's columns get its name as prefix.
 
     No side is forced to be broadcast: a small dimension is by its measured size, a large
-    one is sort-merge joined with skew handling.  A target with several rows per key
-    multiplies base rows, as an SQL join does.
+    one is sort-merge joined with skew handling.  A target with many rows per key is first
+    reduced to its distinct keys and the fields the request uses, so a base row counts
+    once for each of their values and sums of the base stay right.
     """
     side = prefix_columns(target.df.filter(F.col("tenant_slug") == tenant), target.name)
+    if join.cardinality == "many":
+        keys = [f"{target.name}.{right}" for _, right in join.on]
+        side = side.select(*[f"`{c}`" for c in side.columns if c in keys or c in used]).distinct()
     condition = F.lit(True)
     for left, right in join.on:
         condition = condition & (F.col(f"`{left}`") == F.col(f"`{target.name}.{right}`"))

@@ -15,6 +15,7 @@ from tributary.plans.alias import AliasDimension, AliasMeasure, AliasModel, date
 from tributary.plans.model import SemanticLayer
 from tributary.plans.query import Filter, OrderBy, Request, preview, semantic_query
 from tributary.schemas import STAR, catalogue_type
+from tributary.sources.local import local_frame
 from validation import inputs as src, sqltext as sql
 from validation.case import case
 from validation.star_cases import DAY, PURCHASE, _amp_sessions, _mix_sql, ga_sessions, ga_sessions_sql, ga_star_events, rounded, users_sql
@@ -860,6 +861,25 @@ def dsh_1_mixed(spark, sf):
     return _two_weeks(spark, ga_sessions(spark, sf, DAY).unionByName(amplitude))
 
 
+@case(
+    "sem_20_many_join",
+    f"""{GA_DAY}, {sql.GA_EVENTS}, e AS (SELECT DISTINCT tenant_slug, user_pseudo_id, device_category FROM ga_events)
+    SELECT e.device_category AS "events.device_category", CAST(sum(events_in_session) AS BIGINT) AS events_in_session, count(DISTINCT session_id) AS total_sessions
+    FROM sessions s LEFT JOIN e ON s.tenant_slug = e.tenant_slug AND s.user_pseudo_id = e.user_pseudo_id WHERE s.tenant_slug = 't1' GROUP BY 1""",
+)
+def sem_20_many(spark, sf):
+    """A fact joined to a fact by an overlay: every session counts once for each device of its user."""
+    overlay = [("all", "fct_all__sessions", "fct_all__events", "left", "user_pseudo_id", "user_pseudo_id")]
+    joins = local_frame(
+        spark, overlay, "tenant_slug string, table_name string, to_table string, type string, left_on string, right_on string"
+    )
+    frames = {"sessions": ga_sessions(spark, sf, DAY), "events": ga_star_events(spark, sf)}
+    models = SemanticLayer.from_frames(spark, frames, overlay_joins=joins)
+    return semantic_query(models, "t1", Request(
+        "sessions", dimensions=("events.device_category",), measures=("events_in_session", "total_sessions"), joins=("events",)
+    ))
+
+
 @case(
     "qry_filtered_derived_date",
     f"""{GA_DAY} SELECT traffic_source, count(DISTINCT session_id) AS total_sessions FROM sessions
