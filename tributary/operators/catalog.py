@@ -23,10 +23,10 @@ UNQUERYABLE = ("JSON", "BLOB")
 HIDDEN_COLUMNS = ("tenant_slug",)
 SHARED_COLUMNS = ("tenant_slug", "source_platform")
 FUNNEL_PREFIX = "funnel_"
-EPOCH_SUFFIXES = ("start", "end", "ts", "at", "timestamp", "date")
+EPOCH_SUFFIXES = ("_start", "_end", "_ts", "_at", "_timestamp", "_date")
 DIMENSION_SUFFIXES = (
-    "id", "key", "slug", "name", "status", "type", "category", "email", "source", "medium",
-    "campaign", "country", "device",
+    "_id", "_key", "_slug", "_name", "_status", "_type", "_category", "_email", "_source", "_medium",
+    "_campaign", "_country", "_device",
 )
 
 
@@ -69,7 +69,7 @@ def _one_of(column: Column, values: tuple[str, ...]) -> Column:
 
 
 def _suffix(name: Column, suffixes: tuple[str, ...]) -> Column:
-    return name.rlike(f"_({'|'.join(suffixes)})$")
+    return name.rlike(f"({'|'.join(suffixes)})$")
 
 
 # --- star tables -----------------------------------------------------------------

@@ -35,17 +35,17 @@ def _f(alias: str, keys: str | None = None, kind: str = "string", expression: st
     return Field(alias, tuple((keys or alias).split("|")), kind, expression)
 
 
-def _same(names: str, kind: str = "string") -> tuple[Field, ...]:
-    return tuple(_f(n, kind=kind) for n in names.split())
+def _same(*names: str, kind: str = "string") -> tuple[Field, ...]:
+    return tuple(_f(n, kind=kind) for n in names)
 
 
-_COUNTS = (*_same("impressions clicks", "bigint"), _f("conversions", kind="double"))
+_COUNTS = (*_same("impressions", "clicks", kind="bigint"), _f("conversions", kind="double"))
 _SPEND = (_f("spend", kind="double"),)
 _META_INSIGHTS = (
     _f("report_date", "date_start", "date"),
     *_SPEND,
     *_COUNTS,
-    *_same("campaign_id adset_id ad_id"),
+    *_same("campaign_id", "adset_id", "ad_id"),
 )
 _CAMPAIGN = (
     _f("campaign_id", "id|campaign_id"),
@@ -71,13 +71,13 @@ SPECS: dict[tuple[str, str], Spec] = {
                     "cast(try_cast(p.cost_micros as bigint) as double) / 1000000",
                 ),
                 *_COUNTS,
-                *_same("campaign_id ad_group_id ad_id"),
+                *_same("campaign_id", "ad_group_id", "ad_id"),
             ),
         ),
         Spec(
             "bing_ads",
             "account_performance_report",
-            (_f("report_date", "time_period", "date"), *_SPEND, *_same("impressions clicks", "bigint")),
+            (_f("report_date", "time_period", "date"), *_SPEND, *_same("impressions", "clicks", kind="bigint")),
         ),
         Spec(
             "linkedin_ads",
@@ -92,7 +92,7 @@ SPECS: dict[tuple[str, str], Spec] = {
         Spec(
             "amazon_ads",
             "sponsored_products_product_ads",
-            (_f("report_date", "date", "date"), *_same("campaign_id ad_group_id ad_id"), *_SPEND, *_COUNTS),
+            (_f("report_date", "date", "date"), *_same("campaign_id", "ad_group_id", "ad_id"), *_SPEND, *_COUNTS),
         ),
         Spec(
             "tiktok_ads",
@@ -126,7 +126,7 @@ SPECS: dict[tuple[str, str], Spec] = {
                 _f("order_name", "name"),
                 _f("email"),
                 _f("total_price", kind="double"),
-                *_same("currency financial_status customer_email customer_id"),
+                *_same("currency", "financial_status", "customer_email", "customer_id"),
                 _f("order_created_at", "created_at", "timestamp"),
                 _f("line_items_json", "line_items"),
             ),
@@ -163,13 +163,13 @@ SPECS: dict[tuple[str, str], Spec] = {
             "google_analytics",
             "events",
             (
-                *_same("event_name event_date"),
+                *_same("event_name", "event_date"),
                 _f("event_timestamp", kind="bigint"),
-                *_same("user_pseudo_id user_id geo_country geo_city"),
+                *_same("user_pseudo_id", "user_id", "geo_country", "geo_city"),
                 _f("traffic_source", "traffic_source_source"),
                 _f("traffic_medium", "traffic_source_medium"),
                 _f("traffic_campaign", "traffic_source_campaign"),
-                *_same("device_category ga_session_id"),
+                *_same("device_category", "ga_session_id"),
                 _f("transaction_id", "ecommerce_transaction_id"),
                 _f("purchase_revenue", "ecommerce_value", "double"),
                 _f("ecommerce_currency"),

@@ -5,83 +5,95 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _TYPES = {
-    "s": T.StringType(),
-    "l": T.LongType(),
-    "i": T.IntegerType(),
-    "d": T.DoubleType(),
-    "b": T.BooleanType(),
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
     "date": T.DateType(),
-    "ts": T.TimestampType(),
+    "timestamp": T.TimestampType(),
 }
 
 
-def struct(spec: str) -> T.StructType:
-    """``"name:s amount:d"`` -> StructType."""
-    fields = (part.split(":") for part in spec.split())
-    return T.StructType([T.StructField(name, _TYPES[code], True) for name, code in fields])
+def struct(columns: str) -> T.StructType:
+    """A schema from its DDL text, without a session to parse it."""
+    fields = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind], True) for name, kind in fields])
 
 
 HUB = struct(
-    "tenant_slug:s tenant_skey:s source_platform:s source_schema_hash:s "
-    "source_schema:s raw_data_payload:s loaded_at:ts"
+    "tenant_slug string, tenant_skey string, source_platform string, source_schema_hash string, "
+    "source_schema string, raw_data_payload string, loaded_at timestamp"
 )
 #: Stored next to the seven contract columns so that a push never re-reads payloads.
 HUB_DIGEST = "payload_md5"
 
 STAR = {
     "fct_ad_performance": struct(
-        "tenant_slug:s source_platform:s report_date:date campaign_id:s ad_group_id:s ad_id:s "
-        "spend:d impressions:l clicks:l conversions:d"
+        "tenant_slug string, source_platform string, report_date date, campaign_id string, "
+        "ad_group_id string, ad_id string, spend double, impressions bigint, clicks bigint, "
+        "conversions double"
     ),
     "fct_orders": struct(
-        "tenant_slug:s source_platform:s order_id:s order_date:ts total_price:d currency:s "
-        "financial_status:s customer_email:s customer_id:s line_items_json:s"
+        "tenant_slug string, source_platform string, order_id string, order_date timestamp, "
+        "total_price double, currency string, financial_status string, customer_email string, "
+        "customer_id string, line_items_json string"
     ),
     "fct_sessions": struct(
-        "tenant_slug:s source_platform:s session_id:s user_pseudo_id:s user_id:s "
-        "session_start_ts:l session_end_ts:l session_duration_seconds:d events_in_session:l "
-        "traffic_source:s traffic_medium:s traffic_campaign:s geo_country:s device_category:s "
-        "funnel_max_step:l funnel_step_1_session_start:l funnel_step_2_view_item:l "
-        "funnel_step_3_add_to_cart:l funnel_step_4_begin_checkout:l "
-        "funnel_step_5_add_payment_info:l funnel_step_6_purchase:l funnel_conversion_count:l "
-        "is_conversion_session:b session_revenue:d transaction_id:s"
+        "tenant_slug string, source_platform string, session_id string, user_pseudo_id string, "
+        "user_id string, session_start_ts bigint, session_end_ts bigint, "
+        "session_duration_seconds double, events_in_session bigint, traffic_source string, "
+        "traffic_medium string, traffic_campaign string, geo_country string, device_category string, "
+        "funnel_max_step bigint, funnel_step_1_session_start bigint, funnel_step_2_view_item bigint, "
+        "funnel_step_3_add_to_cart bigint, funnel_step_4_begin_checkout bigint, "
+        "funnel_step_5_add_payment_info bigint, funnel_step_6_purchase bigint, "
+        "funnel_conversion_count bigint, is_conversion_session boolean, session_revenue double, "
+        "transaction_id string"
     ),
     "fct_events": struct(
-        "tenant_slug:s source_platform:s event_name:s event_timestamp:l user_pseudo_id:s user_id:s "
-        "session_id:s order_id:s order_total:d traffic_source:s traffic_medium:s "
-        "traffic_campaign:s geo_country:s device_category:s"
+        "tenant_slug string, source_platform string, event_name string, event_timestamp bigint, "
+        "user_pseudo_id string, user_id string, session_id string, order_id string, order_total double, "
+        "traffic_source string, traffic_medium string, traffic_campaign string, geo_country string, "
+        "device_category string"
     ),
     "dim_campaigns": struct(
-        "tenant_slug:s source_platform:s campaign_id:s campaign_name:s campaign_status:s"
+        "tenant_slug string, source_platform string, campaign_id string, campaign_name string, "
+        "campaign_status string"
     ),
     "dim_users": struct(
-        "tenant_slug:s source_platform:s user_pseudo_id:s user_id:s customer_email:s customer_id:s "
-        "is_customer:b first_seen_at:l last_seen_at:l total_events:l total_sessions:l "
-        "first_geo_country:s first_device_category:s"
+        "tenant_slug string, source_platform string, user_pseudo_id string, user_id string, "
+        "customer_email string, customer_id string, is_customer boolean, first_seen_at bigint, "
+        "last_seen_at bigint, total_events bigint, total_sessions bigint, first_geo_country string, "
+        "first_device_category string"
     ),
 }
 
 SCHEMA_HISTORY = struct(
-    "tenant_slug:s platform_name:s source_table_name:s source_schema_hash:s source_schema:s "
-    "source_schema_skey:s boring_semantic_manifest:s first_seen_at:ts updated_at:ts"
+    "tenant_slug string, platform_name string, source_table_name string, source_schema_hash string, "
+    "source_schema string, source_schema_skey string, boring_semantic_manifest string, "
+    "first_seen_at timestamp, updated_at timestamp"
 )
 BLUEPRINTS = struct(
-    "source_name:s source_table_name:s source_schema_hash:s master_model_id:s version:s registered_at:ts"
+    "source_name string, source_table_name string, source_schema_hash string, "
+    "master_model_id string, version string, registered_at timestamp"
 )
 RUN_RESULTS = struct(
-    "invocation_id:s node_id:s node_name:s resource_type:s status:s message:s rows_affected:l "
-    "execution_time_seconds:d run_started_at:ts run_completed_at:ts extracted_at:ts"
+    "invocation_id string, node_id string, node_name string, resource_type string, status string, "
+    "message string, rows_affected bigint, execution_time_seconds double, run_started_at timestamp, "
+    "run_completed_at timestamp, extracted_at timestamp"
 )
 MODEL_ARTIFACTS = struct(
-    "invocation_id:s node_id:s model_name:s description:s materialization:s schema_name:s tags:s "
-    "meta:s config:s depends_on_nodes:s extracted_at:ts"
+    "invocation_id string, node_id string, model_name string, description string, "
+    "materialization string, schema_name string, tags string, meta string, config string, "
+    "depends_on_nodes string, extracted_at timestamp"
 )
 TEST_ARTIFACTS = struct(
-    "invocation_id:s node_id:s test_name:s test_type:s description:s tags:s test_metadata:s "
-    "target_model_ids:s extracted_at:ts"
+    "invocation_id string, node_id string, test_name string, test_type string, description string, "
+    "tags string, test_metadata string, target_model_ids string, extracted_at timestamp"
 )
 COLUMNS = struct(
-    "tenant_slug:s table_type:s subject:s table_name:s column_name:s data_type:s ordinal_position:i"
+    "tenant_slug string, table_type string, subject string, table_name string, column_name string, "
+    "data_type string, ordinal_position int"
 )
 
 #: Catalogue type names (fixed values) for Spark types.

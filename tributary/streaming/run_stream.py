@@ -20,9 +20,10 @@ from tributary.sources.raw import DEFAULT_LOAD_ID
 from tributary.sources.sinks import current_version, overwrite_current
 
 STAGED_RUNS = struct(
-    "invocation_id:s dlt_load_id:s node_id:s node_name:s resource_type:s run_result_status:s "
-    "run_result_message:s rows_affected:l execution_time_seconds:d run_started_at:ts run_completed_at:ts "
-    "extracted_at:ts"
+    "invocation_id string, dlt_load_id string, node_id string, node_name string, "
+    "resource_type string, run_result_status string, run_result_message string, "
+    "rows_affected bigint, execution_time_seconds double, run_started_at timestamp, "
+    "run_completed_at timestamp, extracted_at timestamp"
 )
 _BATCH = T.StructField("batch", T.LongType())
 

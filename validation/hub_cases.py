@@ -114,7 +114,7 @@ def src_4(spark, sf):
 
 
 _CONNECTOR_VALUES = ", ".join(
-    f"('{name}', '{version}', '{hub_id}', '{obj}')" for name, version, hub_id, objects in CONNECTORS for obj in objects.split()
+    f"('{name}', '{version}', '{hub_id}', '{obj}')" for name, version, hub_id, objects in CONNECTORS for obj in objects
 )
 CATALOG = f"catalog(source_name, version, master_model_id, source_table_name) AS (VALUES {_CONNECTOR_VALUES})"
 
