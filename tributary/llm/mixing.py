@@ -115,7 +115,7 @@ def plan(
         "s",
         "tokens",
         F.lit(exponent).alias("exponent"),
-        (power / mass).alias("weight"),
+        F.round(power / mass, 12).alias("weight"),
         repeats.alias("repeats"),
         F.floor(repeats).cast("int").alias("full"),
         F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1)).alias("blocks"),

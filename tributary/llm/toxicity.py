@@ -201,7 +201,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, limit
         .join(F.broadcast(chosen), key)
         .withColumn("w", words)
         .withColumn("least", F.array_min(shingle))
-        .dropDuplicates(["least", "y"])
+        .groupBy("least", "y")
+        .agg(F.min_by("t", F.struct(key, "t")).alias("t"))
     )
     rows = stored(rows.select("t", "y"), "training")
     seen = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
