@@ -202,3 +202,23 @@ def test_routing(spark):
     got = {r["q"]: r["model"] for r in route_questions(df, "q").collect()}
     assert got == {texts[0]: "ad_performance", texts[1]: "orders", "hello": "ad_performance", texts[3]: "events", None: "ad_performance"}
     assert {r["model"] for r in route_questions(df, "q", ["users"]).collect()} == {"users"}
+
+
+def test_star_files_hold_few_months(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    days = [dt.date(2023, 1, 1) + dt.timedelta(days=i) for i in range(365)]
+    data = [("t0", "google_ads", d, "c", "g", str(n), 1.0, 1, 1, 1.0) for d in days for n in range(20)]
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "8k")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        write_star({"ad_performance": local_frame(spark, data, STAR["fct_ad_performance"])}, str(tmp_path))
+    finally:
+        spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spans = []
+    for file in tmp_path.rglob("*.parquet"):
+        stored = pq.ParquetFile(file).read(columns=["report_date"]).column(0).to_pylist()
+        spans.append(len({(d.year, d.month) for d in stored}))
+    assert len(spans) > 3 and sum(spans) / len(spans) <= 4

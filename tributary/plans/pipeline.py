@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tributary.functions.casts import epoch_to_timestamp
 from tributary.functions.keys import schema_fingerprint
 from tributary.operators import factories
 from tributary.operators.ads import AD_SOURCES, CAMPAIGN_OBJECT, PERFORMANCE_OBJECT
@@ -108,8 +109,30 @@ SORT_KEYS = {
 }
 
 
+def _month(subject: str) -> Column:
+    """The month of a star row; tables without a time have one."""
+    platform = F.col("source_platform")
+    moments = {
+        "ad_performance": lambda: F.col("report_date"),
+        "orders": lambda: F.col("order_date"),
+        "events": lambda: epoch_to_timestamp(F.col("event_timestamp"), platform),
+        "sessions": lambda: epoch_to_timestamp(F.col("session_start_ts"), platform),
+    }
+    return F.trunc(moments[subject](), "MM") if subject in moments else F.lit(None).cast("date")
+
+
+def laid_out(df: DataFrame, subject: str) -> DataFrame:
+    """Rows rebalanced by tenant and month and sorted, so that files and row groups hold few dates."""
+    return (
+        df.withColumn("_month", _month(subject))
+        .hint("rebalance", F.col("tenant_slug"), F.col("_month"))
+        .sortWithinPartitions("tenant_slug", *SORT_KEYS[subject])
+        .drop("_month")
+    )
+
+
 def write_star(tables: Mapping[str, DataFrame], root: str, tenants: list[str] | None = None) -> None:
-    """Write every star table partitioned by tenant, each tenant's rows spread by AQE.
+    """Write every star table partitioned by tenant, its rows spread by tenant and month by AQE.
 
     Without ``tenants`` a new version of the table becomes current when it is complete, so
     a failed job leaves the old one.  With ``tenants`` their partitions of the current
@@ -121,11 +144,11 @@ def write_star(tables: Mapping[str, DataFrame], root: str, tenants: list[str] |
         current = None if tenants is None else current_version(df.sparkSession, path)
         if tenants is not None:
             df = df.filter(F.col("tenant_slug").isin(tenants))
-        laid_out = df.hint("rebalance", F.col("tenant_slug")).sortWithinPartitions("tenant_slug", *SORT_KEYS[subject])
+        rows = laid_out(df, subject)
         if current is None:
-            overwrite_current(laid_out, path, "tenant_slug")
+            overwrite_current(rows, path, "tenant_slug")
         else:
-            replace_partitions(laid_out, current, "tenant_slug", tenants)
+            replace_partitions(rows, current, "tenant_slug", tenants)
 
 
 def star_path(root: str, subject: str) -> str:
