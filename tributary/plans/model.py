@@ -205,7 +205,24 @@ class SemanticLayer:
         overlay_calcs: DataFrame | None = None,
         overlay_joins: DataFrame | None = None,
     ) -> SemanticLayer:
-        columns = columns_of_frames(spark, frames, tenant)
+        """The layer of one tenant, or of all alike."""
+        overlays = (overlay_columns, overlay_tables, overlay_calcs, overlay_joins)
+        return cls.for_tenants(spark, frames, [tenant], *overlays)[tenant]
+
+    @classmethod
+    def for_tenants(
+        cls,
+        spark: SparkSession,
+        frames: Mapping[str, DataFrame],
+        tenants: Iterable[str],
+        overlay_columns: DataFrame | None = None,
+        overlay_tables: DataFrame | None = None,
+        overlay_calcs: DataFrame | None = None,
+        overlay_joins: DataFrame | None = None,
+    ) -> dict[str, SemanticLayer]:
+        """A layer per tenant, each with its own overlays, from one catalogue job for all of them."""
+        tenants = list(tenants)
+        columns = columns_of_frames(spark, frames, *tenants)
         classified = catalog.classify(columns)
         metadata = catalog.column_metadata(classified, overlay_columns, overlay_tables)
         calcs = catalog.infer_calc_measures(columns)
@@ -215,19 +232,23 @@ class SemanticLayer:
         if overlay_joins is not None:
             joins = catalog.merge_joins(joins, overlay_joins)
         details = catalog.model_details(metadata, calcs, catalog.join_cardinality(joins))
-        described = {row["subject"]: row for row in details.coalesce(1).collect()}
-        return cls(spark, {s: _bind(described[s], df) for s, df in frames.items() if s in described})
+        described = {(r["tenant_slug"], r["subject"]): r for r in details.coalesce(1).collect()}
+        return {
+            t: cls(spark, {s: _bind(described[t, s], df) for s, df in frames.items() if (t, s) in described})
+            for t in tenants
+        }
 
 
-def columns_of_frames(spark: SparkSession, frames: Mapping[str, DataFrame], tenant: str = "all") -> DataFrame:
-    """*columns* frame of a set of star frames, from their schemas."""
+def columns_of_frames(spark: SparkSession, frames: Mapping[str, DataFrame], *tenants: str) -> DataFrame:
+    """*columns* frame of a set of star frames for each tenant, from their schemas."""
     rows = []
     for subject, df in frames.items():
         prefix = TABLE_OF.get(subject, f"fct_{subject}").split("_", 1)[0]
         kind = "fact" if prefix == "fct" else "dimension"
         for position, f in enumerate(df.schema.fields, start=1):
             data_type = catalogue_type(f.name, f.dataType.simpleString())
-            rows.append((tenant, kind, subject, f"{prefix}_{tenant}__{subject}", f.name, data_type, position))
+            for tenant in tenants:
+                rows.append((tenant, kind, subject, f"{prefix}_{tenant}__{subject}", f.name, data_type, position))
     return local_frame(spark, rows, COLUMNS)
 
 

@@ -880,6 +880,26 @@ def sem_20_many(spark, sf):
     ))
 
 
+@case(
+    "sem_19_overlays_per_tenant",
+    f"""{ADS} SELECT tenant_slug, source_platform, CAST(sum(clicks) AS BIGINT) AS clicks,
+    CASE tenant_slug WHEN 't0' THEN CAST(2 * sum(clicks) AS DOUBLE) WHEN 't1' THEN CAST(10 * sum(impressions) AS DOUBLE) END AS own FROM ads WHERE tenant_slug IN ('t0', 't1') GROUP BY 1, 2""",
+)
+def sem_19_per_tenant(spark, sf):
+    """Two tenants whose calculated measure of one name means different things, from one catalogue job."""
+    calcs = [
+        ("t0", "fct_t0__ad_performance", "own", "Own", "2D * sum(clicks)", "number"),
+        ("t1", "fct_t1__ad_performance", "own", "Own", "10D * sum(impressions)", "number"),
+    ]
+    layers = SemanticLayer.for_tenants(
+        spark, {"ad_performance": src.ad_performance(spark, sf)}, ["t0", "t1"],
+        overlay_calcs=local_frame(spark, calcs, catalog.OVERLAY_CALCS),
+    )
+    request = Request("ad_performance", dimensions=("source_platform",), measures=("clicks",), calculated_measures=("own",))
+    parts = [semantic_query(each, tenant, request).withColumn("tenant_slug", F.lit(tenant)) for tenant, each in layers.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @case(
     "qry_filtered_derived_date",
     f"""{GA_DAY} SELECT traffic_source, count(DISTINCT session_id) AS total_sessions FROM sessions
