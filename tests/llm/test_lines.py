@@ -74,6 +74,37 @@ def test_words_hash_alike_in_any_run():
     assert same[0] == same[1] == alone[0]
 
 
+def test_majorities_of_long_and_short_runs():
+    rng = np.random.default_rng(5)
+    size = np.array([1, 2, 254, 255, 256, 700, 3])
+    hashes = rng.integers(0, 1 << 63, size.sum()).astype(np.uint64) | np.uint64(1)
+    first = np.cumsum(size) - size
+    want = []
+    for a, n in zip(first, size):
+        own = [int(x) for x in hashes[a : a + n]]
+        want.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > n))
+    assert [int(x) & (1 << 64) - 1 for x in lines.majorities(hashes, first, size)] == want
+
+
+def test_edit_distances():
+    rng = random.Random(3)
+    for _ in range(1500):
+        a = "".join(rng.choice("abü") for _ in range(rng.randrange(12)))
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "bü"])
+        b = "".join(b)
+        d = edits(a, b)
+        assert lines.edit_distance(a, b) == d
+        assert edits(*lines.trimmed(a, b)) == d
+        for most in (0, 1, 3, 20):
+            assert lines.few_edits(a, b, most) == (d if d <= most else None)
+        assert lines.similar(a, b, 0.8) == (d <= np.floor(0.2 * max(len(a), len(b)) + 1e-9))
+    long = "word " * 20_000
+    assert lines.similar(long, long[:50_000] + "x" + long[50_000:], 0.8) and not lines.similar(long, long[:70_000], 0.8)
+
+
 def test_blocks_find_every_pair_within_three_bits(session):
     rng = random.Random(4)
     values = {rng.getrandbits(64) for _ in range(50)} | {0, (1 << 64) - 1}

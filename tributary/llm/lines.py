@@ -15,6 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -65,10 +66,26 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
     words ^= words >> np.uint64(32)
     last = np.flatnonzero(run[ends] == 10)
     first = np.concatenate(([0], last[:-1] + 1))
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    majority = 2 * counts > (last - first + 1)[:, None]
-    return np.packbits(majority, axis=1, bitorder="little").view(np.int64).ravel()
+    size = last - first + 1
+    return majorities(words, first, size)
+
+
+#: The bits of a byte as eight counters of a byte each.
+LANES = sum((np.arange(256, dtype=np.uint64) >> np.uint64(i) & np.uint64(1)) << np.uint64(8 * i) for i in range(8))
+
+
+def majorities(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run of hashes the bits that more than half of them have.
+
+    Bits are counted eight to a word, in parts of at most 255 hashes, so that no counter
+    overflows into the next.
+    """
+    parts = (size + 254) // 255
+    begin = np.cumsum(parts) - parts
+    part = np.arange(parts.sum()) - np.repeat(begin, parts)
+    lanes = np.add.reduceat(LANES[hashes.view(np.uint8).reshape(-1, 8)], np.repeat(first, parts) + 255 * part, axis=0)
+    counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 64), begin, axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view(np.int64).ravel()
 
 
 def runs(lines: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -87,7 +104,7 @@ def row_key(key: str, text: str) -> Column:
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``(k, row_key, line, h, fp, norm)`` of every line with content."""
+    """Rows ``(k, row_key, line, h, fp, n, norm)`` of every line with content; n is its length."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -101,6 +118,7 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             for a, b in runs(lines):
                 part = lines[a:b]
                 rows = pa.array(owner[a:b], pa.int32())
+                norm = pa.array(part, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [
                         frame.column("k").take(rows),
@@ -108,14 +126,15 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                         pa.array(place[a:b], pa.int32()),
                         pa.array([xxhash.xxh3_128_hexdigest(x) for x in part]),
                         pa.array(simhashes(part)),
-                        pa.array(part, pa.binary()).cast(pa.string()),
+                        pc.utf8_length(norm),
+                        norm,
                     ],
-                    names=["k", "row_key", "line", "h", "fp", "norm"],
+                    names=["k", "row_key", "line", "h", "fp", "n", "norm"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("k"), row_key(key, text).alias("row_key"), F.col(text).alias("t"))
-    return source.mapInArrow(run, f"k {kind}, row_key long, line int, h string, fp long, norm string")
+    return source.mapInArrow(run, f"k {kind}, row_key long, line int, h string, fp long, n int, norm string")
 
 
 def near_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -134,34 +153,153 @@ def near_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     return left.join(right, met & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b").distinct()
 
 
-def similar(left: str, right: str, similarity: float) -> Column:
-    """Edit similarity, 1 - distance / longer length, of ``similarity`` or more, by a banded distance."""
-    most = f"cast(floor(greatest(length({left}), length({right})) * {1 - similarity:.6f}D + 1e-9D) as int)"
-    return F.expr(
-        f"abs(length({left}) - length({right})) <= {most} and levenshtein({left}, {right}, {most}) between 0 and {most}"
-    )
-
-
-def line_links(lines: DataFrame, distinct: DataFrame, max_bits: int, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of line hashes whose lines are near by fingerprint and by edits."""
+def allowed(left: int, right: int, similarity: float) -> int:
+    """The largest edit distance of lines of these lengths that is similar enough."""
+    return int((1 - similarity) * max(left, right) + 1e-9)
+
+
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both without their common beginning and end, which leaves the distance as it is."""
+
+    def shared(same) -> int:
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if same(low, middle) else (low, middle - 1)
+        return low
+
+    n = shared(lambda i, j: a[i:j] == b[i:j])
+    a, b = a[n:], b[n:]
+    n = shared(lambda i, j: a[len(a) - j : len(a) - i] == b[len(b) - j : len(b) - i])
+    return a[: len(a) - n], b[: len(b) - n]
+
+
+def reach(a: str, b: str, i: int, j: int) -> int:
+    """How far ``a`` from i and ``b`` from j agree."""
+    least = min(len(a) - i, len(b) - j)
+    step = 8
+    n = 0
+    while n < least and a[i + n : i + min(n + step, least)] == b[j + n : j + min(n + step, least)]:
+        n = min(n + step, least)
+        step *= 2
+    low, high = n, min(n + step, least)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[i + low : i + middle] == b[j + low : j + middle] else (low, middle - 1)
+    return low
+
+
+def few_edits(a: str, b: str, most: int) -> int | None:
+    """The edit distance when it is ``most`` or less, by furthest-reaching diagonals: time grows with its square."""
+    goal = len(b) - len(a)
+    ends: dict[int, int] = {}
+    for edits in range(most + 1):
+        after = {}
+        for diagonal in range(-edits, edits + 1):
+            if edits:
+                i = max(
+                    ends.get(diagonal, -2) + 1,  # another character
+                    ends.get(diagonal + 1, -2) + 1,  # one of a is dropped
+                    ends.get(diagonal - 1, -2),  # one of b is added
+                )
+            else:
+                i = 0
+            if i < 0 or i > len(a) or not 0 <= i + diagonal <= len(b):
+                i = min(i, len(a), len(b) - diagonal)
+                if i < 0 or i + diagonal < 0:
+                    continue
+            i += reach(a, b, i, i + diagonal)
+            after[diagonal] = i
+        if after.get(goal, -1) >= len(a):
+            return edits
+        ends = after
+    return None
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Edit distance by a column of bit vectors, one step a character of ``b``."""
+    if not a:
+        return len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for c in b:
+        match = places.get(c, 0)
+        across = match | down
+        along = (((match & up) + up) ^ up) | match
+        rise, fall = down | (full & ~(along | up)), up & along
+        score += bool(rise & top) - bool(fall & top)
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down = fall | (full & ~(across | rise)), rise & across
+    return score
+
+
+def similar(a: str, b: str, similarity: float) -> bool:
+    """Edit similarity, 1 - distance / longer length, of ``similarity`` or more."""
+    most = allowed(len(a), len(b), similarity)
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = trimmed(a, b)
+    # up to this distance, diagonals are quicker than a pass of bit vectors over the lengths left
+    few = int((len(b) * (0.7 + len(a) / 8000)) ** 0.5)
+    if few_edits(a, b, min(most, few)) is not None:
+        return True
+    return most > few and edit_distance(a, b) <= most
+
+
+def candidate_pairs(distinct: DataFrame, max_bits: int, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of line hashes that are near by fingerprint and by length."""
     near = stored(near_fingerprints(distinct.select("fp").distinct(), max_bits), "near")
-    both = near.union(near.select("b", "a")).select("a").distinct()
-    shared = distinct.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("a"))
-    wanted = stored(both.union(shared).distinct(), "wanted")
-    # the one row that stands for a line: its first occurrence
-    first = distinct.join(wanted, distinct["fp"] == wanted["a"], "left_semi").select("h", "fp", "first.*")
-    first = first.withColumnRenamed("h", "h1").withColumnRenamed("fp", "fp1")
-    texts = lines.select("h", "row_key", "line", "norm").join(
-        first.select("h1", "fp1", F.col("row_key").alias("r1"), F.col("line").alias("l1")),
-        (F.col("h") == F.col("h1")) & (F.col("row_key") == F.col("r1")) & (F.col("line") == F.col("l1")),
+    x = distinct.select(F.col("h").alias("ha"), F.col("fp").alias("fa"), F.col("n").alias("na"))
+    y = distinct.select(F.col("h").alias("hb"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
+    longer = F.floor(F.greatest("na", "nb") * F.lit(1 - similarity) + F.lit(1e-9))
+    lengths = F.abs(F.col("na") - F.col("nb")) <= longer
+    across = near.join(x, F.col("a") == F.col("fa")).join(y, (F.col("b") == F.col("fb")) & lengths)
+    within = x.join(y, (F.col("fa") == F.col("fb")) & (F.col("ha") < F.col("hb")) & lengths)
+    pairs = across.select("ha", "hb").union(within.select("ha", "hb"))
+    return pairs.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+
+
+def line_components(lines: DataFrame, distinct: DataFrame, max_bits: int, similarity: float) -> DataFrame:
+    """Rows ``(node, component)`` of the lines that similar lines connect.
+
+    A line is first compared with the smallest of its candidates only.  Of all other
+    candidates just those are compared that these links leave in different groups, since
+    a link inside a group changes nothing: many variants of one line cost a comparison
+    each and not one for every pair of them.  The text of a line comes from its first
+    occurrence.
+    """
+    pairs = stored(candidate_pairs(distinct, max_bits, similarity), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    first = distinct.join(wanted, F.col("h") == F.col("w"), "left_semi").select(
+        F.col("h").alias("h1"), F.col("first.row_key").alias("r1"), F.col("first.line").alias("l1")
     )
-    texts = stored(texts.select("h", F.col("fp1").alias("fp"), "norm").dropDuplicates(["h"]), "texts")
-    x = texts.select(F.col("h").alias("ha"), F.col("fp").alias("fa"), F.col("norm").alias("na"))
-    y = texts.select(F.col("h").alias("hb"), F.col("fp").alias("fb"), F.col("norm").alias("nb"))
-    test = similar("na", "nb", similarity)
-    across = near.join(x, F.col("a") == F.col("fa")).join(y, (F.col("b") == F.col("fb")) & test)
-    within = x.join(y, (F.col("fa") == F.col("fb")) & (F.col("ha") < F.col("hb")) & test)
-    return across.select("ha", "hb").union(within.select("ha", "hb")).toDF("a", "b")
+    here = (F.col("h") == F.col("h1")) & (F.col("row_key") == F.col("r1")) & (F.col("line") == F.col("l1"))
+    texts = lines.select("h", "row_key", "line", "norm").join(stored(first, "first"), here)
+    texts = stored(texts.select("h", "norm").dropDuplicates(["h"]), "texts")
+
+    def verify(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            left, right = frame.column("x").to_pylist(), frame.column("y").to_pylist()
+            fine = pa.array([similar(a, b, similarity) for a, b in zip(left, right, strict=True)], pa.bool_())
+            yield frame.select(["a", "b"]).filter(fine)
+
+    def verified(some: DataFrame) -> DataFrame:
+        sides = some.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a")
+        sides = sides.join(texts.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
+        return sides.select("a", "b", "x", "y").mapInArrow(verify, "a string, b string")
+
+    stars = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stored(verified(stars), "links")
+    group = stored(components(links), "groups")
+    left = group.select(F.col("node").alias("a"), F.col("component").alias("ga"))
+    right = group.select(F.col("node").alias("b"), F.col("component").alias("gb"))
+    apart = pairs.join(left, "a", "left").join(right, "b", "left")
+    apart = apart.where(~F.coalesce("ga", "a").eqNullSafe(F.coalesce("gb", "b"))).select("a", "b")
+    rest = verified(apart.join(stars, ["a", "b"], "left_anti"))
+    return components(links.union(rest))
 
 
 def dropped_lines(
@@ -178,17 +316,17 @@ def dropped_lines(
     Null and empty texts lose nothing; empty tables give no rows; other columns are not read.
     """
     lines = stored(line_table(docs, key, text), "lines")
-    distinct = lines.groupBy("h", "fp").agg(
-        F.min(F.struct("k", "row_key", "line")).alias("first"), F.count("*").alias("n")
+    distinct = lines.groupBy("h", "fp", "n").agg(
+        F.min(F.struct("k", "row_key", "line")).alias("first"), F.count("*").alias("times")
     )
     distinct = stored(distinct, "distinct")
-    member = components(line_links(lines, distinct, max_bits, similarity))
+    member = line_components(lines, distinct, max_bits, similarity)
     grouped = distinct.join(member, distinct["h"] == member["node"], "left")
     least = (
         grouped.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
         .withColumnRenamed("component", "root")
     )
-    verdict = grouped.where("n > 1 or component is not null").join(least, F.col("component") == F.col("root"), "left")
+    verdict = grouped.where("times > 1 or component is not null").join(least, F.col("component") == F.col("root"), "left")
     verdict = stored(verdict.select(F.col("h").alias("vh"), F.coalesce("least", "first").alias("keep")), "verdict")
     occurrence = lines.select("k", "row_key", "line", "h").join(verdict, F.col("h") == F.col("vh"))
     gone = occurrence.where(~F.struct("k", "row_key", "line").eqNullSafe(F.col("keep")))
