@@ -71,7 +71,8 @@ def physical_tables(spark: SparkSession, databases: str = "*") -> DataFrame:
     rows = []
     for database in spark.catalog.listDatabases(databases):
         for table in spark.catalog.listTables(database.name):
-            rows.append((spark.catalog.currentCatalog(), database.name, table.name))
+            if not table.isTemporary:  # a session's temporary views are listed with every database
+                rows.append((spark.catalog.currentCatalog(), database.name, table.name))
     schema = "table_catalog string, table_schema string, table_name string"
     return local_frame(spark, rows, schema)
 
