@@ -112,11 +112,24 @@ def test_blocks_find_every_pair_within_three_bits(session):
         for bits in (1, 2, 3, 4):
             values.add(v ^ sum(1 << b for b in rng.sample(range(64), bits)))
     signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
-    got = {(r.a, r.b) for r in lines.near_fingerprints(session.createDataFrame([(v,) for v in signed], "fp long")).collect()}
+    prints = session.createDataFrame([(v, None) for v in signed], "fp long, label long")
+    crowded = lines.crowded_keys(prints)
+    got = {(r.a, r.b) for r in lines.near_fingerprints(crowded, prints).collect()}
+    assert {(r.a, r.b) for r in lines.hub_fingerprints(crowded).collect()} <= got
+    same = prints.selectExpr("fp", "7L as label")
+    assert lines.near_fingerprints(crowded, same).isEmpty()
     mask = (1 << 64) - 1
     assert got == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & mask).bit_count() <= 3}
 
 
+def test_filter_stops_no_wanted_row(session):
+    rng = random.Random(2)
+    wanted = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(500)]
+    bits = lines.row_filter(session.createDataFrame([(w,) for w in wanted], "row_key long"))
+    assert all(bits[w % lines.FILTER_BITS >> 3] >> (w % lines.FILTER_BITS & 7) & 1 for w in wanted)
+    assert sum(int(b).bit_count() for b in bits) <= 500
+
+
 def test_verdicts_against_brute_force(frame):
     rows = corpus()
     want = plain_drops(rows)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tributary.llm.common import components, stored
 
@@ -104,7 +104,7 @@ def row_key(key: str, text: str) -> Column:
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``(k, row_key, line, h, fp, n, norm)`` of every line with content; n is its length."""
+    """Rows ``(k, row_key, line, h, fp, n)`` of every line with content; n is its length."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -124,33 +124,61 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                         frame.column("k").take(rows),
                         frame.column("row_key").take(rows),
                         pa.array(place[a:b], pa.int32()),
-                        pa.array([xxhash.xxh3_128_hexdigest(x) for x in part]),
+                        pa.array([xxhash.xxh3_128_digest(x) for x in part], pa.binary()),
                         pa.array(simhashes(part)),
                         pc.utf8_length(norm),
-                        norm,
                     ],
-                    names=["k", "row_key", "line", "h", "fp", "n", "norm"],
+                    names=["k", "row_key", "line", "h", "fp", "n"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("k"), row_key(key, text).alias("row_key"), F.col(text).alias("t"))
-    return source.mapInArrow(run, f"k {kind}, row_key long, line int, h string, fp long, n int, norm string")
+    return source.mapInArrow(run, f"k {kind}, row_key long, line int, h binary, fp long, n int")
 
 
-def near_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of distinct fingerprints ``fp`` at ``max_bits`` or fewer bits."""
-    if not 0 <= max_bits <= MAX_BITS:
-        raise ValueError(f"the blocks are complete up to {MAX_BITS} bits")
+def block_keys(prints: DataFrame) -> DataFrame:
+    """``prints`` once for each two blocks of its fingerprint ``fp``, as ``key``."""
     block = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
     keys = [
         F.lit(n << 26).cast("long").bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j])
         for n, (i, j) in enumerate(combinations(range(5), 2))
     ]
-    keyed = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    left = keyed.withColumnRenamed("fp", "a")
-    right = keyed.select(F.col("key").alias("same"), F.col("fp").alias("b"))
+    return prints.select(F.explode(F.array(*keys)).alias("key"), *prints.columns)
+
+
+def checked_bits(max_bits: int) -> int:
+    if not 0 <= max_bits <= MAX_BITS:
+        raise ValueError(f"the blocks are complete up to {MAX_BITS} bits")
+    return max_bits
+
+
+def crowded_keys(prints: DataFrame) -> DataFrame:
+    """Rows ``(key, fp, hub)`` of the keys that several fingerprints share; hub is the smallest of them."""
+    by_key = Window.partitionBy("key")
+    keyed = block_keys(prints.select("fp")).withColumn("hub", F.min("fp").over(by_key))
+    return keyed.withColumn("many", F.count("*").over(by_key)).where("many > 1").select("key", "fp", "hub")
+
+
+def hub_fingerprints(crowded: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs ``(a, b)``: the hub of a key and each fingerprint near it."""
+    near = F.bit_count(F.col("hub").bitwiseXOR(F.col("fp"))) <= checked_bits(max_bits)
+    return crowded.where((F.col("hub") < F.col("fp")) & near).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+
+
+def near_fingerprints(crowded: DataFrame, labelled: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of near fingerprints whose labels ``(fp, label)`` differ.
+
+    A null label differs from every other; a fingerprint without a label has one of its own.
+    """
+    own = F.when(F.col("known"), F.col("label")).otherwise(F.col("fp"))
+    keyed = crowded.select("key", "fp").join(labelled.withColumn("known", F.lit(True)), "fp", "left")
+    keyed = keyed.select("key", "fp", own.alias("label"))
+    left = keyed.select("key", F.col("fp").alias("a"), F.col("label").alias("la"))
+    right = keyed.select(F.col("key").alias("same"), F.col("fp").alias("b"), F.col("label").alias("lb"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= checked_bits(max_bits)
+    apart = F.col("la").isNull() | F.col("lb").isNull() | (F.col("la") != F.col("lb"))
     met = (F.col("key") == F.col("same")) & (F.col("a") < F.col("b"))
-    return left.join(right, met & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b").distinct()
+    return left.join(right, met & near & apart).select("a", "b").distinct()
 
 
 def allowed(left: int, right: int, similarity: float) -> int:
@@ -249,36 +277,69 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return most > few and edit_distance(a, b) <= most
 
 
-def candidate_pairs(distinct: DataFrame, max_bits: int, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of line hashes that are near by fingerprint and by length."""
-    near = stored(near_fingerprints(distinct.select("fp").distinct(), max_bits), "near")
-    x = distinct.select(F.col("h").alias("ha"), F.col("fp").alias("fa"), F.col("n").alias("na"))
-    y = distinct.select(F.col("h").alias("hb"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
-    longer = F.floor(F.greatest("na", "nb") * F.lit(1 - similarity) + F.lit(1e-9))
-    lengths = F.abs(F.col("na") - F.col("nb")) <= longer
-    across = near.join(x, F.col("a") == F.col("fa")).join(y, (F.col("b") == F.col("fb")) & lengths)
-    within = x.join(y, (F.col("fa") == F.col("fb")) & (F.col("ha") < F.col("hb")) & lengths)
-    pairs = across.select("ha", "hb").union(within.select("ha", "hb"))
-    return pairs.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+#: Bits of the filter on row keys: two megabytes, whatever the number of rows.
+FILTER_BITS = 1 << 24
+
+
+def row_filter(rows: DataFrame) -> np.ndarray:
+    """A bitmap of ``row_key`` modulo its size; it may let others pass but stops none of ``rows``."""
+    place = F.pmod("row_key", F.lit(FILTER_BITS)) + 1  # these functions count from 1
+    parts = rows.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
+    )
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in parts.collect():
+        bits[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(r.bits, dtype=np.uint8)
+    return bits
+
 
+def line_texts(docs: DataFrame, first: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows ``(h, norm)`` of the lines whose first occurrence is in ``first(h, row_key, line)``.
 
-def line_components(lines: DataFrame, distinct: DataFrame, max_bits: int, similarity: float) -> DataFrame:
+    The documents are read again; a bitmap of bounded size keeps most lines that are not
+    wanted out of the join that decides.
+    """
+    bits = row_filter(first)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            place = frame.column("row_key").to_numpy(zero_copy_only=False).astype(np.int64) % FILTER_BITS
+            wanted = bits[place >> 3] >> (place & 7).astype(np.uint8) & 1
+            frame = frame.filter(pa.array(wanted.astype(bool)))
+            for row, value in zip(frame.column("row_key").to_pylist(), frame.column("t").to_pylist(), strict=True):
+                found = [(j, line) for j, line in enumerate(normalised(value)) if line]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row] * len(found), pa.int64()),
+                        pa.array([j for j, _ in found], pa.int32()),
+                        pa.array([line for _, line in found], pa.binary()).cast(pa.string()),
+                    ],
+                    names=["row_key", "line", "norm"],
+                )
+
+    source = docs.select(row_key(key, text).alias("row_key"), F.col(text).alias("t"))
+    lines = source.mapInArrow(run, "row_key long, line int, norm string")
+    return lines.join(first, ["row_key", "line"]).select("h", "norm").dropDuplicates(["h"])
+
+
+def line_components(
+    docs: DataFrame, distinct: DataFrame, max_bits: int, similarity: float, key: str, text: str
+) -> DataFrame:
     """Rows ``(node, component)`` of the lines that similar lines connect.
 
-    A line is first compared with the smallest of its candidates only.  Of all other
-    candidates just those are compared that these links leave in different groups, since
-    a link inside a group changes nothing: many variants of one line cost a comparison
-    each and not one for every pair of them.  The text of a line comes from its first
-    occurrence.
+    First, fingerprints are compared with the smallest one of each key, by one line of each,
+    and the lines of a fingerprint with the first of them.  Then all near pairs that these
+    links leave in different groups are compared; a link inside a group changes nothing.
+    So many variants of one line give a few comparisons each, not one for every pair.
     """
-    pairs = stored(candidate_pairs(distinct, max_bits, similarity), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    first = distinct.join(wanted, F.col("h") == F.col("w"), "left_semi").select(
-        F.col("h").alias("h1"), F.col("first.row_key").alias("r1"), F.col("first.line").alias("l1")
-    )
-    here = (F.col("h") == F.col("h1")) & (F.col("row_key") == F.col("r1")) & (F.col("line") == F.col("l1"))
-    texts = lines.select("h", "row_key", "line", "norm").join(stored(first, "first"), here)
-    texts = stored(texts.select("h", "norm").dropDuplicates(["h"]), "texts")
+    longer = F.floor(F.greatest("na", "nb") * F.lit(1 - similarity) + F.lit(1e-9))
+    lengths = F.abs(F.col("na") - F.col("nb")) <= longer
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(c + name) for c in ("h", "fp", "n", "group") if c in rows.columns])
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
 
     def verify(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -286,20 +347,43 @@ def line_components(lines: DataFrame, distinct: DataFrame, max_bits: int, simila
             fine = pa.array([similar(a, b, similarity) for a, b in zip(left, right, strict=True)], pa.bool_())
             yield frame.select(["a", "b"]).filter(fine)
 
-    def verified(some: DataFrame) -> DataFrame:
-        sides = some.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a")
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select("a").union(pairs.select("b")).distinct()
+        first = distinct.join(wanted, F.col("h") == F.col("a"), "left_semi").select("h", "first.row_key", "first.line")
+        texts = stored(line_texts(docs, stored(first, "first"), key, text), "texts")
+        sides = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a")
         sides = sides.join(texts.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
-        return sides.select("a", "b", "x", "y").mapInArrow(verify, "a string, b string")
-
-    stars = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(verified(stars), "links")
-    group = stored(components(links), "groups")
-    left = group.select(F.col("node").alias("a"), F.col("component").alias("ga"))
-    right = group.select(F.col("node").alias("b"), F.col("component").alias("gb"))
-    apart = pairs.join(left, "a", "left").join(right, "b", "left")
-    apart = apart.where(~F.coalesce("ga", "a").eqNullSafe(F.coalesce("gb", "b"))).select("a", "b")
-    rest = verified(apart.join(stars, ["a", "b"], "left_anti"))
-    return components(links.union(rest))
+        return stored(sides.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary"), "links")
+
+    prints = distinct.groupBy("fp").agg(F.min("h").alias("h"), F.min_by("n", "h").alias("n"), F.count("*").alias("lines"))
+    prints = stored(prints, "prints")
+    crowded = stored(crowded_keys(prints), "crowded")
+    hubs = hub_fingerprints(crowded, max_bits).join(side(prints, "a"), F.col("a") == F.col("fpa"))
+    hubs = hubs.drop("a").join(side(prints, "b"), (F.col("b") == F.col("fpb")) & lengths)
+    shared = side(prints.where("lines > 1"), "a")
+    own = side(distinct, "b").join(shared, (F.col("fpb") == F.col("fpa")) & (F.col("ha") != F.col("hb")) & lengths)
+    stars = stored(ordered(hubs).union(ordered(own)).distinct(), "stars")
+    links = verified(stars)
+
+    group = components(links)
+    grouped = distinct.join(group, F.col("h") == F.col("node"), "left").select(
+        "h", "fp", "n", F.coalesce("component", "h").alias("group")
+    )
+    grouped = stored(grouped, "grouped")
+    label = F.when(F.min("group") == F.max("group"), F.xxhash64(F.min("group")))
+    linked = grouped.join(group.select("node"), F.col("h") == F.col("node"), "left_semi").select(F.col("fp").alias("f"))
+    several = prints.where("lines > 1").select(F.col("fp").alias("f"))
+    some = grouped.join(linked.union(several).distinct(), F.col("fp") == F.col("f"), "left_semi")
+    labelled = stored(some.groupBy("fp").agg(label.alias("label")), "labelled")
+    apart = F.col("groupa") != F.col("groupb")
+    across = near_fingerprints(crowded, labelled, max_bits).join(side(grouped, "a"), F.col("a") == F.col("fpa"))
+    across = across.drop("a").join(side(grouped, "b"), (F.col("b") == F.col("fpb")) & lengths & apart)
+    divided = labelled.where("label is null").select(F.col("fp").alias("f"))
+    divided = grouped.join(divided, F.col("fp") == F.col("f"), "left_semi")
+    same = (F.col("fpa") == F.col("fpb")) & (F.col("ha") < F.col("hb"))
+    within = side(divided, "a").join(side(divided, "b"), same & lengths & apart)
+    rest = ordered(across).union(ordered(within)).distinct().join(stars, ["a", "b"], "left_anti")
+    return components(links.union(verified(stored(rest, "rest"))))
 
 
 def dropped_lines(
@@ -320,7 +404,7 @@ def dropped_lines(
         F.min(F.struct("k", "row_key", "line")).alias("first"), F.count("*").alias("times")
     )
     distinct = stored(distinct, "distinct")
-    member = line_components(lines, distinct, max_bits, similarity)
+    member = line_components(docs, distinct, max_bits, similarity, key, text)
     grouped = distinct.join(member, distinct["h"] == member["node"], "left")
     least = (
         grouped.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
