@@ -55,6 +55,15 @@ def test_extra_kinds_need_their_checks_or_context():
     assert kinds("call (212) 555-0123 now") == ["local_phone"] and kinds("see (212) 555-0123 now") == []
 
 
+def test_account_numbers_in_a_row():
+    numbers = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606", "DE89 3704 0044 0532 0130 00"]
+    for gap in (" ", "\n", ", ", "  "):
+        text = gap.join(numbers)
+        assert [text[s:e] for _, s, e in pii.extra_spans(text)] == numbers
+    text = "ref AB12 GB82WEST12345698765432 and XY99ABCDEFGHIJKL DE89370400440532013000"
+    assert [text[s:e] for _, s, e in pii.extra_spans(text)] == [numbers[1], numbers[0]]
+
+
 def test_context_moves_the_score():
     score = lambda t: pii.pii_spans(t)[0][3]
     assert score("version 1.2.3.4") < score("1.2.3.4") < score("the server 1.2.3.4")

@@ -97,14 +97,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def extra_spans(text: str) -> list[tuple[str, int, int]]:
     """Kinds beyond the contract: account numbers by checksum, numbers that need context."""
     spans = []
-    for m in IBAN.finditer(text):
+    # a pattern reaches over spaces into what follows: go on after a confirmed number, else at the next start
+    m = IBAN.search(text)
+    while m:
+        at = m.start() + 1
         for end in range(m.end(), m.start() + 14, -1):
             if end < len(text) and text[end].isalnum():
                 continue
             compact = text[m.start() : end].replace(" ", "")
             if 15 <= len(compact) <= 34 and text[end - 1] != " " and mod97(compact):
                 spans.append(("iban", m.start(), end))
+                at = end
                 break
+        m = IBAN.search(text, at)
     for kind, pattern in (("ssn", SSN), ("local_phone", LOCAL_PHONE)):
         for m in pattern.finditer(text):
             before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
