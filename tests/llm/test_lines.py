@@ -149,6 +149,22 @@ def test_rebuilt_texts(frame):
     ]
 
 
+def test_numbers_are_compared_digit_by_digit(frame):
+    """Equal after masking, but only the last two pairs are alike in more than eight of ten characters."""
+    texts = ["1999-12-31", "2021-01-05", "42", "17", "1.50", "15.0", "row 7 of the long table", "row 8 of the long table", "order 12345678", "order 12345679"]
+    docs = frame(list(enumerate(texts)))
+    got = {r.doc_id: r.n_dropped for r in lines.line_verdicts(docs).collect()}
+    assert sorted(i for i in got if got[i]) == [7, 9]
+    assert [r.text for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [t if i not in (7, 9) else "" for i, t in enumerate(texts)]
+    for text in [*texts, "A,  b\t7!\n\n***\n É 12", "1,--2 3. .4", "", None, "7", "-7-"]:
+        assert [lines.masked(x) for x in lines.literal(text)] == lines.normalised(text)
+    rows = [(i, f"{i % 97:02d}.{i * 7919 % 10000:04d}") for i in range(60)]
+    kept = {r.doc_id for r in lines.line_verdicts(frame(rows)).collect() if not r.n_dropped}
+    near = [(i, j) for i in range(60) for j in range(i) if edits(rows[i][1], rows[j][1]) <= 1]
+    root = union_find(near)
+    assert kept == {min(j for j in range(60) if root.get(j, j) == root.get(i, i)) for i in range(60)}
+
+
 def test_awkward_rows(frame):
     docs = frame(awkward())
     rows = lines.line_verdicts(docs).collect()

@@ -1,10 +1,12 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (case, punctuation, digits and white space), their words make a 64-bit
-SimHash, and distinct fingerprints are joined on pigeonhole blocks: of five blocks at least
-two are equal at three or fewer differing bits.  Pairs of lines whose edit similarity is
-``similarity`` or more are linked, and of each connected group, exact repeats included, the
-first occurrence stays.  Blank lines, and lines without a letter or digit, are never dropped.
+Lines are normalised (case, punctuation outside of numbers and white space) and count as
+repeats when equal then.  With their digits masked, their words make a 64-bit SimHash, and
+distinct fingerprints are joined on pigeonhole blocks: of five blocks at least two are equal
+at three or fewer differing bits.  Pairs of lines whose edit similarity, digits as they
+stand, is ``similarity`` or more are linked, and of each connected group, exact repeats
+included, the first occurrence stays.  Blank lines, and lines without a letter or digit, are
+never dropped.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from tributary.llm.common import components, stored
 MAX_BITS, SIMILARITY = 3, 0.8
 #: First bit and width of the five blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Every digit becomes 0; punctuation goes.
+#: Every digit becomes 0 in what is fingerprinted; punctuation goes.
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 PUNCTUATION = string.punctuation.encode()
+#: By byte: 1 for punctuation, 2 for a digit.
+KIND = np.array([1 if i in PUNCTUATION else 2 if i in b"0123456789" else 0 for i in range(256)], dtype=np.uint8)
 #: Lines are hashed in runs of about so many bytes.
 RUN_BYTES = 1 << 20
 #: An odd multiplier and its inverse modulo 2 ** 64, for hashes of all words of a run at once.
@@ -36,11 +40,28 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def normalised(text: str | None) -> list[bytes]:
-    """The lines of a text, in order, each with single spaces; null is one empty line."""
+    """The lines of a text, in order, masked and with single spaces; null is one empty line."""
     folded = (text or "").lower().encode().translate(DIGITS, PUNCTUATION)
     return [b" ".join(line.split()) for line in folded.split(b"\n")]
 
 
+def literal(text: str | None) -> list[bytes]:
+    """The same lines with their digits, and with the punctuation between two digits."""
+    folded = (text or "").lower().encode()
+    kind = KIND[np.frombuffer(folded, dtype=np.uint8)]
+    if (kind == 2).any():
+        drop = kind == 1
+        drop[1:-1] &= (kind[:-2] != 2) | (kind[2:] != 2)
+        folded = np.frombuffer(folded, dtype=np.uint8)[~drop].tobytes()
+    else:
+        folded = folded.translate(None, PUNCTUATION)
+    return [b" ".join(line.split()) for line in folded.split(b"\n")]
+
+
+def masked(line: bytes) -> bytes:
+    return line.translate(DIGITS, PUNCTUATION)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """``base`` to the powers 0 to n - 1, modulo 2 ** 64."""
     known = _powers.get(base)
@@ -110,7 +131,7 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         for frame in frames:
             owner, place, lines = [], [], []
             for i, value in enumerate(frame.column("t").to_pylist()):
-                for j, line in enumerate(normalised(value)):
+                for j, line in enumerate(literal(value)):
                     if line:
                         owner.append(i)
                         place.append(j)
@@ -125,7 +146,7 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                         frame.column("row_key").take(rows),
                         pa.array(place[a:b], pa.int32()),
                         pa.array([xxhash.xxh3_128_digest(x) for x in part], pa.binary()),
-                        pa.array(simhashes(part)),
+                        pa.array(simhashes([masked(x) for x in part])),
                         pc.utf8_length(norm),
                     ],
                     names=["k", "row_key", "line", "h", "fp", "n"],
@@ -307,7 +328,7 @@ def line_texts(docs: DataFrame, first: DataFrame, key: str, text: str) -> DataFr
             wanted = bits[place >> 3] >> (place & 7).astype(np.uint8) & 1
             frame = frame.filter(pa.array(wanted.astype(bool)))
             for row, value in zip(frame.column("row_key").to_pylist(), frame.column("t").to_pylist(), strict=True):
-                found = [(j, line) for j, line in enumerate(normalised(value)) if line]
+                found = [(j, line) for j, line in enumerate(literal(value)) if line]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row] * len(found), pa.int64()),
