@@ -24,6 +24,14 @@ def test_templates_are_found_with_other_slots(session, frame):
     assert not found[1, 0].changed and found[2, 0].changed
 
 
+def test_one_edit_of_a_repeated_value_leaves_the_other_windows(session, frame):
+    edited = "Eve".join(QUESTION.rsplit("Anna", 1))
+    both = "Zoe".join(edited.split("Anna"))
+    found = held(session, frame, [FILLER + edited + " " + FILLER, FILLER + both], [QUESTION])
+    assert set(found) == {(0, 0)}
+    assert (found[0, 0].matched, found[0, 0].total, found[0, 0].changed) == (14, 17, True)
+
+
 def test_slots_of_tokens(session):
     words = session.createDataFrame([("He met Anna, 3.5 km off; paid 20% on The 5th.\nBig day",)], "t string")
     got = words.select(dec.tokens(words.t).alias("w")).first().w

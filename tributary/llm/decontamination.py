@@ -2,9 +2,9 @@
 
 Numbers, names and units of a text become typed slots; the hashes of its word windows, with
 only the type of a slot counted, are joined with the windows of the benchmark's items.  A
-document holds an item when ``similarity`` of the item's windows are met on alignments whose
-slots are consistent: wherever the item repeats a slot's value, the document repeats what it
-put there.  So a question is found as it stands and with other numbers or names in it.
+document holds an item when ``similarity`` of the item's windows are met, either with the
+item's own slot values or on alignments whose slots are consistent: wherever the item repeats
+a slot's value, the document repeats what it put there.  So a question is found as it stands and with other numbers or names in it.
 """
 
 from __future__ import annotations
@@ -111,8 +111,8 @@ def contaminated(
 ) -> DataFrame:
     """Rows ``(key, item, row_key, matched, total, changed)``: the items each document holds.
 
-    ``matched`` of the item's ``total`` windows are met consistently; ``changed`` tells
-    whether a slot holds another value than in the item.  Null and empty texts hold nothing;
+    ``matched`` of the item's ``total`` windows are met as they stand or consistently;
+    ``changed`` tells whether a slot holds another value than in the item.  Null and empty texts hold nothing;
     null keys stay null; repeated rows are told once; empty tables give no rows; other
     columns are not read.  Documents are read whole.
     """
@@ -142,18 +142,19 @@ def contaminated(
             lambda p: is_slot(p["i"]),
         ).alias("slots"),
     )
-    hits = stored(hits.where(~F.col("exact") | F.forall("slots", lambda p: p["i"] == p["d"])).drop("exact"), "hits")
+    hits = hits.withColumn("same", F.forall("slots", lambda p: p["i"] == p["d"]))
+    hits = stored(hits.where("not exact or same").drop("exact"), "hits")
     pair = ["row_key", "item"]
     # items met often enough at all
     likely = hits.groupBy(*pair, "item_at").agg(F.first("total").alias("total")).groupBy(*pair)
     likely = likely.agg(F.count("*").alias("n"), F.first("total").alias("total"))
     likely = likely.where(F.col("n") >= F.ceil(F.col("total") * similarity)).select(*pair)
     held = stored(hits.join(likely, pair, "left_semi"), "likely")
-    # alignments on which one value of the item meets two of the document
+    # alignments on which one value of the item meets two of the document: only windows with the item's values count there
     slots = held.select(*pair, "shift", F.explode("slots").alias("s")).select(*pair, "shift", "s.i", "s.d").distinct()
     per_value = slots.groupBy(*pair, "shift", "i").agg(F.count("*").alias("values"), F.max(F.col("i") != F.col("d")).alias("c"))
     per_shift = per_value.groupBy(*pair, "shift").agg(F.max("values").alias("values"), F.max("c").alias("c"))
-    aligned = held.join(per_shift, [*pair, "shift"], "left").where("coalesce(values, 1) = 1")
+    aligned = held.join(per_shift, [*pair, "shift"], "left").where("same or coalesce(values, 1) = 1")
     met = aligned.groupBy("k", *pair, "item_at").agg(
         F.first("total").alias("total"), F.min(F.coalesce("c", F.lit(False))).alias("c")
     )
