@@ -8,7 +8,9 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tributary.llm import decontamination, lines, mixing, neighbours, pii, secrets, sharding, simhash, tokens, toxicity
+from tributary.llm import (
+    decontamination, lines, mixing, neighbours, pii, search, secrets, sharding, simhash, tokens, toxicity,
+)
 from tributary.llm.common import prepare, table
 from tributary.session import apply_settings
 
@@ -84,6 +86,46 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_lexical_search",
+    f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS uid, regexp_extract_all({_LOWER}, '{_TERMS}') AS t FROM documents
+), s AS (
+  SELECT count(*) FILTER (WHERE len(t) > 0) AS big_n, sum(len(t)) AS big_l FROM d
+), occ AS (
+  SELECT uid, doc_id, len(t) AS n, unnest(t) AS term FROM d WHERE len(t) > 0
+), post AS (
+  SELECT uid, doc_id, n, term, count(*) AS tf FROM occ GROUP BY uid, doc_id, n, term
+), df AS (
+  SELECT term, count(*) AS df FROM post GROUP BY term
+), q AS (
+  SELECT item_id, term, count(*) AS qtf FROM (
+    SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERMS}')) AS term FROM benchmark
+  ) GROUP BY item_id, term
+), scored AS (
+  SELECT q.item_id, post.uid, post.doc_id,
+         sum(q.qtf * CAST(floor(1000 * ln((2.0 * s.big_n + 2) / (2.0 * df.df + 1))) AS BIGINT)
+             * ((1000000000 * post.tf) // (1000 * post.tf + 8 * (25 + (75 * post.n * s.big_n) // s.big_l)))) AS score
+  FROM q JOIN post ON q.term = post.term JOIN df ON df.term = q.term, s
+  GROUP BY q.item_id, post.uid, post.doc_id
+), ranked AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST, uid) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
+""",
+)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return search.search(docs, benchmark, k=10).drop("query_uid")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
