@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tributary.llm import (
-    decontamination, lines, mixing, neighbours, pii, search, secrets, sharding, simhash, tokens, toxicity,
+    collocations, decontamination, lines, mixing, neighbours, pii, search, secrets, sharding, simhash, tokens, toxicity,
 )
 from tributary.llm.common import prepare, table
 from tributary.session import apply_settings
@@ -126,6 +126,64 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(docs, benchmark, k=10).drop("query_uid")
 
 
+_PIECE_SPLIT, _WORD = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
+
+
+@query(
+    "op13_collocations",
+    f"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents
+), p0 AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '{_PIECE_SPLIT}')) AS piece FROM d
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '{_WORD}') AS w FROM p0
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang
+), starts AS (
+  SELECT lang, w, v.len, unnest(range(1, len(w) - v.len + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) v(len)
+), f AS (
+  SELECT lang, len, array_to_string(w[i:i + len - 1], ' ') AS phrase, count(*) AS f FROM starts GROUP BY ALL
+), c AS (
+  SELECT lang, phrase, len, f AS a FROM f WHERE len >= 2 AND f >= 30
+), cuts AS (
+  SELECT lang, phrase, len, a, unnest(range(1, len)) AS k FROM c
+), sides AS (
+  SELECT lang, phrase, a, k,
+         array_to_string(string_split(phrase, ' ')[1:k], ' ') AS lp,
+         array_to_string(string_split(phrase, ' ')[k + 1:len], ' ') AS rp
+  FROM cuts
+), scored AS (
+  SELECT s.lang, s.phrase, s.a, s.k, fl.f AS l, fr.f AS r,
+         CAST((CAST(s.a AS HUGEINT) * 2000000) // (fl.f + fr.f) AS BIGINT) AS score
+  FROM sides s JOIN f fl ON fl.lang = s.lang AND fl.phrase = s.lp JOIN f fr ON fr.lang = s.lang AND fr.phrase = s.rp
+), weakest AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored
+  ) WHERE o = 1
+), sizes AS (
+  SELECT lang, a, string_split(phrase, ' ') AS w, len, unnest(range(2, len)) AS size FROM c WHERE len > 2
+), inner_runs AS (
+  SELECT lang, a, w, size, unnest(range(1, len - size + 2)) AS s FROM sizes
+), covering AS (
+  SELECT lang, array_to_string(w[s:s + size - 1], ' ') AS phrase, max(a) AS longer FROM inner_runs GROUP BY ALL
+), kept AS (
+  SELECT w.lang, w.phrase, w.a, w.l, w.r, w.score FROM weakest w
+  LEFT JOIN covering v ON v.lang = w.lang AND v.phrase = w.phrase
+  WHERE v.longer IS NULL OR v.longer * 100 < w.a * 80
+), ranked AS (
+  SELECT kept.*, totals.n, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM kept JOIN totals USING (lang)
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, n, score
+FROM ranked WHERE rank <= 2000
+""",
+)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), top=2000).drop("k")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
