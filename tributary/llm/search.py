@@ -1,9 +1,10 @@
 """Ranked lexical search: Block-Max MaxScore over document shards, shard heaps merged.
 
-Spark builds the impact index: terms are extracted by a built-in regular expression, the
-corpus statistics (documents with a term ``N``, all terms ``L``, document frequencies) are
-aggregates over every document, and each posting ``(term, document)`` carries its integer
-impact, the term's whole contribution to a document's score.  Postings are dealt to shards
+Spark builds the impact index: one batched pass over the texts counts each document's terms
+(only those of the query set are kept, named by a 64-bit hash that is checked to be unique
+among them), the corpus statistics (documents with a term ``N``, all terms ``L``, document
+frequencies) are aggregates over every document, and each posting ``(term, document)``
+carries its integer impact, the term's whole contribution to a document's score.  Postings are dealt to shards
 by a hash of the document, and every shard meets the whole query set, in blocks of queries.
 
 Inside a shard task the postings of a term form a list sorted by document, cut into blocks
@@ -26,8 +27,13 @@ cannot beat, or tie with a smaller position, the current k-th entry.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -41,7 +47,7 @@ LENGTH_BASE, LENGTH_SLOPE = 25, 75
 
 #: Postings of a block, documents of a scoring window, postings a shard should hold,
 #: queries a block, distinct query terms up to which the vocabulary is broadcast.
-BLOCK, WINDOW, SHARD_POSTINGS, QUERY_BLOCK, BROADCAST_TERMS = 128, 4096, 2_000_000, 2000, 2_000_000
+BLOCK, WINDOW, SHARD_POSTINGS, QUERY_BLOCK, BROADCAST_TERMS = 128, 4096, 1_000_000, 2000, 1_000_000
 
 
 def terms(text: str) -> F.Column:
@@ -50,39 +56,83 @@ def terms(text: str) -> F.Column:
     return F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))
 
 
+def _term_id(term: str) -> int:
+    """XXH64 (seed 42) of the UTF-8 term as a signed long, as Spark's ``xxhash64`` gives it."""
+    h = xxhash.xxh64_intdigest(term.encode("utf-8"), seed=42)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _postings(parsed: DataFrame, vocabulary: list[str] | None) -> DataFrame:
+    """One pass over the texts: a row ``(uid, doc, n, tid=null, term=null)`` per document
+    and ``(uid, doc, n, tid, term, tf)`` per distinct term in ``vocabulary`` (all if None)."""
+    pattern = re.compile(TERM)
+    lower = str.maketrans(UPPER, LOWER)
+    keep = frozenset(vocabulary) if vocabulary is not None else None
+    schema = pa.schema(
+        [("uid", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("tid", pa.int64()),
+         ("term", pa.string()), ("tf", pa.int64())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], [], []]
+            for uid, doc, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc", "text"))):
+                found = Counter(pattern.findall((text or "").translate(lower)))
+                n = sum(found.values())
+                rows = [(None, None, None)] + [
+                    (_term_id(t), None if keep is not None else t, c)
+                    for t, c in found.items() if keep is None or t in keep
+                ]
+                for tid, term, tf in rows:
+                    for col, value in zip(cols, (uid, doc, n, tid, term, tf)):
+                        col.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return parsed.mapInArrow(run, "uid long, doc long, n long, tid long, term string, tf long")
+
+
 def impacts(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings ``(uid, doc, term, impact)`` of the terms in ``vocabulary`` (one column ``term``).
+    """Postings ``(uid, doc, tid, impact)`` of the terms in ``vocabulary`` (a column ``term``).
 
-    Every row of ``docs`` is a document, also repeated rows and null keys (``uid`` tells
-    them apart, ``doc`` is the key); the statistics cover all rows whatever the vocabulary.
+    ``tid`` is the term's 64-bit hash; terms of the vocabulary that share one raise an
+    error instead of merging.  Every row of ``docs`` is a document, also repeated rows and
+    null keys (``uid`` tells them apart, ``doc`` is the key); texts are read once and the
+    statistics cover all rows whatever the vocabulary.
     """
     spark = docs.sparkSession
+    wanted = stored(vocabulary.select("term").distinct().withColumn("tid", F.xxhash64("term")), "vocabulary")
+    n_terms = wanted.count()
+    if wanted.select("tid").distinct().count() != n_terms:
+        raise ValueError("two query terms share a 64-bit hash")
+    small = n_terms <= BROADCAST_TERMS
+    listed = [r["term"] for r in wanted.toLocalIterator()] if small else None  # bounded by BROADCAST_TERMS
     parsed = docs.select(
-        F.col(key).cast("long").alias("doc"), F.monotonically_increasing_id().alias("uid"), terms(text).alias("t")
-    ).withColumn("n", F.size("t").cast("long"))
-    totals = parsed.agg(F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.sum("n").alias("L")).first()
+        F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("doc"), F.col(text).alias("text")
+    )
+    rows = stored(_postings(parsed, listed), "postings")
+    totals = rows.where("tid IS NULL").agg(
+        F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.sum("n").alias("L")
+    ).first()
     big_n, big_l = int(totals["N"] or 0), int(totals["L"] or 0)
-    wanted = vocabulary.select("term").distinct()
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    occurrences = parsed.where("n > 0").select("uid", "doc", "n", F.explode("t").alias("term"))
-    postings = occurrences.join(wanted, "term").groupBy("uid", "doc", "n", "term").agg(F.count("*").alias("tf"))
-    postings = stored(postings, "postings")
+    postings = rows.where("tid IS NOT NULL")
+    if not small:  # the exact way for a vocabulary too large to ship: a join on the term
+        postings = postings.join(wanted.select("term"), "term")
+    postings = postings.select("uid", "doc", "n", "tid", "tf")
     if big_n == 0:
-        return spark.createDataFrame([], "uid long, doc long, term string, impact long")
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+        return spark.createDataFrame([], "uid long, doc long, tid long, impact long")
+    frequency = postings.groupBy("tid").agg(F.count("*").alias("df"))
     weight = F.floor(
         F.lit(WEIGHT_SCALE) * F.log((2.0 * big_n + 2.0) / (F.col("df").cast("double") * 2.0 + 1.0))
     ).cast("long")
-    frequency = frequency.select("term", weight.alias("w"))
-    if postings.select("term").distinct().count() <= BROADCAST_TERMS:
+    frequency = frequency.select("tid", weight.alias("w"))
+    if small:
         frequency = F.broadcast(frequency)
     m = F.lit(LENGTH_BASE) + F.expr(f"(CAST({LENGTH_SLOPE} AS BIGINT) * n * CAST({big_n} AS BIGINT)) div {big_l}")
     saturated = F.expr(f"(CAST({TF_SCALE} AS BIGINT) * tf) div ({TF_PART} * tf + {LENGTH_PART} * m)")
     return (
-        postings.join(frequency, "term")
+        postings.join(frequency, "tid")
         .withColumn("m", m)
-        .select("uid", "doc", "term", (F.col("w") * saturated).alias("impact"))
+        .select("uid", "doc", "tid", (F.col("w") * saturated).alias("impact"))
     )
 
 
@@ -90,23 +140,32 @@ class Lists:
     """The posting lists of one shard: per term, block ends, block maxima and coded blocks."""
 
     def __init__(self, frame: pd.DataFrame):
-        order = frame.sort_values(["unkeyed", "doc", "uid"], kind="stable")
-        unique = order.drop_duplicates("uid")
-        self.uid = unique["uid"].to_numpy(np.int64)
-        self.doc = unique["doc"].to_numpy(np.int64)
-        self.unkeyed = unique["unkeyed"].to_numpy(bool)
-        position = pd.Series(np.arange(len(unique), dtype=np.int64), index=unique["uid"].to_numpy())
-        self.size = len(unique)
-        self.lists: dict[str, tuple] = {}
-        frame = frame.assign(pos=position.loc[frame["uid"].to_numpy()].to_numpy()).sort_values(["term", "pos"])
-        for term, group in frame.groupby("term", sort=False):
-            pos, imp = group["pos"].to_numpy(np.int64), group["impact"].to_numpy(np.int64)
+        uid, doc = frame["uid"].to_numpy(np.int64), frame["doc"].to_numpy(np.int64)
+        unkeyed = frame["unkeyed"].to_numpy(bool)
+        tid, impact = frame["tid"].to_numpy(np.int64), frame["impact"].to_numpy(np.int64)
+        del frame
+        # documents in key order (null keys last, then by row): their positions in the lists
+        order = np.lexsort((uid, doc, unkeyed))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = uid[order][1:] != uid[order][:-1]
+        ranked = order[first]
+        self.uid, self.doc, self.unkeyed = uid[ranked], doc[ranked], unkeyed[ranked]
+        self.size = len(ranked)
+        pos = np.cumsum(first) - 1
+        position = np.empty(len(order), dtype=np.int64)
+        position[order] = pos
+        by_term = np.lexsort((position, tid))
+        tid, position, impact = tid[by_term], position[by_term], impact[by_term]
+        cuts = np.flatnonzero(np.diff(tid)) + 1
+        self.lists: dict[int, tuple] = {}
+        for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(tid)]])):
+            pos, imp = position[lo:hi], impact[lo:hi]
             starts = np.arange(0, len(pos), BLOCK)
             ends = np.minimum(starts + BLOCK, len(pos)) - 1
             coded = np.diff(pos, prepend=0)  # delta-coded positions; a block decodes from its first
-            self.lists[term] = (pos[starts], pos[ends], np.maximum.reduceat(imp, starts), starts, coded, imp)
+            self.lists[int(tid[lo])] = (pos[starts], pos[ends], np.maximum.reduceat(imp, starts), starts, coded, imp)
 
-    def decode(self, term: str, block: int, until: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def decode(self, term: int, block: int, until: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and impacts of blocks ``block`` to ``until`` (exclusive; default: one)."""
         first, _, _, starts, coded, imp = self.lists[term]
         until = block + 1 if until is None else until
@@ -115,7 +174,7 @@ class Lists:
         pos = np.cumsum(coded[lo:hi])
         return pos - pos[0] + first[block], imp[lo:hi]
 
-    def top(self, query: dict[str, int], k: int) -> list[tuple[int, int]]:
+    def top(self, query: dict[int, int], k: int) -> list[tuple[int, int]]:
         """The ``k`` best ``(score, position)`` with score above 0, best first, ties by position."""
         present = [(t, q) for t, q in query.items() if t in self.lists]
         if not present:
@@ -127,9 +186,9 @@ class Lists:
         cumulative = np.cumsum([bound[t] for t in names])
         best_score = np.zeros(0, dtype=np.int64)
         best_pos = np.zeros(0, dtype=np.int64)
-        decoded: dict[tuple[str, int], tuple] = {}
+        decoded: dict[tuple[int, int], tuple] = {}
 
-        def block(term: str, b: int):
+        def block(term: int, b: int):
             got = decoded.get((term, b))
             if got is None:
                 got = decoded[(term, b)] = self.decode(term, b)
@@ -219,14 +278,15 @@ def search(
     asked = stored(asked, "queries")
     qterms = asked.select("qid", F.explode("t").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     postings = stored(impacts(docs, qterms, key, text), "impacts")
+    qterms = qterms.select("qid", F.xxhash64("term").alias("tid"), "qtf")
     n_postings, n_queries = postings.count(), asked.count()
     shards = max(spark.sparkContext.defaultParallelism, math.ceil(n_postings / SHARD_POSTINGS))
     blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
     qterms = qterms.withColumn("qblock", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-    routed = qterms.select("term", (F.col("qblock") + 0).alias("qblock")).distinct()
+    routed = qterms.select("tid", (F.col("qblock") + 0).alias("qblock")).distinct()
     if routed.count() <= BROADCAST_TERMS:
         routed = F.broadcast(routed)
-    dealt = postings.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")).join(routed, "term")
+    dealt = postings.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")).join(routed, "tid")
     asked_everywhere = qterms.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     columns = ["qid", "uid", "unkeyed", "doc", "score"]
@@ -237,13 +297,13 @@ def search(
         index = Lists(lists)
         out: list[tuple] = []
         for qid, group in wanted.groupby("qid", sort=False):
-            query = dict(zip(group["term"], group["qtf"].astype(int)))
+            query = dict(zip(group["tid"].astype(int), group["qtf"].astype(int)))
             for score, pos in index.top(query, k):
                 out.append((qid, int(index.uid[pos]), bool(index.unkeyed[pos]), int(index.doc[pos]), score))
         return pd.DataFrame(out, columns=columns)
 
     dealt = dealt.select(
-        "shard", "qblock", "term", "uid", F.col("doc").isNull().alias("unkeyed"),
+        "shard", "qblock", "tid", "uid", F.col("doc").isNull().alias("unkeyed"),
         F.coalesce("doc", F.lit(0)).alias("doc"), "impact",
     )
     heaps = (
