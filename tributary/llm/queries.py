@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tributary.llm import (
-    collocations, decontamination, lines, mixing, neighbours, pii, search, secrets, sharding, simhash, tokens, toxicity,
+    collocations, decontamination, langid, lines, mixing, neighbours, pii, search, secrets, sharding, simhash, tokens, toxicity,
 )
 from tributary.llm.common import prepare, table
 from tributary.session import apply_settings
@@ -126,6 +126,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(docs, benchmark, k=10).drop("query_uid")
 
 
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"), parts=5)
+
+
 _PIECE_SPLIT, _WORD = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
 
 
