@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tributary.operators import hub_log
 from tributary.functions.keys import NULL_MARKER, fingerprint_tables, surrogate_key
 from tributary.operators.latest import latest_per
 from tributary.schemas import HUB, HUB_DIGEST
@@ -145,23 +146,14 @@ def _among(column: str, values: set) -> Column:
     return named | F.col(column).isNull() if None in values else named
 
 
-def push_into(spark: SparkSession, path: str, batch: DataFrame) -> None:
-    """Push a batch into the stored hub.
+def push_into(spark: SparkSession, path: str, batch: DataFrame) -> int:
+    """Push a batch into the stored hub; returns the number of its commit.
 
-    Only key columns of the partitions that the batch touches are read.  Columns beyond
-    the contract are kept; ``read_hub(evolve=True)`` shows them.  One writer at a time is
-    assumed: two overlapping pushes of the same row both see the old hub and both insert.
+    Only the digest index buckets of the batch's digests are read (``hub_log``), and the
+    new rows become visible in one commit that a second writer cannot duplicate.  Columns
+    beyond the contract are kept; ``read_hub(evolve=True)`` shows them.
     """
-    batch = with_digest(batch)
-    pairs = batch.select("tenant_slug", "source_platform").distinct().collect()
-    fresh = batch
-    if path_exists(spark, path):
-        hub = read_hub(spark, path, digest=True)
-        hub = hub.filter(_among("tenant_slug", {p[0] for p in pairs}) & _among("source_platform", {p[1] for p in pairs}))
-        fresh = push(hub, batch)
-    contract = [*HUB.fieldNames(), HUB_DIGEST]
-    added = [c for c in fresh.columns if c not in contract]
-    write_hub(fresh.select(*contract, *added), path, one_folder=len(pairs) <= 1)
+    return hub_log.push_logged(spark, path, batch)
 
 
 def schema_observations(batch: DataFrame) -> DataFrame:
