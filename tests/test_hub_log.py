@@ -97,3 +97,24 @@ def test_null_tenants_and_digests(spark):
     hub.push_into(spark, path, nulls.unionByName(empty))
     hub.push_into(spark, path, nulls.unionByName(empty))
     assert len(stored(spark, path)) == 2
+
+
+def test_partition_swap_is_one_manifest(spark):
+    from tributary.sources.local import local_frame
+
+    path = scratch_path(spark, "star")
+    schema = "tenant_slug string, v int"
+    version = sinks.overwrite_current(local_frame(spark, [("a", 1), ("b", 2), (None, 3)], schema), path, "tenant_slug")
+    assert sinks.current_version(spark, path) == version.replace("file:", "") or sinks.current_version(spark, path)
+    before = rows(sinks.read_current(spark, path), "tenant_slug", "v")
+    # a job killed after writing its rows but before the manifest leaves the old state
+    staged = f"{version}/{sinks.GENERATION}=1"
+    local_frame(spark, [("a", 9)], schema).write.partitionBy("tenant_slug").parquet(staged)
+    assert rows(sinks.read_current(spark, path), "tenant_slug", "v") == before
+    # a reader that planned before the swap still reads the old partitions
+    planned = sinks.read_current(spark, path)
+    sinks.replace_partitions(local_frame(spark, [("a", 10)], schema), version, "tenant_slug", ["a", "b"])
+    assert rows(planned, "tenant_slug", "v") == before
+    assert rows(sinks.read_current(spark, path), "tenant_slug", "v") == sorted([("a", 10), (None, 3)], key=repr)
+    sinks.replace_partitions(local_frame(spark, [(None, 4)], schema), version, "tenant_slug", [None])
+    assert rows(sinks.read_current(spark, path), "tenant_slug", "v") == sorted([("a", 10), (None, 4)], key=repr)

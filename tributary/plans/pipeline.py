@@ -17,7 +17,9 @@ from tributary.operators.orders import STORE_SOURCES
 from tributary.operators.unpack import SPECS, unpack
 from tributary.schemas import STAR
 from tributary.sources.raw import normalize_landing
-from tributary.sources.sinks import current_version, overwrite_current, path_exists, read_hub, replace_partitions
+from tributary.sources.sinks import (
+    current_version, overwrite_current, path_exists, read_hub, read_version, replace_partitions,
+)
 from tributary.sources.connectors import CONNECTORS
 
 
@@ -136,8 +138,8 @@ def write_star(tables: Mapping[str, DataFrame], root: str, tenants: list[str] |
 
     Without ``tenants`` a new version of the table becomes current when it is complete, so
     a failed job leaves the old one.  With ``tenants`` their partitions of the current
-    version are replaced, also by nothing when a tenant has no rows any more; a reader
-    during that swap can miss a listed tenant, and one writer at a time is assumed.
+    version are replaced, also by nothing when a tenant has no rows any more, by one
+    manifest swap: readers see the old or the new partitions, never neither.
     """
     for subject, df in tables.items():
         path = star_path(root, subject)
@@ -161,7 +163,7 @@ def read_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     for subject, table in factories.TABLE_OF.items():
         version = current_version(spark, star_path(root, subject))
         if version is not None:
-            stored[subject] = spark.read.schema(STAR[table]).parquet(version).select(*STAR[table].fieldNames())
+            stored[subject] = read_version(spark, version, STAR[table]).select(*STAR[table].fieldNames())
     return stored
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -90,14 +91,89 @@ def conform(df: DataFrame, table: str, **expressions: str) -> DataFrame:
     )
 
 
+#: Folder of a partitioned version that holds its manifests, and the generation column.
+MANIFESTS, GENERATION = "_manifests", "gen"
+
+
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop, hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def manifest(spark: SparkSession, version: str) -> tuple[int, dict] | None:
+    """The newest manifest of a partitioned version: its number and ``{value: generation}``."""
+    hadoop, fs = _fs(spark, version)
+    folder = hadoop.Path(f"{version}/{MANIFESTS}")
+    if not fs.exists(folder):
+        return None
+    numbers = [int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json")]
+    if not numbers:
+        return None
+    newest = max(numbers)
+    stream = fs.open(hadoop.Path(f"{version}/{MANIFESTS}/{newest:020d}.json"))
+    try:
+        body = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+    return newest, body
+
+
+def _put_manifest(spark: SparkSession, version: str, number: int, body: dict) -> bool:
+    """Create manifest ``number`` unless another writer has; the swap is this one file."""
+    hadoop, fs = _fs(spark, version)
+    target = hadoop.Path(f"{version}/{MANIFESTS}/{number:020d}.json")
+    if fs.exists(target):
+        return False
+    try:
+        out = fs.create(target, False)
+    except Exception as error:  # noqa: BLE001 - an existing file is reported this way
+        if "exists" in str(error).lower():
+            return False
+        raise
+    out.write(bytearray(json.dumps(body).encode("utf-8")))
+    out.close()
+    return True
+
+
+def _generation_values(spark: SparkSession, folder: str, column: str) -> list:
+    """Partition values written below one generation folder (one entry a tenant: few)."""
+    hadoop, fs = _fs(spark, folder)
+    if not fs.exists(hadoop.Path(folder)):
+        return []
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    out = []
+    for status in fs.listStatus(hadoop.Path(folder)):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith(f"{column}="):
+            value = unescape(name[len(column) + 1 :])
+            out.append(None if value == NULL_FOLDER else value)
+    return out
+
+
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
 def overwrite_current(df: DataFrame, path: str, *partition_by: str) -> str:
     """Replace a snapshot: write a new version folder, leave the old one readable.
 
     A job may therefore read the current snapshot while it computes the next one, and a
-    lost executor or a failed job leaves the previous version as the current one.
+    lost executor or a failed job leaves the previous version as the current one.  A
+    partitioned version is written as its first generation and described by manifest 1,
+    so that single partitions can later be replaced by a manifest swap.
     """
+    spark = df.sparkSession
     version = f"{path.rstrip('/')}/version={time.time_ns():020d}"
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(version)
+    if not partition_by:
+        df.write.mode("errorifexists").parquet(version)
+        return version
+    (column,) = partition_by
+    generation = time.time_ns()
+    df.write.mode("errorifexists").partitionBy(column).parquet(f"{version}/{GENERATION}={generation}")
+    values = _generation_values(spark, f"{version}/{GENERATION}={generation}", column)
+    body = {"column": column, "parts": [[v, generation] for v in values]}
+    _put_manifest(spark, version, 1, body)
+    hadoop, fs = _fs(spark, version)
+    fs.create(hadoop.Path(f"{version}/_SUCCESS"), True).close()  # the version is complete
     return version
 
 
@@ -109,33 +185,65 @@ def current_version(spark: SparkSession, path: str) -> str | None:
     return max((m.getPath().getParent().toString() for m in marks), default=None)
 
 
-def replace_partitions(df: DataFrame, version: str, column: str, values: list[str]) -> None:
+def replace_partitions(df: DataFrame, version: str, column: str, values: list[str], attempts: int = 50) -> None:
     """Replace the partitions ``column`` = each of ``values``; one without rows in ``df`` ends up empty.
 
-    The new rows are complete in a folder of their own before the first partition is
-    touched.
+    The new rows go to a generation folder of their own; then one new manifest names it
+    for the listed values and keeps every other value where it was.  Creating that file
+    is the swap: a reader before it sees the old partitions, after it the new ones, and a
+    job killed before it leaves the old state.  A second writer that took the manifest
+    number first is read back and the listed values are laid over its manifest.
     """
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    staged = f"{version}-staged-{time.time_ns():020d}".replace("/version=", "/staged=")
-    df.write.mode("errorifexists").partitionBy(column).parquet(staged)
-    fs = hadoop.Path(version).getFileSystem(spark._jsc.hadoopConfiguration())
-    for value in values:
-        folder = f"{column}={escape(value)}"
-        old, new = hadoop.Path(f"{version}/{folder}"), hadoop.Path(f"{staged}/{folder}")
-        fs.delete(old, True)
-        if fs.exists(new) and not fs.rename(new, old):
-            raise OSError(f"{new} could not take the place of {old}")
-    fs.delete(hadoop.Path(staged), True)
+    generation = time.time_ns()
+    folder = f"{version}/{GENERATION}={generation}"
+    df.write.mode("errorifexists").partitionBy(column).parquet(folder)
+    written = set(_generation_values(spark, folder, column))
+    listed = set(values)
+    for _ in range(attempts):
+        now = manifest(spark, version)
+        if now is None:
+            raise ValueError(f"{version} has no manifest: write it with overwrite_current first")
+        number, body = now
+        parts = [p for p in body["parts"] if p[0] not in listed]
+        parts += [[v, generation] for v in sorted(written & listed, key=lambda v: (v is None, v or ""))]
+        if _put_manifest(spark, version, number + 1, {"column": column, "parts": parts}):
+            return
+    raise RuntimeError(f"no manifest number for {version} after {attempts} attempts")
+
+
+def read_version(spark: SparkSession, version: str, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of one version; a partitioned one through its newest manifest.
+
+    The manifest becomes a filter on the generation and partition columns, which Spark
+    applies to folder names, so only the named generation of each partition is opened.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    now = manifest(spark, version)
+    if now is None:
+        return reader.parquet(version)
+    _, body = now
+    column = body["column"]
+    by_generation: dict[int, list] = {}
+    for value, generation in body["parts"]:
+        by_generation.setdefault(generation, []).append(value)
+    named = F.lit(False)
+    for generation, members in by_generation.items():
+        plain = [m for m in members if m is not None]
+        hit = F.col(column).isin(plain) if plain else F.lit(False)
+        if len(plain) < len(members):
+            hit = hit | F.col(column).isNull()
+        named = named | ((F.col(GENERATION) == F.lit(generation)) & hit)
+    stored = reader.option("basePath", version).parquet(version)
+    columns = schema.fieldNames() if schema is not None else [c for c in stored.columns if c != GENERATION]
+    return stored.where(named).select(*columns)
 
 
 def read_current(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Newest committed version; an empty typed frame when there is none yet."""
     version = current_version(spark, path)
     if version is not None:
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(version)
+        return read_version(spark, version, schema)
     if schema is None:
         raise FileNotFoundError(path)
     return local_frame(spark, [], schema)
