@@ -95,3 +95,27 @@ def test_summary_of_tenants_without_times(spark):
     df = local_frame(spark, [("t0", "m", "skipped", None, None), ("t0", "m", "success", None, None)], schema)
     got = rows(obs.obs_summary(df, "t0"), "models_count", "pass_count", "skip_count", "avg_execution_time")
     assert got == [(1, 1, 1, 0.0)]
+
+
+def test_a_batch_started_before_a_compaction_and_committed_after_is_read(spark):
+    from tributary.streaming.run_stream import commit_runs, stage_runs
+
+    log, snap = scratch_path(spark, "log"), scratch_path(spark, "snap")
+    slow = local_frame(spark, [run("a", 1, "fail"), run("c", 3)], RUN_RESULTS)
+    fast = local_frame(spark, [run("b", 2)], RUN_RESULTS)
+    stage_runs(log, slow, "writer1-00000000000000000007")  # writer 1 starts first
+    fold_runs(log, fast, query="writer2", batch_id=3)  # writer 2 commits
+    compact(spark, log, snap)  # the snapshot lists writer 2's batch only
+    assert rows(current_runs(spark, log, snap), "node_id") == [("b",)]
+    assert commit_runs(spark, log, "writer1-00000000000000000007")  # writer 1 commits late
+    assert rows(current_runs(spark, log, snap), "node_id") == [("a",), ("b",), ("c",)]
+    compact(spark, log, snap)
+    assert rows(current_runs(spark, log, snap), "node_id") == [("a",), ("b",), ("c",)]
+
+
+def test_a_replayed_micro_batch_is_folded_once(spark):
+    log = scratch_path(spark, "log")
+    batch = local_frame(spark, [run("a", 1)], RUN_RESULTS)
+    fold_runs(log, batch, query="q", batch_id=1)
+    fold_runs(log, batch, query="q", batch_id=1)
+    assert spark.read.parquet(log).count() == 1
