@@ -68,3 +68,38 @@ def test_awkward_rows(session):
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]])
     assert found(session, []) == {}
+
+
+def test_huge_and_tiny_vectors_rank_by_their_cosines(session):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(120, 6))
+    rows = [(i, x.tolist()) for i, x in enumerate(base)]
+    scaled = [(i, (x * (1e200 if i % 3 == 0 else 1e-200 if i % 3 == 1 else 1.0)).tolist()) for i, x in enumerate(base)]
+    frame = session.createDataFrame(scaled, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn.nearest(frame, frame.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = {}
+    for q in (0, 50, 100):
+        a = base[q]
+        scored = sorted((-(a @ base[i]) / np.linalg.norm(a) / np.linalg.norm(base[i]), i) for i in range(120) if i != q)
+        want[q] = [(i, -s) for s, i in scored[:5]]
+    assert [i for q in sorted(got) for i, _ in got[q]] == [i for q in sorted(want) for i, _ in want[q]]
+    assert all(np.isfinite(s) for q in got for _, s in got[q])
+    assert [s for q in sorted(got) for _, s in got[q]] == pytest.approx([s for q in sorted(want) for _, s in want[q]], rel=1e-12)
+
+
+def test_cosines_of_huge_and_tiny_vectors():
+    import math
+
+    import numpy as np
+
+    from tributary.llm.neighbours import cosines
+
+    plain = cosines(np.array([[1.0, 2.0], [3.0, -1.0]]), np.array([1.0, 1.0]))
+    for scale in (1e200, 1e-200, 1e-310):
+        got = cosines(np.array([[1.0, 2.0], [3.0, -1.0]]) * scale, np.array([1.0, 1.0]) * scale)
+        assert np.all(np.isfinite(got)) and np.allclose(got, plain, rtol=1e-12, atol=0)
+    assert math.isclose(plain[0], 3 / math.sqrt(10), rel_tol=1e-15)
+    exact = np.array([[0.1, 0.7, -0.3]])
+    assert cosines(exact * 2.0**600, np.array([0.2, 0.5, 0.9]) * 2.0**-600)[0] == cosines(exact, np.array([0.2, 0.5, 0.9]))[0]

@@ -121,8 +121,23 @@ def find(v: np.ndarray, entry: int, levels, query: np.ndarray, width: int) -> li
     return [n for _, n in search_level(v, levels[0], query, starts, width)]
 
 
+def by_power_of_two(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component into [0.5, 1).
+
+    Multiplying by a power of two is exact, so cosines of the scaled rows are those of the
+    originals, bit for bit, where those do not overflow or underflow, and finite elsewhere.
+    """
+    _, exponent = np.frexp(np.abs(x).max(axis=-1, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Cosine of each row with the query in double precision, each row by itself."""
+    """Cosine of each row with the query in double precision, each row by itself.
+
+    Rows and query are scaled by powers of two first, so components of 1e200 or 1e-200
+    give the cosine and not NaN or a division by zero.
+    """
+    vectors, query = by_power_of_two(vectors), by_power_of_two(query)
     size = np.sqrt(np.einsum("ij,ij->i", vectors, vectors)) * np.sqrt(np.einsum("j,j->", query, query))
     return np.einsum("ij,j->i", vectors, query) / size
 
