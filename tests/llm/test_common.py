@@ -41,3 +41,21 @@ def test_chain_star_loops_and_repeats(session):
 def test_no_edges(session):
     assert solved(session, []) == {}
     assert solved(session, [(3, 3)]) == {}
+
+
+def test_stages_keep_clashing_extra_columns(frame, session):
+    from tributary.llm import decontamination, lines, mixing, simhash
+
+    base = [(1, "the cat sat on the mat today"), (2, "the cat sat on the mat today"), (3, "a wholly other text here")]
+    extra = "doc_id long, text string, lang string, source string, n_chars long, winner int, copies int, __held int, __s int, __gone int, __row_key int"
+    docs = session.createDataFrame([(k, t, "en", "s", len(t), 7, 8, 9, 10, 11, 12) for k, t in base], extra)
+    bench = session.createDataFrame([(1, "nothing like the documents at all")], "item_id long, text string")
+    for out in (
+        simhash.drop_near_duplicates(docs, words=3, max_bits=3),
+        decontamination.drop_contaminated(docs, bench),
+        lines.dedup_lines(docs),
+        mixing.mixed(docs, mixing.plan(docs, entropy=0.98, repetition=2.0)),
+    ):
+        got = out.collect()
+        assert got and all(r["winner"] == 7 and r["copies"] == 8 and r["__held"] == 9 and r["__s"] == 10 for r in got)
+        assert out.columns[: len(docs.columns)] == docs.columns

@@ -45,6 +45,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shelter(df: DataFrame, taken: set[str] = frozenset()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Rename the columns of ``df`` that an operator uses for itself, and a way back.
+
+    Clashing are the names in ``taken`` and every name that begins with two underscores.
+    The returned function gives the renamed columns of a result their names again.
+    """
+    clash = [c for c in df.columns if c in taken or c.startswith("__")]
+    if not clash:
+        return df, lambda out: out
+    aside = {c: f"__aside{i}_{c}" for i, c in enumerate(clash)}
+    while any(a in df.columns for a in aside.values()):
+        aside = {c: f"_{a}" for c, a in aside.items()}
+    back = {a: c for c, a in aside.items()}
+    moved = df.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in df.columns])
+    return moved, lambda out: out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in out.columns])
+
+
 def map_rows(df: DataFrame, fn: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
     """Apply ``fn`` to the rows of each Arrow batch; ``schema`` names what it returns."""
     from pyspark.sql.types import StructType

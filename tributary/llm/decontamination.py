@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tributary.llm.common import stored
+from tributary.llm.common import shelter, stored
 
 WINDOW, SIMILARITY = 5, 0.8
 #: Windows need so many words that are not slots.  An item without such a window is met only as it stands.
@@ -170,5 +170,6 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item of ``benchmark``."""
+    docs, restore = shelter(docs)
     found = stored(contaminated(docs, benchmark, key, text, **options).select(F.col("row_key").alias("__held")), "held")
-    return docs.join(found.distinct(), row_key(key, text) == F.col("__held"), "left_anti")
+    return restore(docs.join(found.distinct(), row_key(key, text) == F.col("__held"), "left_anti"))

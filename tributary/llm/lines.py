@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tributary.llm.common import components, stored
+from tributary.llm.common import components, shelter, stored
 
 MAX_BITS, SIMILARITY = 3, 0.8
 #: First bit and width of the five blocks.
@@ -457,10 +457,13 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``; rows and other columns stay."""
+    docs, restore = shelter(docs)
     gone = stored(dropped_lines(docs, key, text, **options), "gone")
     gone = gone.select(F.col("row_key").alias("__gone_key"), F.col("lines").alias("__gone"))
     held = docs.withColumn("__row_key", row_key(key, text)).join(gone, F.col("__row_key") == F.col("__gone_key"), "left")
     kept = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("__gone", i))
-    return held.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(
-        *docs.columns
+    return restore(
+        held.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(
+            *docs.columns
+        )
     )

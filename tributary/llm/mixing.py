@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tributary.llm.common import stored
+from tributary.llm.common import shelter, stored
 
 #: Tokens of a block, cells in which a source's blocks are summed first, and the seed of all permutations.
 BLOCK_TOKENS, CELL_BITS, SEED = 100_000, 8, 17
@@ -169,6 +169,7 @@ def mixed(
     Null sources are one source; null and empty texts have no tokens; rows that repeat in key
     and text are dealt alike; columns of ``docs`` with the names above are replaced.
     """
+    docs, restore = shelter(docs)
     plan_ = mixture.select(*[F.col(c).alias(f"__{c}") for c in mixture.columns])
     held = docs.withColumn("__source", source_name(source)).withColumn("__row", row_hash(key, text))
     held = held.join(plan_, F.col("__source") == F.col("__s"))
@@ -182,10 +183,12 @@ def mixed(
     spread = held.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
     begins = block_hash(F.col("mix_epoch"), F.col("__source"), F.col("mix_block")) / F.lit(2.0**63)
     span = F.greatest(F.col("__repeats"), F.col("mix_epoch") + 1)
-    return spread.withColumn("mix_position", (F.col("mix_epoch") + begins) / span).select(
-        *[c for c in docs.columns if c not in ADDED],
-        "mix_epoch",
-        "mix_block",
-        "mix_position",
-        F.col("__weight").alias("mix_weight"),
+    return restore(
+        spread.withColumn("mix_position", (F.col("mix_epoch") + begins) / span).select(
+            *[c for c in docs.columns if c not in ADDED],
+            "mix_epoch",
+            "mix_block",
+            "mix_position",
+            F.col("__weight").alias("mix_weight"),
+        )
     )

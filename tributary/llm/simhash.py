@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.llm.common import components, stored
+from tributary.llm.common import components, shelter, stored
 
 SEED = 42
 MAX_BITS = 3
@@ -188,6 +188,7 @@ def drop_near_duplicates(
     The row with the smallest key stays (of several, the one with the smallest row hash; of
     repeated rows, one), so a component of null keys keeps a row as well.
     """
+    docs, restore = shelter(docs, {"winner", "copies"})
     prints, groups = grouped(docs, key, text, words, max_bits)
     least = prints.groupBy("fp", "k").agg(F.min("row_key").alias("row_key"), F.count("*").alias("n"))
     winner = (
@@ -204,4 +205,4 @@ def drop_near_duplicates(
     )
     once = tagged.where("copies = 1").select(*docs.columns)
     repeated = tagged.where("copies > 1").dropDuplicates(["__row_key"]).select(*docs.columns)
-    return once.unionByName(repeated)
+    return restore(once.unionByName(repeated))
