@@ -1,11 +1,13 @@
 """Phrase collocation mining: HAT-trie counting, level by level, with exact scores.
 
-Every task counts the phrases of its texts in a shallow trie: the first level is keyed by
-(language, first word id), and under each key sits a hash container of the rest of the
-phrase that grows until the task's budget of entries is reached.  Then the whole trie is
-spilled, subtree by subtree in sorted order, as rows ``(lang, first, rest, count)``, and
-counting starts again; Spark merges these runs by summing them under their full key, so a
-very common first word is spread over many reduce tasks instead of one.
+Every task counts the phrases of its texts in a shallow trie over word ids: the first
+level is (language id, first word id), and under it the rest of the phrase.  The
+containers are sorted runs of id rows with counts (numpy sorts them; a Python hash table a
+phrase was too slow), one run a batch, until the task's budget of rows is reached.  Then
+the runs are merged and spilled, subtree by subtree in sorted order, as rows
+``(lang, first, rest, count)``, and counting starts again; Spark merges these runs by
+summing them under their full key, so a very common first word is spread over many reduce
+tasks instead of one.  Single words are counted by built-in functions.
 
 Phrases are counted one length at a time.  A phrase of ``L`` words can only occur 30
 times if both its phrases of ``L - 1`` words do, so a task only inserts phrases whose two
@@ -60,88 +62,134 @@ def bloom_positions(lang: str, phrase: str, size: int) -> list[int]:
 
 
 class Trie:
-    """Counts under (lang, first word id); spills sorted subtrees when full."""
+    """Counts of phrases of one length under (language id, first word id), as sorted runs.
 
-    def __init__(self, budget: int):
-        self.budget, self.entries = budget, 0
+    Words get ids in the order a task meets them.  The phrases of a batch become rows of
+    ids ``(lang, first, rest...)``; sorting them groups each first word's subtree, and a
+    run keeps one row and a count a distinct phrase.  When the runs hold ``budget`` rows
+    they are merged and spilled, subtree after subtree, as text rows for Spark to merge.
+    """
+
+    def __init__(self, length: int, budget: int):
+        self.length, self.budget = length, budget
         self.ids: dict[str, int] = {}
         self.names: list[str] = []
-        self.root: dict[tuple[str, int], dict[tuple[int, ...], int]] = {}
-
-    def add(self, lang: str, words: list[str]) -> None:
-        ids = self.ids
-        first = ids.setdefault(words[0], len(ids))
-        if first == len(self.names):
-            self.names.append(words[0])
-        rest = []
-        for w in words[1:]:
-            i = ids.setdefault(w, len(ids))
-            if i == len(self.names):
-                self.names.append(w)
-            rest.append(i)
-        container = self.root.setdefault((lang, first), {})
-        key = tuple(rest)
-        before = container.get(key)
-        container[key] = (before or 0) + 1
-        if before is None:
-            self.entries += 1
+        self.langs: dict[str, int] = {}
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def word_ids(self, words: list[str]) -> list[int]:
+        ids, names = self.ids, self.names
+        out = []
+        for w in words:
+            i = ids.get(w)
+            if i is None:
+                i = ids[w] = len(names)
+                names.append(w)
+            out.append(i)
+        return out
+
+    def phrases(self, texts: list, langs: list) -> np.ndarray:
+        """Rows ``(lang, w1..wL)`` of every phrase of ``length`` words within a piece."""
+        seq: list[int] = []
+        starts, sizes, owner = [], [], []
+        for text, lang in zip(texts, langs):
+            lid = self.langs.setdefault(lang if lang is not None else UNKNOWN, len(self.langs))
+            for words in pieces(text):
+                starts.append(len(seq))
+                sizes.append(len(words))
+                owner.append(lid)
+                seq.extend(self.word_ids(words))
+        width = self.length
+        count = np.maximum(np.asarray(sizes, dtype=np.int64) - width + 1, 0)
+        total = int(count.sum())
+        if total == 0:
+            return np.zeros((0, width + 1), dtype=np.int64)
+        offsets = np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(np.asarray(starts, dtype=np.int64), count) + np.arange(total) - offsets
+        words = np.asarray(seq, dtype=np.int64)
+        return np.column_stack([np.repeat(np.asarray(owner, dtype=np.int64), count), *[words[at + j] for j in range(width)]])
+
+    def add(self, rows: np.ndarray) -> None:
+        if len(rows):
+            distinct, counts = np.unique(rows, axis=0, return_counts=True)
+            self.runs.append((distinct, counts))
+            self.held += len(distinct)
 
     def full(self) -> bool:
-        return self.entries >= self.budget
-
-    def spill(self) -> Iterator[tuple[str, str, str, int]]:
-        names = self.names
-        subtrees = sorted(self.root.items(), key=lambda kv: (kv[0][0], names[kv[0][1]]))
-        for (lang, first), container in subtrees:
-            head = names[first]
-            for rest, count in sorted(((" ".join(names[i] for i in r), c) for r, c in container.items())):
-                yield lang, head, rest, count
-        self.root, self.entries = {}, 0
-        self.ids, self.names = {}, []
+        return self.held >= self.budget
+
+    def spill(self) -> pa.RecordBatch | None:
+        if not self.runs:
+            return None
+        rows = np.concatenate([r for r, _ in self.runs])
+        counts = np.concatenate([c for _, c in self.runs])
+        distinct, inverse = np.unique(rows, axis=0, return_inverse=True)
+        summed = np.bincount(inverse.ravel(), weights=counts, minlength=len(distinct)).astype(np.int64)
+        self.runs, self.held = [], 0
+        names = np.asarray(self.names, dtype=object)
+        lang_names = np.asarray(list(self.langs), dtype=object)
+        rest = np.full(len(distinct), "", dtype=object)
+        for j in range(2, distinct.shape[1]):
+            rest = names[distinct[:, j]] if j == 2 else rest + " " + names[distinct[:, j]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lang_names[distinct[:, 0]], pa.string()), pa.array(names[distinct[:, 1]], pa.string()),
+             pa.array(rest, pa.string()), pa.array(summed, pa.int64())],
+            names=["lang", "first", "rest", "f"],
+        )
 
 
 def _count_level(docs: DataFrame, length: int, bloom, size: int, spill: int) -> DataFrame:
-    """Counts ``(lang, phrase, f)`` of phrases of ``length`` words; shorter parts pass ``bloom``."""
-    schema = pa.schema([("lang", pa.string()), ("first", pa.string()), ("rest", pa.string()), ("f", pa.int64())])
+    """Counts ``(lang, phrase, f)`` of phrases of ``length`` words; shorter parts pass ``bloom``.
+
+    Single words are counted by built-in functions; longer phrases by the task tries.
+    """
+    if length == 1:
+        lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
+        found = F.regexp_extract_all(F.regexp_replace(lowered, PIECES, " "), F.lit(WORDS), F.lit(0))
+        lang = F.coalesce(F.col("lang"), F.lit(UNKNOWN))
+        return docs.select(lang.alias("lang"), F.explode(found).alias("phrase")).groupBy("lang", "phrase").agg(
+            F.lit(1).alias("len"), F.count("*").alias("f")
+        ).select("lang", "phrase", "len", "f")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value if bloom is not None else None
-        trie = Trie(spill)
-        known: dict[tuple[str, str], bool] = {}
-
-        def frequent(lang: str, phrase: str) -> bool:
-            got = known.get((lang, phrase))
-            if got is None:
-                got = all(bits[p >> 3] >> (p & 7) & 1 for p in bloom_positions(lang, phrase, size))
-                if len(known) > spill:
-                    known.clear()
-                known[(lang, phrase)] = got
-            return got
-
-        def flush():
-            rows = list(trie.spill())
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=schema)
+        bits = bloom.value
+        trie = Trie(length, spill)
+        known: dict[tuple, bool] = {}
+
+        def passing(parts: np.ndarray) -> np.ndarray:
+            """Bloom test of each distinct shorter phrase once: rows ``(lang, words...)``."""
+            distinct, inverse = np.unique(parts, axis=0, return_inverse=True)
+            lang_names = list(trie.langs)
+            ok = np.empty(len(distinct), dtype=bool)
+            for i, row in enumerate(distinct.tolist()):
+                key = tuple(row)
+                got = known.get(key)
+                if got is None:
+                    phrase = " ".join(trie.names[w] for w in row[1:])
+                    got = all(bits[p >> 3] >> (p & 7) & 1 for p in bloom_positions(lang_names[row[0]], phrase, size))
+                    if len(known) > spill:
+                        known.clear()
+                    known[key] = got
+                ok[i] = got
+            return ok[inverse.ravel()]
 
         for batch in batches:
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for text, lang in zip(texts, langs):
-                lang = lang if lang is not None else UNKNOWN
-                for words in pieces(text):
-                    for i in range(len(words) - length + 1):
-                        gram = words[i : i + length]
-                        if bits is not None and not (
-                            frequent(lang, " ".join(gram[:-1])) and frequent(lang, " ".join(gram[1:]))
-                        ):
-                            continue
-                        trie.add(lang, gram)
-                        if trie.full():
-                            yield from flush()
-        yield from flush()
+            rows = trie.phrases(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
+            if len(rows):
+                keep = passing(rows[:, :-1]) & passing(np.delete(rows, 1, axis=1))
+                trie.add(rows[keep])
+            if trie.full():
+                out = trie.spill()
+                if out is not None:
+                    yield out
+        out = trie.spill()
+        if out is not None:
+            yield out
 
     runs = docs.mapInArrow(run, "lang string, first string, rest string, f long")
     merged = runs.groupBy("lang", "first", "rest").agg(F.sum("f").alias("f"))
-    phrase = F.when(F.col("rest") == "", F.col("first")).otherwise(F.concat_ws(" ", "first", "rest"))
+    phrase = F.concat_ws(" ", "first", "rest")
     return merged.select("lang", phrase.alias("phrase"), F.lit(length).alias("len"), "f")
 
 
