@@ -22,12 +22,10 @@ the buckets' tops, so no language is ranked in one task.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tributary.llm.common import stored
@@ -43,78 +41,76 @@ UNKNOWN = "und"
 #: buckets of the first ranking step.
 SPILL_ENTRIES, BLOOM_BITS, BLOOM_HASHES, RANK_BUCKETS = 1_000_000, 1 << 25, 3, 64
 
-_split, _words = re.compile(PIECES), re.compile(WORDS)
-_lower = str.maketrans(UPPER, LOWER)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces(text: str | None) -> Iterator[list[str]]:
-    """The word lists of a text's pieces; null is empty."""
-    for piece in _split.split((text or "").translate(_lower)):
-        found = _words.findall(piece)
-        if found:
-            yield found
+def phrase_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit key of (language hash, word hashes...), the same in every task and on the driver."""
+    with np.errstate(over="ignore"):
+        key = np.zeros(len(columns[0]), dtype=np.uint64)
+        for column in columns:
+            key = (key ^ column.astype(np.uint64)) * _MIX
+            key ^= key >> np.uint64(29)
+    return key
 
 
-def bloom_positions(lang: str, phrase: str, size: int) -> list[int]:
-    h = xxhash.xxh64_intdigest(f"{lang}\x00{phrase}")
-    a, b = h & 0xFFFFFFFF, (h >> 32) | 1
-    return [(a + i * b) % size for i in range(BLOOM_HASHES)]
+def bloom_positions(keys: np.ndarray, size: int) -> np.ndarray:
+    """``BLOOM_HASHES`` bit positions a key, rows by key."""
+    low, high = keys & np.uint64(0xFFFFFFFF), (keys >> np.uint64(32)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return np.stack([(low + np.uint64(i) * high) % np.uint64(size) for i in range(BLOOM_HASHES)], axis=1)
+
+
+def _runs(rows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in sorted order with their summed counts: one sorted run."""
+    if not len(rows):
+        return rows, np.zeros(0, dtype=np.int64)
+    order = np.lexsort(rows.T[::-1])
+    ordered = rows[order]
+    new = np.ones(len(ordered), dtype=bool)
+    new[1:] = np.any(ordered[1:] != ordered[:-1], axis=1)
+    group = np.cumsum(new) - 1
+    weights = np.ones(len(ordered), dtype=np.int64) if counts is None else counts[order]
+    return ordered[new], np.bincount(group, weights=weights).astype(np.int64)
 
 
 class Trie:
-    """Counts of phrases of one length under (language id, first word id), as sorted runs.
+    """Counts of phrases of one length under (language, first word), as sorted runs.
 
-    Words get ids in the order a task meets them.  The phrases of a batch become rows of
-    ids ``(lang, first, rest...)``; sorting them groups each first word's subtree, and a
-    run keeps one row and a count a distinct phrase.  When the runs hold ``budget`` rows
-    they are merged and spilled, subtree after subtree, as text rows for Spark to merge.
+    Words arrive as 64-bit hashes.  The phrases of a batch become rows
+    ``(lang, first, rest...)``; sorting groups each first word's subtree, and a run keeps
+    one row and a count a distinct phrase.  When the runs hold ``budget`` rows they are
+    merged and spilled, subtree after subtree, for Spark to merge across tasks.
     """
 
     def __init__(self, length: int, budget: int):
         self.length, self.budget = length, budget
-        self.ids: dict[str, int] = {}
-        self.names: list[str] = []
-        self.langs: dict[str, int] = {}
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def word_ids(self, words: list[str]) -> list[int]:
-        ids, names = self.ids, self.names
-        out = []
-        for w in words:
-            i = ids.get(w)
-            if i is None:
-                i = ids[w] = len(names)
-                names.append(w)
-            out.append(i)
-        return out
-
-    def phrases(self, texts: list, langs: list) -> np.ndarray:
+    def phrases(self, batch: pa.RecordBatch) -> np.ndarray:
         """Rows ``(lang, w1..wL)`` of every phrase of ``length`` words within a piece."""
-        seq: list[int] = []
-        starts, sizes, owner = [], [], []
-        for text, lang in zip(texts, langs):
-            lid = self.langs.setdefault(lang if lang is not None else UNKNOWN, len(self.langs))
-            for words in pieces(text):
-                starts.append(len(seq))
-                sizes.append(len(words))
-                owner.append(lid)
-                seq.extend(self.word_ids(words))
-        width = self.length
-        count = np.maximum(np.asarray(sizes, dtype=np.int64) - width + 1, 0)
+        docs = batch.column("pieces")
+        langs = batch.column("lang_h").to_numpy(zero_copy_only=False).astype(np.int64)
+        outer = docs.offsets.to_numpy()
+        inner_list = docs.flatten()
+        inner = inner_list.offsets.to_numpy()
+        words = inner_list.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(langs, np.diff(outer))
+        sizes = np.diff(inner)
+        base = inner[:-1] - inner[0]
+        count = np.maximum(sizes - self.length + 1, 0)
         total = int(count.sum())
         if total == 0:
-            return np.zeros((0, width + 1), dtype=np.int64)
-        offsets = np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(np.asarray(starts, dtype=np.int64), count) + np.arange(total) - offsets
-        words = np.asarray(seq, dtype=np.int64)
-        return np.column_stack([np.repeat(np.asarray(owner, dtype=np.int64), count), *[words[at + j] for j in range(width)]])
+            return np.zeros((0, self.length + 1), dtype=np.int64)
+        at = np.repeat(base, count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+        return np.column_stack([np.repeat(owner, count), *[words[at + j] for j in range(self.length)]])
 
     def add(self, rows: np.ndarray) -> None:
         if len(rows):
-            distinct, counts = np.unique(rows, axis=0, return_counts=True)
-            self.runs.append((distinct, counts))
-            self.held += len(distinct)
+            run = _runs(rows)
+            self.runs.append(run)
+            self.held += len(run[0])
 
     def full(self) -> bool:
         return self.held >= self.budget
@@ -122,62 +118,39 @@ class Trie:
     def spill(self) -> pa.RecordBatch | None:
         if not self.runs:
             return None
-        rows = np.concatenate([r for r, _ in self.runs])
-        counts = np.concatenate([c for _, c in self.runs])
-        distinct, inverse = np.unique(rows, axis=0, return_inverse=True)
-        summed = np.bincount(inverse.ravel(), weights=counts, minlength=len(distinct)).astype(np.int64)
+        rows, counts = _runs(np.concatenate([r for r, _ in self.runs]), np.concatenate([c for _, c in self.runs]))
         self.runs, self.held = [], 0
-        names = np.asarray(self.names, dtype=object)
-        lang_names = np.asarray(list(self.langs), dtype=object)
-        rest = np.full(len(distinct), "", dtype=object)
-        for j in range(2, distinct.shape[1]):
-            rest = names[distinct[:, j]] if j == 2 else rest + " " + names[distinct[:, j]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lang_names[distinct[:, 0]], pa.string()), pa.array(names[distinct[:, 1]], pa.string()),
-             pa.array(rest, pa.string()), pa.array(summed, pa.int64())],
-            names=["lang", "first", "rest", "f"],
-        )
+        names = ["lang_h", *[f"h{j}" for j in range(1, self.length + 1)]]
+        return pa.RecordBatch.from_arrays([*[pa.array(rows[:, j]) for j in range(rows.shape[1])], pa.array(counts)],
+                                          names=[*names, "f"])
 
 
-def _count_level(docs: DataFrame, length: int, bloom, size: int, spill: int) -> DataFrame:
-    """Counts ``(lang, phrase, f)`` of phrases of ``length`` words; shorter parts pass ``bloom``.
+def encode(docs: DataFrame) -> DataFrame:
+    """``(lang, lang_h, pieces array<array<long>>)``: every piece's word hashes, by built-ins."""
+    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
+    pieces_ = F.transform(
+        F.split(lowered, PIECES), lambda p: F.transform(F.regexp_extract_all(p, F.lit(WORDS), F.lit(0)), lambda w: F.xxhash64(w))
+    )
+    lang = F.coalesce(F.col("lang"), F.lit(UNKNOWN))
+    return docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lang_h"), pieces_.alias("pieces"))
 
-    Single words are counted by built-in functions; longer phrases by the task tries.
-    """
-    if length == 1:
-        lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-        found = F.regexp_extract_all(F.regexp_replace(lowered, PIECES, " "), F.lit(WORDS), F.lit(0))
-        lang = F.coalesce(F.col("lang"), F.lit(UNKNOWN))
-        return docs.select(lang.alias("lang"), F.explode(found).alias("phrase")).groupBy("lang", "phrase").agg(
-            F.lit(1).alias("len"), F.count("*").alias("f")
-        ).select("lang", "phrase", "len", "f")
+
+def _count_level(encoded: DataFrame, length: int, bloom, size: int, spill: int) -> DataFrame:
+    """Counts ``(lang_h, h1..hL, f)`` of phrases of ``length`` words whose two shorter parts pass ``bloom``."""
+    hashes = [f"h{j}" for j in range(1, length + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
         trie = Trie(length, spill)
-        known: dict[tuple, bool] = {}
-
-        def passing(parts: np.ndarray) -> np.ndarray:
-            """Bloom test of each distinct shorter phrase once: rows ``(lang, words...)``."""
-            distinct, inverse = np.unique(parts, axis=0, return_inverse=True)
-            lang_names = list(trie.langs)
-            ok = np.empty(len(distinct), dtype=bool)
-            for i, row in enumerate(distinct.tolist()):
-                key = tuple(row)
-                got = known.get(key)
-                if got is None:
-                    phrase = " ".join(trie.names[w] for w in row[1:])
-                    got = all(bits[p >> 3] >> (p & 7) & 1 for p in bloom_positions(lang_names[row[0]], phrase, size))
-                    if len(known) > spill:
-                        known.clear()
-                    known[key] = got
-                ok[i] = got
-            return ok[inverse.ravel()]
-
         for batch in batches:
-            rows = trie.phrases(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
+            rows = trie.phrases(batch)
             if len(rows):
-                keep = passing(rows[:, :-1]) & passing(np.delete(rows, 1, axis=1))
+                left = phrase_keys([rows[:, j] for j in range(length)])
+                right = phrase_keys([rows[:, 0], *[rows[:, j] for j in range(2, length + 1)]])
+                keep = np.ones(len(rows), dtype=bool)
+                for keys in (left, right):
+                    at = bloom_positions(keys, size)
+                    keep &= np.all((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1, axis=1)
                 trie.add(rows[keep])
             if trie.full():
                 out = trie.spill()
@@ -187,25 +160,24 @@ def _count_level(docs: DataFrame, length: int, bloom, size: int, spill: int) ->
         if out is not None:
             yield out
 
-    runs = docs.mapInArrow(run, "lang string, first string, rest string, f long")
-    merged = runs.groupBy("lang", "first", "rest").agg(F.sum("f").alias("f"))
-    phrase = F.concat_ws(" ", "first", "rest")
-    return merged.select("lang", phrase.alias("phrase"), F.lit(length).alias("len"), "f")
+    schema = ", ".join(["lang_h long", *[f"{h} long" for h in hashes], "f long"])
+    runs = encoded.select("lang_h", "pieces").mapInArrow(run, schema)
+    return runs.groupBy("lang_h", *hashes).agg(F.sum("f").alias("f"))
 
 
-def _bloom(frequent: DataFrame, size: int):
-    """A broadcast Bloom filter of ``(lang, phrase)``: ``size`` bits whatever the input."""
+def _bloom(frequent: DataFrame, length: int, size: int):
+    """A broadcast Bloom filter of frequent ``(lang_h, h1..hL)``: ``size`` bits whatever the input."""
     spark = frequent.sparkSession
+    columns = ["lang_h", *[f"h{j}" for j in range(1, length + 1)]]
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [p for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
-                   for p in bloom_positions(lang, phrase, size)]
-            arr = np.asarray(out, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(arr >> 3), pa.array((1 << (arr & 7)).astype(np.int64))],
+            keys = phrase_keys([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])
+            at = bloom_positions(keys, size).ravel().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 3), pa.array(np.left_shift(1, at & 7).astype(np.int64))],
                                              names=["byte", "bit"])
 
-    set_bits = frequent.mapInArrow(positions, "byte long, bit long").groupBy("byte").agg(
+    set_bits = frequent.select(*columns).mapInArrow(positions, "byte long, bit long").groupBy("byte").agg(
         F.bit_or("bit").alias("bits")
     )
     bits = np.zeros((size + 7) // 8, dtype=np.uint8)
@@ -217,20 +189,39 @@ def _bloom(frequent: DataFrame, size: int):
 def counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, spill: int = SPILL_ENTRIES) -> DataFrame:
     """``(lang, phrase, len, f)`` of every phrase of 1 to ``longest`` words with f >= ``min_count``.
 
-    ``docs`` has ``text`` and ``lang``; null text is empty, null lang is ``und``.
+    ``docs`` has ``text`` and ``lang``; null text is empty, null lang is ``und``.  Texts are
+    split once, into pieces of 64-bit word hashes; a word's hash is checked to be unique
+    among all words, so phrases are counted exactly, and turned back into words by a join
+    with the frequent words only.
     """
     docs, size = docs.select("text", "lang"), BLOOM_BITS
-    levels, bloom = [], None
-    for length in range(1, longest + 1):
-        level = _count_level(docs, length, bloom, size, spill).where(F.col("f") >= min_count)
-        level = stored(level, f"phrases{length}")
+    encoded = stored(encode(docs), "encoded")
+    words = encoded.select("lang", "lang_h", F.explode(F.flatten("pieces")).alias("h1"))
+    level = stored(words.groupBy("lang", "lang_h", "h1").agg(F.count("*").alias("f")).where(F.col("f") >= min_count), "phrases1")
+    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
+    vocabulary = docs.select(F.explode(F.regexp_extract_all(F.regexp_replace(lowered, PIECES, " "), F.lit(WORDS), F.lit(0))).alias("word"))
+    vocabulary = stored(vocabulary.distinct().withColumn("h", F.xxhash64("word")), "words")
+    if vocabulary.count() != vocabulary.select("h").distinct().count():
+        raise ValueError("two words share a 64-bit hash")
+    vocabulary = vocabulary.join(level.select(F.col("h1").alias("h")).distinct(), "h", "left_semi")
+    langs = level.select("lang", "lang_h").distinct()
+    levels, bloom = [level], _bloom(level, 1, size)
+    for length in range(2, longest + 1):
+        level = stored(_count_level(encoded, length, bloom, size, spill).where(F.col("f") >= min_count), f"phrases{length}")
         levels.append(level)
         if length < longest:
-            bloom = _bloom(level, size)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+            bloom = _bloom(level, length, size)
+    out = []
+    for length, level in enumerate(levels, 1):
+        named = level if length == 1 else level.join(langs, "lang_h")
+        for j in range(1, length + 1):
+            named = named.join(vocabulary.select(F.col("h").alias(f"h{j}"), F.col("word").alias(f"w{j}")), f"h{j}")
+        out.append(named.select("lang", F.concat_ws(" ", *[f"w{j}" for j in range(1, length + 1)]).alias("phrase"),
+                                F.lit(length).alias("len"), "f"))
+    result = out[0]
+    for more in out[1:]:
+        result = result.unionByName(more)
+    return result
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
