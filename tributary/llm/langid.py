@@ -29,9 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tributary.llm.common import stored
+
 #: Letters make words; a text without one is ``UNDETERMINED``.
 WORD = r"[^\W\d_]+"
 UNDETERMINED = "und"
@@ -50,14 +51,55 @@ def words(text: str | None) -> list[str]:
     return _word.findall((text or "").lower())
 
 
+_PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+#: Tags that keep prefix, suffix and trigram features of equal letters apart.
+_TAGS = {"g": 1, "p1": 2, "p2": 3, "p3": 4, "s1": 5, "s2": 6, "s3": 7}
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(29))
+
+
+def feature_table(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows of many words at once, and the word each belongs to, grouped by word.
+
+    Prefixes and suffixes of one to three letters and every character trigram of the word
+    framed by ``^`` and ``$`` are hashed from code points in numpy; lexicon languages add
+    one row each after the hashed rows.
+    """
+    n = len(words)
+    lengths = np.fromiter((len(w) for w in words), dtype=np.int64, count=n)
+    framed = lengths + 2
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    start = np.cumsum(framed) - framed
+    rows, owner = [], []
+    with np.errstate(over="ignore"):
+        per = framed - 2
+        at = np.repeat(start, per) + np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+        h = np.uint64(_TAGS["g"]) + codes[at] * _PRIMES[0] + codes[at + 1] * _PRIMES[1] + codes[at + 2] * _PRIMES[2]
+        rows.append(_mix(h))
+        owner.append(np.repeat(np.arange(n), per))
+        for i in (1, 2, 3):
+            chosen = np.flatnonzero(lengths >= i)
+            for tag, first in ((f"p{i}", start[chosen] + 1), (f"s{i}", start[chosen] + framed[chosen] - 1 - i)):
+                h = np.full(len(chosen), _TAGS[tag], dtype=np.uint64)
+                for j in range(i):
+                    h = h + codes[first + j] * _PRIMES[j]
+                rows.append(_mix(h))
+                owner.append(chosen)
+    hashed = (np.concatenate(rows) % np.uint64(DIMENSIONS)).astype(np.int64)
+    extra = [(i, DIMENSIONS + k) for i, w in enumerate(words) for k in lexicon.get(w, ())]
+    owners = np.concatenate([*owner, np.array([i for i, _ in extra], dtype=np.int64)])
+    allrows = np.concatenate([hashed, np.array([r for _, r in extra], dtype=np.int64)])
+    order = np.argsort(owners, kind="stable")
+    return allrows[order], owners[order]
+
+
 def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
-    """Hashed feature rows of a word; lexicon features come first, one a language."""
-    framed = f"^{word}$"
-    names = [f"p{i}:{word[:i]}" for i in (1, 2, 3) if len(word) >= i]
-    names += [f"s{i}:{word[-i:]}" for i in (1, 2, 3) if len(word) >= i]
-    names += [f"g:{g}" for g in {framed[i : i + 3] for i in range(len(framed) - 2)}]
-    rows = [xxhash.xxh32_intdigest(n) % DIMENSIONS for n in names]
-    return [DIMENSIONS + k for k in lexicon.get(word, ())] + rows
+    """Feature rows of one word (see ``feature_table``)."""
+    return feature_table([word], lexicon)[0].tolist()
 
 
 @dataclass
@@ -68,18 +110,32 @@ class Model:
     start: np.ndarray  # (labels,)
     lexicon: dict[str, tuple[int, ...]]
 
+    def word_emissions(self, words: list[str]) -> np.ndarray:
+        """Emission rows of distinct words, one numpy pass over their features."""
+        if not words:
+            return np.zeros((0, len(self.labels)))
+        rows, owner = feature_table(words, self.lexicon)
+        firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        return np.add.reduceat(self.weights[rows], firsts, axis=0)
+
     def emissions(self, seq: list[str], cache: dict | None = None) -> np.ndarray:
-        out = np.empty((len(seq), len(self.labels)))
-        for t, w in enumerate(seq):
-            row = cache.get(w) if cache is not None else None
-            if row is None:
-                row = self.weights[features(w, self.lexicon)].sum(axis=0)
-                if cache is not None:
-                    if len(cache) > 500_000:
-                        cache.clear()
-                    cache[w] = row
-            out[t] = row
-        return out
+        return self.batch_emissions([seq], {} if cache is None else cache)[0]
+
+    def batch_emissions(self, seqs: list[list[str]], cache: dict) -> list[np.ndarray]:
+        """Emissions of many sequences; ``cache`` keeps a task's rows by word."""
+        if len(cache.get("index", ())) > 500_000:
+            cache.clear()
+        index: dict[str, int] = cache.setdefault("index", {})
+        new = list({w: None for s in seqs for w in s if w not in index})
+        if new:
+            rows = self.word_emissions(new)
+            held = cache.get("rows")
+            base = 0 if held is None else len(index)
+            cache["rows"] = rows if held is None else np.concatenate([held[: len(index)], rows])
+            for i, w in enumerate(new):
+                index[w] = base + i
+        table = cache.get("rows", np.zeros((0, len(self.labels))))
+        return [table[np.fromiter((index[w] for w in s), dtype=np.int64, count=len(s))] for s in seqs]
 
 
 def _forward_backward(emit: np.ndarray, trans: np.ndarray, start: np.ndarray):
@@ -103,7 +159,11 @@ def fit(sequences: list[tuple[list[str], list[int]]], labels: list[str], lexicon
     k = len(labels)
     model = Model(labels, np.zeros((DIMENSIONS + k, k)), np.zeros((k, k)), np.zeros(k), lexicon)
     g_w, g_t, g_s = np.full_like(model.weights, 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)
-    feats = [[features(w, lexicon) for w in seq] for seq, _ in sequences]
+    vocabulary = list({w: None for seq, _ in sequences for w in seq})
+    rows, owner = feature_table(vocabulary, lexicon)
+    cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    pieces_ = dict(zip(vocabulary, np.split(rows, cuts[1:])))
+    feats = [[pieces_[w] for w in seq] for seq, _ in sequences]
     order = np.random.default_rng(7).permutation(len(sequences))
     for _ in range(EPOCHS):
         for i in order:
@@ -180,8 +240,9 @@ def lexicon_of(training: DataFrame, labels: list[str]) -> dict[str, tuple[int, .
         .agg(F.count("*").alias("c"))
     )
     totals = counted.groupBy("w").agg(F.sum("c").alias("total"))
-    shared = counted.join(totals, "w").where(
-        (F.col("c") >= LEXICON_MIN) & (F.col("c") >= F.col("total") * LEXICON_SHARE)
+    shared = stored(
+        counted.join(totals, "w").where((F.col("c") >= LEXICON_MIN) & (F.col("c") >= F.col("total") * LEXICON_SHARE)),
+        "lexicon",
     )
     lexicon: dict[str, list[int]] = {}
     for k, lang in enumerate(labels):
@@ -254,7 +315,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
         for batch in batches:
             keys = batch.column("k").to_pylist()
             seqs = [words(t) for t in batch.column("t").to_pylist()]
-            marg = posteriors([m.emissions(s, cache) for s in seqs], m.transitions, m.start)
+            marg = posteriors(m.batch_emissions(seqs, cache), m.transitions, m.start)
             pred, score, switches = [], [], []
             for g in marg:
                 if not len(g):
