@@ -39,7 +39,7 @@ UNKNOWN = "und"
 
 #: Entries a task's trie holds before it spills; bits and hashes of the Bloom filters;
 #: buckets of the first ranking step.
-SPILL_ENTRIES, BLOOM_BITS, BLOOM_HASHES, RANK_BUCKETS = 1_000_000, 1 << 25, 3, 64
+SPILL_ENTRIES, BLOOM_BITS, BLOOM_HASHES, RANK_BUCKETS = 300_000, 1 << 25, 3, 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,13 +126,17 @@ class Trie:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """``(lang, lang_h, pieces array<array<long>>)``: every piece's word hashes, by built-ins."""
+    """``(lang, lang_h, words, pieces)``: every piece's words and their hashes, by built-ins.
+
+    Texts are split once; single words are counted from ``words`` and the phrase levels
+    read ``pieces`` only (column pruning).
+    """
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    pieces_ = F.transform(
-        F.split(lowered, PIECES), lambda p: F.transform(F.regexp_extract_all(p, F.lit(WORDS), F.lit(0)), lambda w: F.xxhash64(w))
-    )
+    split = F.transform(F.split(lowered, PIECES), lambda p: F.regexp_extract_all(p, F.lit(WORDS), F.lit(0)))
     lang = F.coalesce(F.col("lang"), F.lit(UNKNOWN))
-    return docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lang_h"), pieces_.alias("pieces"))
+    return docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lang_h"), split.alias("words")).withColumn(
+        "pieces", F.transform("words", lambda p: F.transform(p, lambda w: F.xxhash64(w)))
+    )
 
 
 def _count_level(encoded: DataFrame, length: int, bloom, size: int, spill: int) -> DataFrame:
@@ -196,14 +200,16 @@ def counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT,
     """
     docs, size = docs.select("text", "lang"), BLOOM_BITS
     encoded = stored(encode(docs), "encoded")
-    words = encoded.select("lang", "lang_h", F.explode(F.flatten("pieces")).alias("h1"))
-    level = stored(words.groupBy("lang", "lang_h", "h1").agg(F.count("*").alias("f")).where(F.col("f") >= min_count), "phrases1")
-    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    vocabulary = docs.select(F.explode(F.regexp_extract_all(F.regexp_replace(lowered, PIECES, " "), F.lit(WORDS), F.lit(0))).alias("word"))
-    vocabulary = stored(vocabulary.distinct().withColumn("h", F.xxhash64("word")), "words")
-    if vocabulary.count() != vocabulary.select("h").distinct().count():
+    singles = stored(
+        encoded.select("lang", "lang_h", F.explode(F.flatten("words")).alias("word")).groupBy("lang", "lang_h", "word")
+        .agg(F.count("*").alias("f")).withColumn("h1", F.xxhash64("word")),
+        "words",
+    )
+    distinct = singles.select("word", "h1").distinct()
+    if distinct.count() != distinct.select("h1").distinct().count():
         raise ValueError("two words share a 64-bit hash")
-    vocabulary = vocabulary.join(level.select(F.col("h1").alias("h")).distinct(), "h", "left_semi")
+    level = singles.where(F.col("f") >= min_count)
+    vocabulary = level.select("word", F.col("h1").alias("h")).distinct()
     langs = level.select("lang", "lang_h").distinct()
     levels, bloom = [level], _bloom(level, 1, size)
     for length in range(2, longest + 1):
@@ -213,7 +219,7 @@ def counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT,
             bloom = _bloom(level, length, size)
     out = []
     for length, level in enumerate(levels, 1):
-        named = level if length == 1 else level.join(langs, "lang_h")
+        named = level.drop("word") if length == 1 else level.join(langs, "lang_h")
         for j in range(1, length + 1):
             named = named.join(vocabulary.select(F.col("h").alias(f"h{j}"), F.col("word").alias(f"w{j}")), f"h{j}")
         out.append(named.select("lang", F.concat_ws(" ", *[f"w{j}" for j in range(1, length + 1)]).alias("phrase"),
