@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from tests.conftest import plan_of
 from tests.llm.conftest import awkward
 from tests.llm.test_common import union_find
 from tributary.llm import simhash
@@ -91,3 +92,9 @@ def test_empty_table(frame):
     docs = frame(awkward()).limit(0)
     assert simhash.near_duplicates(docs).count() == 0
     assert simhash.drop_near_duplicates(docs).count() == 0
+
+
+def test_keys_are_never_broadcast(session):
+    """A few kilobytes of fingerprints make 43 times as many keys, whatever the planner expects of them."""
+    distinct = session.range(5000).selectExpr("xxhash64(id) AS fp")
+    assert "BroadcastHashJoin" not in plan_of(simhash.links(distinct))

@@ -132,7 +132,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     keys = distinct.select("fp").mapInArrow(run, "key long, fp long, before long")
     left = keys.select("key", F.col("fp").alias("a"), "before")
-    right = keys.select(F.col("key").alias("same"), F.col("fp").alias("b"))
+    # planned by the size of the fingerprints, but 43 times as many rows: never broadcast
+    right = keys.select(F.col("key").alias("same"), F.col("fp").alias("b")).hint("merge")
     other = F.col("a").bitwiseXOR(F.col("b"))
     block = F.shiftright("key", 29)
     fresh = [(block <= i) | (other.bitwiseAND(F.lit(BLOCKS[i])) != 0) for i in range(3)]
