@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import rows
+from tests.conftest import plan_of, rows
 from tributary.operators import catalog
 from tributary.schemas import COLUMNS
 from tributary.sources.local import local_frame
@@ -117,3 +117,29 @@ def test_star_catalog_drops_names_without_tenant(spark):
     df = local_frame(spark, [(n,) for n in names], "table_name string")
     got = rows(catalog.star_catalog(df), "table_name", "tenant_slug", "table_type", "subject")
     assert got == [("dim_a_b__users", "a_b", "dimension", "users"), ("fct_t0__orders", "t0", "fact", "orders")]
+
+
+def test_sides_that_follow_the_tables_are_never_broadcast(spark, tmp_path):
+    """Columns exploded from a small file are planned by the size of that file."""
+    tenants = tmp_path / "tenants"
+    spark.range(1000).write.parquet(str(tenants))
+    name = F.concat(F.lit("fct_c"), F.col("id").cast("string"), F.lit("__sessions")).alias("table_name")
+    stored = spark.read.parquet(str(tenants))
+    tables = stored.select(name)
+    made = stored.select(name, F.posexplode(F.array(F.lit("a_id"), F.lit("b"))).alias("ordinal_position", "column_name"))
+    made = made.select("*", F.lit("VARCHAR").alias("data_type"))
+    semantic = catalog.semantic_tables(tables, made)
+    tenant = F.concat(F.lit("c"), F.col("id").cast("string")).alias("tenant_slug")
+    overlay = stored.select(
+        tenant, name, F.lit("b").alias("column_name"), F.lit("measure").alias("kind"),
+        F.lit(None).cast("string").alias("type"), F.lit("max").alias("agg"),
+    )
+    labels = stored.select(tenant, name, F.lit("L").alias("label"), F.lit("").alias("description"))
+    fields = catalog.column_metadata(catalog.column_catalog(semantic), overlay, labels)
+    joins = stored.select(
+        tenant, name, name.alias("to_table"), F.lit("left").alias("type"), F.lit("b").alias("left_on"), F.lit("b").alias("right_on")
+    )
+    merged = catalog.merge_joins(catalog.infer_joins(catalog.flatten_manifest(semantic)), joins)
+    for frame in (semantic, fields, merged):
+        assert "BroadcastHashJoin" not in plan_of(frame)
+    assert fields.filter("column_name = 'b' AND agg = 'max' AND label = 'L'").count() == 1000

@@ -116,10 +116,19 @@ def column_manifest(columns: DataFrame, by: list[str]) -> DataFrame:
     return columns.groupBy(*by).agg(F.to_json(ordered).alias("semantic_manifest"))
 
 
+def _follows_tables(side: DataFrame) -> DataFrame:
+    """A join side with rows for every table: never broadcast.
+
+    Built of exploded rows and lists, such a side is planned by the size of its source files,
+    a small part of its own.
+    """
+    return side.hint("shuffle_hash")
+
+
 def semantic_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """One row per star table with its column manifest."""
     key = [c for c in ("table_schema", "table_name") if c in tables.columns and c in columns.columns]
-    manifests = column_manifest(columns, key)
+    manifests = _follows_tables(column_manifest(columns, key))
     return star_catalog(tables).join(manifests, key, "left").select(
         "tenant_slug", "table_type", "subject", "table_name", "semantic_manifest"
     )
@@ -251,7 +260,7 @@ def infer_joins(columns: DataFrame) -> DataFrame:
         "column_name",
         "ordinal_position",
     )
-    shared = facts.join(dims, ["tenant_slug", "column_name"])
+    shared = facts.join(_follows_tables(dims), ["tenant_slug", "column_name"])
     is_id = F.col("column_name").endswith("_id")
     preference = F.struct(
         (~is_id).alias("no_id"),
@@ -316,7 +325,7 @@ def auto_count_measures(columns: DataFrame) -> DataFrame:
         "ordinal_position",
     )
     taken = columns.select("tenant_slug", "table_name", F.col("column_name").alias("measure_name"))
-    return ids.join(taken, ["tenant_slug", "table_name", "measure_name"], "left_anti")
+    return ids.join(_follows_tables(taken), ["tenant_slug", "table_name", "measure_name"], "left_anti")
 
 
 # --- metadata with overlays ---------------------------------------------------------
@@ -343,7 +352,7 @@ def _with_overrides(rows: DataFrame, overlay: DataFrame | None) -> DataFrame:
         F.max(F.when(is_measure, F.col("type"))).alias("_measure_type"),
         F.max(F.when(is_measure, F.col("agg"))).alias("_agg"),
     )
-    joined = rows.join(picked, key, "left")
+    joined = rows.join(_follows_tables(picked), key, "left")
     as_dim = F.coalesce("_dim", F.lit(False))
     new_type = F.when(as_dim, F.col("_dim_type")).otherwise(F.col("_measure_type"))
     dated = as_dim & F.coalesce(F.col("_dim_type").isin(*DATE_TYPES), F.lit(False))
@@ -404,7 +413,7 @@ def column_metadata(classified: DataFrame, overlay: DataFrame | None = None, tab
     )
     empty = F.lit("")
     return (
-        fields.join(named, ["tenant_slug", "table_name"], "left")
+        fields.join(_follows_tables(named), ["tenant_slug", "table_name"], "left")
         .withColumns(
             {
                 "label": F.coalesce(F.nullif("_label", empty), label),
@@ -426,7 +435,7 @@ def merge_calc_measures(inferred: DataFrame, overlay: DataFrame) -> DataFrame:
 def merge_joins(inferred: DataFrame, overlay: DataFrame) -> DataFrame:
     """Joins per (table, target); an overlay join replaces the inferred one."""
     key = ["tenant_slug", "table_name", "to_table"]
-    kept = inferred.join(overlay.select(*key).distinct(), key, "left_anti")
+    kept = inferred.join(_follows_tables(overlay.select(*key).distinct()), key, "left_anti")
     named = overlay.withColumns(
         {
             "subject": F.regexp_extract("table_name", "__(.+)$", 1),

@@ -46,7 +46,8 @@ def physical_columns(spark, sf) -> DataFrame:
     """information_schema-like rows (table_schema, table_name, column_name, …) of all tenants."""
     shape = "array<struct<prefix:string,subject:string,column_name:string,data_type:string,ordinal_position:int>>"
     items = F.from_json(F.lit(json.dumps([dict(zip(CONTRACT_FIELDS, c, strict=True)) for c in CONTRACT])), shape)
-    exploded = src.table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.explode(items).alias("x"))
+    customers = src.spread(spark, sf, "customer", "c_custkey c_nationkey", "c_custkey")
+    exploded = customers.select("c_custkey", "c_nationkey", F.explode(items).alias("x"))
     return exploded.filter(_has(F.col("x.subject"))).select(
         F.lit("main").alias("table_schema"),
         F.concat("x.prefix", F.lit("_"), _tenant(), F.lit("__"), "x.subject").alias("table_name"),
@@ -59,7 +60,8 @@ def physical_columns(spark, sf) -> DataFrame:
 def physical_tables(spark, sf) -> DataFrame:
     """Star tables of all tenants plus tables whose names carry no tenant."""
     names = F.from_json(F.lit(json.dumps(sorted({c[:2] for c in CONTRACT}))), "array<array<string>>")
-    exploded = src.table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.explode(names).alias("x"))
+    customers = src.spread(spark, sf, "customer", "c_custkey c_nationkey", "c_custkey")
+    exploded = customers.select("c_custkey", "c_nationkey", F.explode(names).alias("x"))
     star = exploded.filter(_has(F.col("x")[1])).select(
         F.lit("main").alias("table_schema"),
         F.concat(F.col("x")[0], F.lit("_"), _tenant(), F.lit("__"), F.col("x")[1]).alias("table_name"),
@@ -362,7 +364,7 @@ def sem_24(spark, sf):
     status = F.when(F.col("c_mktsegment") == "BUILDING", "active").when(F.col("c_mktsegment") == "MACHINERY", "onboarding")
     customers = src.table(spark, sf, "customer").withColumn("tenant_slug", _tenant())
     manifest = customers.select("tenant_slug", status.otherwise("pending").alias("status"))
-    stage = customers.select("tenant_slug", "c_nationkey")
+    stage = customers.select("tenant_slug", "c_nationkey").hint("shuffle_hash")
     tables = semantic(spark, sf).join(stage.filter("c_nationkey >= 10"), "tenant_slug", "left_semi")
     columns = classified_columns(spark, sf).join(stage.filter("c_nationkey >= 18"), "tenant_slug", "left_semi")
     return catalog.readiness(manifest, tables, columns)
