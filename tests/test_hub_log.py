@@ -118,3 +118,19 @@ def test_partition_swap_is_one_manifest(spark):
     assert rows(sinks.read_current(spark, path), "tenant_slug", "v") == sorted([("a", 10), (None, 3)], key=repr)
     sinks.replace_partitions(local_frame(spark, [(None, 4)], schema), version, "tenant_slug", [None])
     assert rows(sinks.read_current(spark, path), "tenant_slug", "v") == sorted([("a", 10), (None, 4)], key=repr)
+
+
+def test_a_push_builds_each_payload_once(spark):
+    path, built = scratch_path(spark, "hub"), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        built.add(1)
+        return text
+
+    batch = packed(spark, payloads(40)).withColumn("raw_data_payload", counted.asNondeterministic()("raw_data_payload"))
+    hub.push_into(spark, path, batch)
+    hub.push_into(spark, path, batch)
+    assert built.value == 2 * 40
+    assert len(stored(spark, path)) == 40
+    assert hub_log.Store(spark, path).names(hub_log.STAGING) == []

@@ -8,8 +8,8 @@ begin with ``_``):
   digest and carries a Parquet Bloom filter on it.  A push opens only the buckets of its
   own batch, and a small batch also names its digests, so the files' Bloom filters and
   statistics skip row groups that cannot hold them.
-* ``_staging/<token>`` holds what a push has written but not yet made visible: the new hub
-  rows and their keys.
+* ``_staging/<token>`` holds what a push has written but not yet made visible: its batch
+  while it is compared, the new hub rows and their keys.
 * ``_commits/<number>.json`` is created by put-if-absent (create without overwrite, atomic
   on HDFS and on stores with conditional writes).  The writer that creates number ``n``
   owns it and then moves its staged files into place.  A writer that finds the number
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -198,6 +199,21 @@ def _backfill(store: Store, spark: SparkSession) -> None:
     write_index(keys, f"{store.root}/{INDEX}")
 
 
+def _few_digests(rows: DataFrame, shape: list) -> list | None:
+    """The distinct digests of a batch, or None when there are more than ``LITERAL_DIGESTS``.
+
+    The estimates of ``shape`` spare a large batch the exact count; a pair's buckets share
+    no digest, so its estimates add up.
+    """
+    estimates = Counter()
+    for r in shape:
+        estimates[tuple(r[c] for c in HUB_PARTITIONS)] += r["n"]
+    if max(estimates.values(), default=0) > 2 * LITERAL_DIGESTS:
+        return None
+    named = rows.select(HUB_DIGEST).distinct().limit(LITERAL_DIGESTS + 1).collect()
+    return [r[0] for r in named] if len(named) <= LITERAL_DIGESTS else None
+
+
 def prepare(spark: SparkSession, path: str, batch: DataFrame) -> Pending:
     """Stage the rows of ``batch`` that the hub, as of its latest commit, does not hold."""
     from tributary.operators.hub import push, with_digest
@@ -207,20 +223,22 @@ def prepare(spark: SparkSession, path: str, batch: DataFrame) -> Pending:
     _backfill(store, spark)
     version = latest(store)
     batch = with_digest(batch)
+    token = uuid.uuid4().hex
+    staged = f"{store.root}/{STAGING}/{token}"
+    # the batch is read several times below and its payloads are dear: they are built once
+    batch.write.mode("errorifexists").parquet(f"{staged}/batch")
+    rows = spark.read.schema(batch.schema).parquet(f"{staged}/batch")
     # buckets and (tenant, platform) pairs of a batch: at most 16 ** PREFIX and few
-    shape = batch.select(bucket().alias("p"), *HUB_PARTITIONS).distinct().collect()
+    shape = rows.groupBy(bucket().alias("p"), *HUB_PARTITIONS).agg(F.approx_count_distinct(HUB_DIGEST).alias("n")).collect()
     prefixes = sorted({r["p"] for r in shape}, key=lambda v: (v is None, v or ""))
     pairs = sorted({(r[1], r[2]) for r in shape}, key=repr)
-    named = batch.select(HUB_DIGEST).distinct()
-    digests = [r[0] for r in named.collect()] if named.count() <= LITERAL_DIGESTS else None
-    fresh = push(index_keys(spark, path, prefixes, digests), batch)
-    token = uuid.uuid4().hex
+    fresh = push(index_keys(spark, path, prefixes, _few_digests(rows, shape)), rows)
     contract = [*HUB.fieldNames(), HUB_DIGEST]
     fresh = fresh.select(*contract, *[c for c in fresh.columns if c not in contract])
-    staged = f"{store.root}/{STAGING}/{token}"
     if len(pairs) > 1:  # large tenants are split over tasks, small ones merged
         fresh = fresh.hint("rebalance", *map(F.col, HUB_PARTITIONS))
     fresh.write.mode("errorifexists").partitionBy(*HUB_PARTITIONS).parquet(f"{staged}/data")
+    store.fs.delete(store.path(STAGING, token, "batch"), True)
     written = spark.read.schema(fresh.schema).parquet(f"{staged}/data")
     write_index(written.select("tenant_slug", "source_platform", HUB_DIGEST).distinct(), f"{staged}/index")
     return Pending(path, batch, version, token, prefixes, [list(p) for p in pairs])
