@@ -122,6 +122,49 @@ def test_blocks_find_every_pair_within_three_bits(session):
     assert got == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & mask).bit_count() <= 3}
 
 
+def test_keys_shared_by_chance_are_not_written(session):
+    """Two equal blocks do not make a row: only fingerprints within three bits of another do."""
+    rng = random.Random(8)
+    chance = [rng.getrandbits(38) << 26 | 0x1234567 for _ in range(300)]
+    near = chance[0] ^ 1 << 50
+    signed = [v - (1 << 64) if v >> 63 else v for v in [*chance, near]]
+    crowded = lines.crowded_keys(session.createDataFrame([(v,) for v in signed], "fp long")).collect()
+    assert {r.fp for r in crowded} == {signed[0], signed[-1]} and {r.hub for r in crowded} == {min(signed[0], signed[-1])}
+    assert len({r.key for r in crowded}) == len(crowded) / 2 == 6
+    assert lines.crowded_keys(session.createDataFrame([], "fp long")).isEmpty()
+
+
+def test_near_values_of_a_key():
+    rng = random.Random(9)
+    value = [rng.getrandbits(12) * 0x1001001 for _ in range(400)] + [7 << 40 | 1 << i for i in range(64)] * 2
+    rows = np.array(sorted((rng.randrange(3) if i < 400 else 5, v) for i, v in enumerate(value)), dtype=np.uint64)
+    near = lines.near_some(rows[:, 0], rows[:, 1])
+    for i, (k, v) in enumerate(rows.tolist()):
+        assert near[i] == any(j != i and k == x and (v ^ y).bit_count() <= 3 for j, (x, y) in enumerate(rows.tolist()))
+
+
+def test_many_pairs_at_once_are_judged_as_each_alone():
+    rng = random.Random(7)
+    left, right = [], []
+    for i in range(1200):
+        size = 6000 if i < 3 else rng.choice([0, 1, 5, 63, 64, 65, 130, 300])
+        a = [rng.choice("abcde é𝔘" if i % 3 else "ab c") for _ in range(size)]
+        b = list(a)
+        for _ in range(rng.randrange(size // 3 + 2)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+        left.append("".join(a))
+        right.append("".join(b))
+    want = [lines.similar(a, b, 0.8) for a, b in zip(left, right)]
+    assert 200 < sum(want) < 1000
+    assert lines.similar_pairs(left, right, 0.8).tolist() == want
+    assert lines.similar_pairs([], [], 0.8).tolist() == []
+    few = [(a, b) for a, b in zip(left, right) if 0 < len(a) <= len(b) < 140]
+    few.sort(key=lambda p: -len(p[1]))
+    got = lines.distances([a for a, _ in few], [b for _, b in few])
+    assert got.tolist() == [lines.edit_distance(a, b) for a, b in few]
+
+
 def test_filter_stops_no_wanted_row(session):
     rng = random.Random(2)
     wanted = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(500)]

@@ -29,10 +29,12 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Every digit becomes 0 in what is fingerprinted; punctuation goes.
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 PUNCTUATION = string.punctuation.encode()
+#: White space other than the line feed becomes a space.
+SPACES = bytes.maketrans(b"\t\v\f\r", b"    ")
 #: By byte: 1 for punctuation, 2 for a digit.
 KIND = np.array([1 if i in PUNCTUATION else 2 if i in b"0123456789" else 0 for i in range(256)], dtype=np.uint8)
 #: Lines are hashed in runs of about so many bytes.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 17
 #: An odd multiplier and its inverse modulo 2 ** 64, for hashes of all words of a run at once.
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
@@ -42,7 +44,13 @@ _powers: dict[int, np.ndarray] = {}
 def normalised(text: str | None) -> list[bytes]:
     """The lines of a text, in order, masked and with single spaces; null is one empty line."""
     folded = (text or "").lower().encode().translate(DIGITS, PUNCTUATION)
-    return [b" ".join(line.split()) for line in folded.split(b"\n")]
+    return single_spaced(folded)
+
+
+def single_spaced(folded: bytes) -> list[bytes]:
+    """The lines without white space at their ends, and with one space for each run of it."""
+    lines = [line.strip(b" ") for line in folded.translate(SPACES).split(b"\n")]
+    return [b" ".join(line.split()) if b"  " in line else line for line in lines]
 
 
 def literal(text: str | None) -> list[bytes]:
@@ -55,7 +63,7 @@ def literal(text: str | None) -> list[bytes]:
         folded = np.frombuffer(folded, dtype=np.uint8)[~drop].tobytes()
     else:
         folded = folded.translate(None, PUNCTUATION)
-    return [b" ".join(line.split()) for line in folded.split(b"\n")]
+    return single_spaced(folded)
 
 
 def masked(line: bytes) -> bytes:
@@ -157,14 +165,9 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return source.mapInArrow(run, f"k {kind}, row_key long, line int, h binary, fp long, n int")
 
 
-def block_keys(prints: DataFrame) -> DataFrame:
-    """``prints`` once for each two blocks of its fingerprint ``fp``, as ``key``."""
-    block = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
-    keys = [
-        F.lit(n << 26).cast("long").bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j])
-        for n, (i, j) in enumerate(combinations(range(5), 2))
-    ]
-    return prints.select(F.explode(F.array(*keys)).alias("key"), *prints.columns)
+def _block(fp: str, i: int) -> Column:
+    at, width = BLOCKS[i]
+    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
 
 
 def checked_bits(max_bits: int) -> int:
@@ -173,11 +176,58 @@ def checked_bits(max_bits: int) -> int:
     return max_bits
 
 
+def run_starts(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+
+
+def near_some(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which values, sorted by key, have another of their key within ``MAX_BITS``."""
+    near = np.zeros(len(key), dtype=bool)
+    starts = run_starts(key)
+    at, step = np.flatnonzero(key[1:] == key[:-1]), 1
+    while len(at):
+        unsure = ~(near[at] & near[at + step])
+        a = at[unsure]
+        a = a[np.bitwise_count(value[a] ^ value[a + step]) <= MAX_BITS]
+        near[a] = near[a + step] = True
+        step += 1
+        if step % 64 == 0:  # a large family is soon near throughout
+            settled = np.logical_and.reduceat(near, starts)
+            at = at[~settled[np.searchsorted(starts, at, side="right") - 1]]
+        at = at[at + step < len(key)]
+        at = at[key[at + step] == key[at]]
+    return near
+
+
 def crowded_keys(prints: DataFrame) -> DataFrame:
-    """Rows ``(key, fp, hub)`` of the keys that several fingerprints share; hub is the smallest of them."""
-    by_key = Window.partitionBy("key")
-    keyed = block_keys(prints.select("fp")).withColumn("hub", F.min("fp").over(by_key))
-    return keyed.withColumn("many", F.count("*").over(by_key)).where("many > 1").select("key", "fp", "hub")
+    """Rows ``(key, fp, hub)`` of the keys that several near fingerprints share; hub is the smallest of them.
+
+    A key is two blocks, and its fingerprints are dealt by the first of them: four copies of
+    each instead of one for every key, and what meets by chance only is never written.
+    """
+    first = F.posexplode(F.array(*[_block("fp", i) for i in range(len(BLOCKS) - 1)])).alias("at", "block")
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[frame.column(c).to_numpy(zero_copy_only=False) for c in ("at", "fp")] for frame in frames]
+        if not parts:
+            return
+        at, fp = (np.concatenate(column) for column in zip(*parts, strict=True))
+        for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)):
+            value = fp[at == i]
+            bits = value.view(np.uint64)
+            left, right = (bits >> np.uint64(x) & np.uint64((1 << width) - 1) for x, width in (BLOCKS[i], BLOCKS[j]))
+            key = np.uint64(n << 26) | left << np.uint64(13) | right
+            order = np.lexsort((value, key))
+            key, value = key[order], value[order]
+            near = near_some(key, value.view(np.uint64))
+            key, value = key[near].view(np.int64), value[near]
+            starts = run_starts(key)
+            hub = np.repeat(value[starts], np.diff(np.append(starts, len(key))))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value), pa.array(hub)], names=["key", "fp", "hub"])
+
+    dealt = prints.select("fp", first).repartition("at", "block").select("at", "fp")
+    return dealt.mapInArrow(run, "key long, fp long, hub long")
 
 
 def hub_fingerprints(crowded: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -298,8 +348,97 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return most > few and edit_distance(a, b) <= most
 
 
+#: Pairs gathered before they are compared, and characters of them.
+GATHERED_PAIRS, GATHERED_CHARS = 20_000, 8 << 20
+#: Pairs are compared at once in groups of so many characters, if the shorter line has no more than the second.
+GROUP_CHARS, LONG = 1 << 20, 1 << 14
+
+
+def codes(texts: list[str], width: int) -> np.ndarray:
+    """One row a text: its code points plus one, then zeros."""
+    size = np.array([len(x) for x in texts])
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    top = points.max(initial=0)
+    out = np.zeros((len(texts), width), dtype=np.uint8 if top < 255 else np.uint16 if top < 65535 else np.uint32)
+    out[np.arange(width) < size[:, None]] = points + np.uint32(1)
+    return out
+
+
+def distances(left: list[str], right: list[str]) -> np.ndarray:
+    """Edit distances of many pairs at once: for each pair the bit vectors of ``edit_distance``, 64 bits a word.
+
+    ``right`` is sorted by length, longest first; nothing is empty.
+    """
+    one, end = np.uint64(1), np.uint64(63)
+    size = np.array([len(x) for x in left])
+    words = int(size.max() + 63) // 64
+    score, last = size.copy(), (size - 1) // 64
+    ending = [last == w for w in range(words)]
+    top = [np.where(e, (size - 1) % 64, 63).astype(np.uint64) if e.any() else None for e in ending]
+    places = codes(left, 64 * words)
+    columns = codes(right, len(right[0]))
+    kind = np.promote_types(places.dtype, columns.dtype)
+    places, columns = places.astype(kind, copy=False), np.ascontiguousarray(columns.astype(kind, copy=False).T)
+    going = (columns != 0).sum(axis=1)
+    up = np.full((words, len(left)), ~np.uint64(0))
+    down = np.zeros_like(up)
+    for column, n in zip(columns, going.tolist(), strict=True):
+        match = np.packbits(places[:n] == column[:n, None], axis=1, bitorder="little").view(np.uint64)
+        more, less = np.ones(n, np.uint64), np.zeros(n, np.uint64)
+        for w in range(words):
+            u, d, m = up[w, :n], down[w, :n], match[:, w]
+            across = m | d
+            m = m | less
+            along = (((m & u) + u) ^ u) | m
+            rise, fall = d | ~(along | u), u & along
+            plus, minus = rise >> end, fall >> end
+            if top[w] is not None:
+                at, ends = top[w][:n], ending[w][:n]
+                score[:n] += ends * ((rise >> at & one).view(np.int64) - (fall >> at & one).view(np.int64))
+            rise, fall = rise << one | more, fall << one | less
+            up[w, :n] = fall | ~(across | rise)
+            down[w, :n] = rise & across
+            more, less = plus, minus
+    return score
+
+
+def similar_pairs(left: list[str], right: list[str], similarity: float) -> np.ndarray:
+    """``similar`` of each pair; lines that are not very long are compared many at once."""
+    fine = np.zeros(len(left), dtype=bool)
+    groups: dict[int, list[tuple[int, int, str, str]]] = {}
+    for i, (a, b) in enumerate(zip(left, right, strict=True)):
+        most = allowed(len(a), len(b), similarity)
+        if abs(len(a) - len(b)) > most:
+            continue
+        x, y = sorted(trimmed(a, b), key=len)
+        if len(y) <= most:
+            fine[i] = True
+        elif not x or len(x) > LONG:
+            fine[i] = bool(x) and similar(a, b, similarity)
+        else:
+            # long lines with few edits are quicker by diagonals
+            words = (len(x) + 63) // 64
+            if words >= 16 and few_edits(x, y, min(most, words)) is not None:
+                fine[i] = True
+            else:
+                step = 1 << max(words.bit_length() - 3, 0)  # a quarter of a power of two
+                groups.setdefault(-(-words // step) * step, []).append((i, most, x, y))
+    for words, group in groups.items():
+        group.sort(key=lambda p: -len(p[3]))
+        many = max(GROUP_CHARS // (64 * words), 16 * words)
+        for at in range(0, len(group), many):
+            index, most, x, y = zip(*group[at : at + many], strict=True)
+            if len(index) < 8 * words:  # few pairs are quicker one by one
+                fine[list(index)] = [edit_distance(a, b) <= m for a, b, m in zip(x, y, most, strict=True)]
+            else:
+                fine[list(index)] = distances(list(x), list(y)) <= np.array(most)
+    return fine
+
+
 #: Bits of the filter on row keys: two megabytes, whatever the number of rows.
 FILTER_BITS = 1 << 24
+#: Lines of a row stand so far apart in the filter.
+LINE_STEP = 40503
 
 
 def row_filter(rows: DataFrame) -> np.ndarray:
@@ -314,29 +453,45 @@ def row_filter(rows: DataFrame) -> np.ndarray:
     return bits
 
 
+def line_place(row: Column, line: Column) -> Column:
+    """A value for each line of a row, to stand beside ``row_key`` in the filter."""
+    return row.bitwiseXOR(line.cast("long") * LINE_STEP)
+
+
 def line_texts(docs: DataFrame, first: DataFrame, key: str, text: str) -> DataFrame:
     """Rows ``(h, norm)`` of the lines whose first occurrence is in ``first(h, row_key, line)``.
 
-    The documents are read again; a bitmap of bounded size keeps most lines that are not
-    wanted out of the join that decides.
+    The documents are read again; a bitmap of bounded size keeps most documents and lines
+    that are not wanted out of the join that decides.
     """
-    bits = row_filter(first)
+    place = line_place(F.col("row_key"), F.col("line"))
+    bits = row_filter(first.select("row_key").union(first.select(place)))
+
+    def wanted(places: np.ndarray) -> np.ndarray:
+        places = places % FILTER_BITS
+        return (bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            place = frame.column("row_key").to_numpy(zero_copy_only=False).astype(np.int64) % FILTER_BITS
-            wanted = bits[place >> 3] >> (place & 7).astype(np.uint8) & 1
-            frame = frame.filter(pa.array(wanted.astype(bool)))
-            for row, value in zip(frame.column("row_key").to_pylist(), frame.column("t").to_pylist(), strict=True):
-                found = [(j, line) for j, line in enumerate(literal(value)) if line]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row] * len(found), pa.int64()),
-                        pa.array([j for j, _ in found], pa.int32()),
-                        pa.array([line for _, line in found], pa.binary()).cast(pa.string()),
-                    ],
-                    names=["row_key", "line", "norm"],
-                )
+            rows = frame.column("row_key").to_numpy(zero_copy_only=False).astype(np.int64)
+            held = wanted(rows)
+            owner, place, lines = [], [], []
+            for row, value in zip(rows[held].tolist(), frame.column("t").filter(pa.array(held)).to_pylist(), strict=True):
+                for j, line in enumerate(literal(value)):
+                    if line:
+                        owner.append(row)
+                        place.append(j)
+                        lines.append(line)
+            owner, place = np.array(owner, dtype=np.int64), np.array(place, dtype=np.int64)
+            found = np.flatnonzero(wanted(owner ^ place * LINE_STEP))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(owner[found]),
+                    pa.array(place[found].astype(np.int32)),
+                    pa.array([lines[i] for i in found.tolist()], pa.binary()).cast(pa.string()),
+                ],
+                names=["row_key", "line", "norm"],
+            )
 
     source = docs.select(row_key(key, text).alias("row_key"), F.col(text).alias("t"))
     lines = source.mapInArrow(run, "row_key long, line int, norm string")
@@ -346,8 +501,9 @@ def line_texts(docs: DataFrame, first: DataFrame, key: str, text: str) -> DataFr
 def line_components(
     docs: DataFrame, distinct: DataFrame, max_bits: int, similarity: float, key: str, text: str
 ) -> DataFrame:
-    """Rows ``(node, component)`` of the lines that similar lines connect.
+    """Rows ``(node, component, first)`` of the lines that similar lines connect.
 
+    Only lines with another line's fingerprint, or one near it, take part in what follows.
     First, fingerprints are compared with the smallest one of each key, by one line of each,
     and the lines of a fingerprint with the first of them.  Then all near pairs that these
     links leave in different groups are compared; a link inside a group changes nothing.
@@ -362,23 +518,36 @@ def line_components(
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
 
-    def verify(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, pairs, chars = [], 0, 0
         for frame in frames:
+            held, pairs, chars = [*held, frame], pairs + frame.num_rows, chars + frame.nbytes
+            if pairs >= GATHERED_PAIRS or chars >= GATHERED_CHARS:
+                yield pa.Table.from_batches(held)
+                held, pairs, chars = [], 0, 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def verify(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in gathered(frames):
             left, right = frame.column("x").to_pylist(), frame.column("y").to_pylist()
-            fine = pa.array([similar(a, b, similarity) for a, b in zip(left, right, strict=True)], pa.bool_())
-            yield frame.select(["a", "b"]).filter(fine)
+            fine = pa.array(similar_pairs(left, right, similarity))
+            yield from frame.select(["a", "b"]).filter(fine).to_batches()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("a").union(pairs.select("b")).distinct()
-        first = distinct.join(wanted, F.col("h") == F.col("a"), "left_semi").select("h", "first.row_key", "first.line")
-        texts = stored(line_texts(docs, stored(first, "first"), key, text), "texts")
         sides = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a")
         sides = sides.join(texts.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
         return stored(sides.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary"), "links")
 
+    prints = stored(distinct.groupBy("fp").agg(F.count("*").alias("lines")), "prints")
+    crowded = stored(crowded_keys(prints), "crowded")
+    several = prints.where("lines > 1").select(F.col("fp").alias("f"))
+    wanted = crowded.select(F.col("fp").alias("f")).union(several).distinct()
+    distinct = stored(distinct.join(wanted, F.col("fp") == F.col("f"), "left_semi"), "near")
+    texts = line_texts(docs, distinct.select("h", "first.row_key", "first.line"), key, text)
+    texts = stored(texts, "texts")
     prints = distinct.groupBy("fp").agg(F.min("h").alias("h"), F.min_by("n", "h").alias("n"), F.count("*").alias("lines"))
     prints = stored(prints, "prints")
-    crowded = stored(crowded_keys(prints), "crowded")
     hubs = hub_fingerprints(crowded, max_bits).join(side(prints, "a"), F.col("a") == F.col("fpa"))
     hubs = hubs.drop("a").join(side(prints, "b"), (F.col("b") == F.col("fpb")) & lengths)
     shared = side(prints.where("lines > 1"), "a")
@@ -404,7 +573,8 @@ def line_components(
     same = (F.col("fpa") == F.col("fpb")) & (F.col("ha") < F.col("hb"))
     within = side(divided, "a").join(side(divided, "b"), same & lengths & apart)
     rest = ordered(across).union(ordered(within)).distinct().join(stars, ["a", "b"], "left_anti")
-    return components(links.union(verified(stored(rest, "rest"))))
+    member = components(links.union(verified(stored(rest, "rest"))))
+    return member.join(distinct.select("h", "first"), F.col("node") == F.col("h")).select("node", "component", "first")
 
 
 def dropped_lines(
@@ -425,14 +595,11 @@ def dropped_lines(
         F.min(F.struct("k", "row_key", "line")).alias("first"), F.count("*").alias("times")
     )
     distinct = stored(distinct, "distinct")
-    member = line_components(docs, distinct, max_bits, similarity, key, text)
-    grouped = distinct.join(member, distinct["h"] == member["node"], "left")
-    least = (
-        grouped.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-        .withColumnRenamed("component", "root")
-    )
-    verdict = grouped.where("times > 1 or component is not null").join(least, F.col("component") == F.col("root"), "left")
-    verdict = stored(verdict.select(F.col("h").alias("vh"), F.coalesce("least", "first").alias("keep")), "verdict")
+    member = stored(line_components(docs, distinct, max_bits, similarity, key, text), "member")
+    least = member.groupBy(F.col("component").alias("root")).agg(F.min("first").alias("least"))
+    linked = member.join(least, F.col("component") == F.col("root")).select("node", "least")
+    alone = distinct.where("times > 1").join(member, F.col("h") == F.col("node"), "left_anti").select("h", distinct["first"])
+    verdict = stored(linked.union(alone).toDF("vh", "keep"), "verdict")
     occurrence = lines.select("k", "row_key", "line", "h").join(verdict, F.col("h") == F.col("vh"))
     gone = occurrence.where(~F.struct("k", "row_key", "line").eqNullSafe(F.col("keep")))
     return gone.groupBy("k", "row_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
