@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from tests.conftest import rows
+from tests.conftest import plan_of, rows
 from tests.llm.conftest import awkward
 from tributary.llm import collocations as col
 
@@ -96,3 +96,27 @@ def test_extra_clashing_columns(session):
     got = rows(col.collocations(frame, min_count=2), "lang", "rank", "phrase", "a", "l", "r", "n", "score")
     assert got == brute(TEXT, 2)
 
+
+
+def test_every_longest_length(session):
+    for longest in (1, 2, 3, 5, 6):
+        assert mine(session, TEXT * 2, min_count=2, longest=longest) == brute(TEXT * 2, 2, longest=longest)
+
+
+def test_three_and_four_words_are_counted_in_one_pass(session, monkeypatch):
+    passes, real = [], col._count_level
+
+    def counted(encoded, length, *args, **kw):
+        passes.append(length)
+        return real(encoded, length, *args, **kw)
+
+    monkeypatch.setattr(col, "_count_level", counted)
+    frame = session.createDataFrame(TEXT, "text string, lang string")
+    found = rows(col.counts(frame, min_count=2), "lang", "phrase", "len", "f")
+    assert passes == [2, 3]
+    assert ("en", "new york city hall", 4, 2) in found and ("en", "hot dog hot", 3, 2) in found
+
+
+def test_texts_are_split_once(session):
+    frame = session.createDataFrame(TEXT, "text string, lang string")
+    assert "regexp_extract_all" not in plan_of(col.collocations(frame, min_count=2))

@@ -2,18 +2,22 @@
 
 Every task counts the phrases of its texts in a shallow trie over word ids: the first
 level is (language id, first word id), and under it the rest of the phrase.  The
-containers are sorted runs of id rows with counts (numpy sorts them; a Python hash table a
-phrase was too slow), one run a batch, until the task's budget of rows is reached.  Then
-the runs are merged and spilled, subtree by subtree in sorted order, as rows
+containers are runs of id rows with counts, sorted by a hash of the subtree, then of the
+phrase (one numpy sort of one key; a Python hash table a phrase was too slow), one run a
+batch, until the task's budget of rows is reached.  Then the runs are merged and spilled,
+subtree by subtree in that order, as rows
 ``(lang, first, rest, count)``, and counting starts again; Spark merges these runs by
 summing them under their full key, so a very common first word is spread over many reduce
 tasks instead of one.  Single words are counted by built-in functions.
 
-Phrases are counted one length at a time.  A phrase of ``L`` words can only occur 30
-times if both its phrases of ``L - 1`` words do, so a task only inserts phrases whose two
-shorter parts are in a Bloom filter of the frequent phrases of the level before.  The
-filter has a fixed number of bits, whatever the corpus; a false positive costs a counted
-phrase that the threshold removes later, never a lost one, so the counts are exact.
+Phrases of two words are counted first, then those of three and four together, and so on in
+pairs of lengths.  A phrase of ``L`` words can only occur 30 times if all its phrases of
+fewer words do, so a task only inserts phrases whose shorter parts are in a Bloom filter of
+the frequent phrases of the pass before.  The filter has a fixed number of bits, whatever
+the corpus; a false positive costs a counted phrase that the threshold removes later, never
+a lost one, so the counts are exact.  A pass over two lengths inserts the shorter phrase
+with the word that follows it, one row a position at most: the shorter phrase occurs as
+often as all its followers together, so the longer length makes no rows of its own.
 
 Scores, cuts and the containment rule are DataFrame joins and aggregates of the counts;
 the top phrases of a language come from per-bucket windows followed by one window over
@@ -41,7 +45,11 @@ UNKNOWN = "und"
 #: buckets of the first ranking step.
 SPILL_ENTRIES, BLOOM_BITS, BLOOM_HASHES, RANK_BUCKETS = 300_000, 1 << 25, 3, 64
 
+#: Stands for the follower of a phrase that ends its piece or is followed by a rare phrase.
+END = 0
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
 def phrase_keys(columns: list[np.ndarray]) -> np.ndarray:
@@ -61,17 +69,35 @@ def bloom_positions(keys: np.ndarray, size: int) -> np.ndarray:
         return np.stack([(low + np.uint64(i) * high) % np.uint64(size) for i in range(BLOOM_HASHES)], axis=1)
 
 
+def bloom_holds(bits: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """Whether all positions of each key are set."""
+    at = bloom_positions(keys, size)
+    return np.all((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1, axis=1)
+
+
 def _runs(rows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in sorted order with their summed counts: one sorted run."""
+    """Distinct rows, subtree by subtree, with their summed counts: one sorted run.
+
+    Rows are sorted by 32 bits of a hash of (lang, first) and 32 bits of a hash of the row, but
+    compared in full; a row parted by another of the same hash comes twice and is summed later.
+    """
     if not len(rows):
         return rows, np.zeros(0, dtype=np.int64)
-    order = np.lexsort(rows.T[::-1])
+    columns = list(rows.T)
+    keys = (phrase_keys(columns[:2]) & _HIGH) | (phrase_keys(columns) >> np.uint64(32))
+    order = np.argsort(keys)
     ordered = rows[order]
     new = np.ones(len(ordered), dtype=bool)
     new[1:] = np.any(ordered[1:] != ordered[:-1], axis=1)
-    group = np.cumsum(new) - 1
     weights = np.ones(len(ordered), dtype=np.int64) if counts is None else counts[order]
-    return ordered[new], np.bincount(group, weights=weights).astype(np.int64)
+    return ordered[new], np.add.reduceat(weights, np.flatnonzero(new))
+
+
+def _starts(base: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where phrases of ``length`` words begin, and the piece of each, for pieces at ``base`` of ``sizes`` words."""
+    count = np.maximum(sizes - length + 1, 0)
+    piece = np.repeat(np.arange(len(sizes)), count)
+    return base[piece] + np.arange(len(piece)) - (np.cumsum(count) - count)[piece], piece
 
 
 class Trie:
@@ -80,16 +106,20 @@ class Trie:
     Words arrive as 64-bit hashes.  The phrases of a batch become rows
     ``(lang, first, rest...)``; sorting groups each first word's subtree, and a run keeps
     one row and a count a distinct phrase.  When the runs hold ``budget`` rows they are
-    merged and spilled, subtree after subtree, for Spark to merge across tasks.
+    merged and spilled, subtree after subtree, for Spark to merge across tasks.  With
+    ``ahead`` a row ends with the word that follows the phrase, or ``END``.
     """
 
-    def __init__(self, length: int, budget: int):
-        self.length, self.budget = length, budget
+    def __init__(self, length: int, budget: int, ahead: bool = False):
+        self.length, self.budget, self.ahead = length, budget, ahead
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def phrases(self, batch: pa.RecordBatch) -> np.ndarray:
-        """Rows ``(lang, w1..wL)`` of every phrase of ``length`` words within a piece."""
+    def phrases(self, batch: pa.RecordBatch, bits: np.ndarray, size: int) -> np.ndarray:
+        """Rows ``(lang, w1..wL)`` of the phrases within a piece whose two shorter parts are in ``bits``.
+
+        The follower of ``ahead`` is kept where the shorter part that ends with it is in ``bits`` too.
+        """
         docs = batch.column("pieces")
         langs = batch.column("lang_h").to_numpy(zero_copy_only=False).astype(np.int64)
         outer = docs.offsets.to_numpy()
@@ -99,12 +129,19 @@ class Trie:
         owner = np.repeat(langs, np.diff(outer))
         sizes = np.diff(inner)
         base = inner[:-1] - inner[0]
-        count = np.maximum(sizes - self.length + 1, 0)
-        total = int(count.sum())
-        if total == 0:
-            return np.zeros((0, self.length + 1), dtype=np.int64)
-        at = np.repeat(base, count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-        return np.column_stack([np.repeat(owner, count), *[words[at + j] for j in range(self.length)]])
+        part, piece = _starts(base, sizes, self.length - 1)
+        known = np.zeros(len(words) + 2, dtype=bool)
+        known[part] = bloom_holds(bits, phrase_keys([owner[piece], *[words[part + j] for j in range(self.length - 1)]]), size)
+        at, piece = _starts(base, sizes, self.length)
+        keep = known[at] & known[at + 1]
+        at, piece = at[keep], piece[keep]
+        columns = [owner[piece], *[words[at + j] for j in range(self.length)]]
+        if self.ahead:  # known[at + 2] only if the piece goes on: from three words, at + 2 is inside the phrase
+            follows = known[at + 2]
+            after = np.full(len(at), END, dtype=np.int64)
+            after[follows] = words[at[follows] + self.length]
+            columns.append(after)
+        return np.column_stack(columns)
 
     def add(self, rows: np.ndarray) -> None:
         if len(rows):
@@ -120,7 +157,7 @@ class Trie:
             return None
         rows, counts = _runs(np.concatenate([r for r, _ in self.runs]), np.concatenate([c for _, c in self.runs]))
         self.runs, self.held = [], 0
-        names = ["lang_h", *[f"h{j}" for j in range(1, self.length + 1)]]
+        names = ["lang_h", *[f"h{j}" for j in range(1, rows.shape[1])]]
         return pa.RecordBatch.from_arrays([*[pa.array(rows[:, j]) for j in range(rows.shape[1])], pa.array(counts)],
                                           names=[*names, "f"])
 
@@ -139,34 +176,41 @@ def encode(docs: DataFrame) -> DataFrame:
     )
 
 
-def _count_level(encoded: DataFrame, length: int, bloom, size: int, spill: int) -> DataFrame:
-    """Counts ``(lang_h, h1..hL, f)`` of phrases of ``length`` words whose two shorter parts pass ``bloom``."""
+def _count_level(
+    encoded: DataFrame, length: int, bloom, size: int, spill: int, min_count: int, ahead: bool = False
+) -> list[DataFrame]:
+    """``(lang_h, h1..hL, f)`` of phrases of ``length`` words with f >= ``min_count``; ``ahead``: of one more too.
+
+    ``bloom`` holds the frequent phrases of ``length - 1`` words.
+    """
     hashes = [f"h{j}" for j in range(1, length + 1)]
+    after = f"h{length + 1}"
+    made = [*hashes, after] if ahead else hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
-        trie = Trie(length, spill)
+        trie = Trie(length, spill, ahead)
         for batch in batches:
-            rows = trie.phrases(batch)
-            if len(rows):
-                left = phrase_keys([rows[:, j] for j in range(length)])
-                right = phrase_keys([rows[:, 0], *[rows[:, j] for j in range(2, length + 1)]])
-                keep = np.ones(len(rows), dtype=bool)
-                for keys in (left, right):
-                    at = bloom_positions(keys, size)
-                    keep &= np.all((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1, axis=1)
-                trie.add(rows[keep])
+            trie.add(trie.phrases(batch, bloom.value, size))
             if trie.full():
-                out = trie.spill()
-                if out is not None:
-                    yield out
+                yield trie.spill()
         out = trie.spill()
         if out is not None:
             yield out
 
-    schema = ", ".join(["lang_h long", *[f"{h} long" for h in hashes], "f long"])
+    schema = ", ".join(["lang_h long", *[f"{h} long" for h in made], "f long"])
     runs = encoded.select("lang_h", "pieces").mapInArrow(run, schema)
-    return runs.groupBy("lang_h", *hashes).agg(F.sum("f").alias("f"))
+    total = F.sum("f").alias("f")
+    if not ahead:
+        return [stored(runs.groupBy("lang_h", *hashes).agg(total).where(F.col("f") >= min_count), f"phrases{length}")]
+    # both sums read one shuffle by the shorter phrase; it keeps ``after`` so that their shuffles are equal
+    dealt = runs.repartition("lang_h", *hashes)
+    shorter = dealt.groupBy("lang_h", *hashes).agg(F.max(after).alias(after), total).withColumn("len", F.lit(length))
+    longer = dealt.groupBy("lang_h", *made).agg(total).withColumn("len", F.lit(length + 1))
+    both = stored(shorter.unionByName(longer).where(F.col("f") >= min_count), f"phrases{length}")
+    return [
+        both.where(F.col("len") == length).drop("len", after),
+        both.where((F.col("len") == length + 1) & (F.col(after) != END)).drop("len"),
+    ]
 
 
 def _bloom(frequent: DataFrame, length: int, size: int):
@@ -190,33 +234,45 @@ def _bloom(frequent: DataFrame, length: int, size: int):
     return spark.sparkContext.broadcast(bits)
 
 
-def counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, spill: int = SPILL_ENTRIES) -> DataFrame:
-    """``(lang, phrase, len, f)`` of every phrase of 1 to ``longest`` words with f >= ``min_count``.
+def word_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The encoded texts, and ``(lang, lang_h, word, f, h1)`` of every word: texts are split once, here.
 
-    ``docs`` has ``text`` and ``lang``; null text is empty, null lang is ``und``.  Texts are
-    split once, into pieces of 64-bit word hashes; a word's hash is checked to be unique
-    among all words, so phrases are counted exactly, and turned back into words by a join
-    with the frequent words only.
+    A word's hash is checked to be unique among all words, and not ``END``.
     """
-    docs, size = docs.select("text", "lang"), BLOOM_BITS
-    encoded = stored(encode(docs), "encoded")
+    encoded = stored(encode(docs.select("text", "lang")), "encoded")
     singles = stored(
         encoded.select("lang", "lang_h", F.explode(F.flatten("words")).alias("word")).groupBy("lang", "lang_h", "word")
         .agg(F.count("*").alias("f")).withColumn("h1", F.xxhash64("word")),
         "words",
     )
-    distinct = singles.select("word", "h1").distinct()
-    if distinct.count() != distinct.select("h1").distinct().count():
+    named = singles.select("word", "h1").distinct().groupBy("h1").count()
+    if not named.where((F.col("count") > 1) | (F.col("h1") == END)).isEmpty():
         raise ValueError("two words share a 64-bit hash")
+    return encoded, singles
+
+
+def counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, spill: int = SPILL_ENTRIES) -> DataFrame:
+    """``(lang, phrase, len, f)`` of every phrase of 1 to ``longest`` words with f >= ``min_count``.
+
+    ``docs`` has ``text`` and ``lang``; null text is empty, null lang is ``und``.  Texts are
+    split once, into pieces of 64-bit word hashes; a word's hash is checked to be unique
+    among all words, so phrases are counted exactly, and turned back into words by a join
+    with the frequent words only.
+    """
+    return phrase_counts(*word_counts(docs), longest, min_count, spill)
+
+
+def phrase_counts(encoded: DataFrame, singles: DataFrame, longest: int, min_count: int, spill: int) -> DataFrame:
+    """``counts`` of the frames of ``word_counts``: two words first, then two lengths a pass."""
+    size = BLOOM_BITS
     level = singles.where(F.col("f") >= min_count)
     vocabulary = level.select("word", F.col("h1").alias("h")).distinct()
     langs = level.select("lang", "lang_h").distinct()
-    levels, bloom = [level], _bloom(level, 1, size)
-    for length in range(2, longest + 1):
-        level = stored(_count_level(encoded, length, bloom, size, spill).where(F.col("f") >= min_count), f"phrases{length}")
-        levels.append(level)
-        if length < longest:
-            bloom = _bloom(level, length, size)
+    levels = [level]
+    while len(levels) < longest:
+        length = len(levels) + 1
+        bloom = _bloom(levels[-1], length - 1, size)
+        levels += _count_level(encoded, length, bloom, size, spill, min_count, ahead=2 < length < longest)
     out = []
     for length, level in enumerate(levels, 1):
         named = level.drop("word") if length == 1 else level.join(langs, "lang_h")
@@ -230,11 +286,9 @@ def counts(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT,
     return result
 
 
-def word_totals(docs: DataFrame) -> DataFrame:
-    """``(lang, n)``: all word occurrences of a language, by built-in functions."""
-    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    n = F.size(F.regexp_extract_all(F.regexp_replace(lowered, PIECES, " "), F.lit(WORDS), F.lit(0)))
-    return docs.groupBy(F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("lang")).agg(F.sum(n).cast("long").alias("n"))
+def word_totals(singles: DataFrame) -> DataFrame:
+    """``(lang, n)``: all word occurrences of a language, the sum of its words' counts."""
+    return singles.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def collocations(docs: DataFrame, top: int = TOP, longest: int = LONGEST, min_count: int = MIN_COUNT) -> DataFrame:
@@ -248,7 +302,8 @@ def collocations(docs: DataFrame, top: int = TOP, longest: int = LONGEST, min_co
     byte order.  Null texts are empty, a null lang is ``und``; empty and very long texts,
     repeated rows and extra columns need no care; an empty table gives no rows.
     """
-    freq = stored(counts(docs, longest, min_count), "phrase_counts")
+    encoded, singles = word_counts(docs)
+    freq = stored(phrase_counts(encoded, singles, longest, min_count, SPILL_ENTRIES), "phrase_counts")
     cands = freq.where(F.col("len") >= SHORTEST).select("lang", "phrase", "len", F.col("f").alias("a"))
     words = F.split("phrase", " ")
     cuts = cands.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("len") - 1))).select(
@@ -291,7 +346,7 @@ def collocations(docs: DataFrame, top: int = TOP, longest: int = LONGEST, min_co
     kept = weakest.join(covering, ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * CONTAINED_PCT)
     )
-    kept = kept.join(word_totals(docs), "lang")
+    kept = kept.join(word_totals(singles), "lang")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     bucket = F.pmod(F.xxhash64("phrase"), F.lit(RANK_BUCKETS))
     local = Window.partitionBy("lang", bucket).orderBy(*order)
