@@ -143,3 +143,36 @@ def test_sides_that_follow_the_tables_are_never_broadcast(spark, tmp_path):
     for frame in (semantic, fields, merged):
         assert "BroadcastHashJoin" not in plan_of(frame)
     assert fields.filter("column_name = 'b' AND agg = 'max' AND label = 'L'").count() == 1000
+
+
+def stored_catalogue(spark, path):
+    """1,000 tenants with a sessions and a users table, exploded from a small stored file."""
+    spark.range(1000).write.parquet(str(path))
+    ids = spark.read.parquet(str(path)).select("id", F.explode(F.array(F.lit("fct_sessions"), F.lit("dim_users"))).alias("k"))
+    kind = F.split("k", "_")
+    name = F.concat(kind[0], F.lit("_c"), F.col("id").cast("string"), F.lit("__"), kind[1]).alias("table_name")
+    wide = F.array(*map(F.lit, ("user_id", "clicks", "impressions", "start_ts")))
+    made = ids.select(name, F.posexplode(wide).alias("ordinal_position", "column_name"))
+    kinds = F.when(F.col("column_name") == "user_id", "VARCHAR").otherwise("BIGINT").alias("data_type")
+    return catalog.semantic_tables(ids.select(name), made.select("*", kinds))
+
+
+def hashed(df):
+    plan = plan_of(df)
+    return plan.count("BroadcastHashJoin") + plan.count("ShuffledHashJoin")
+
+
+def test_model_details_hash_no_side_in_memory(spark, tmp_path):
+    semantic = stored_catalogue(spark, tmp_path / "t")
+    flat = catalog.flatten_manifest(semantic)
+    details = catalog.model_details(
+        catalog.column_metadata(catalog.column_catalog(semantic)), catalog.infer_calc_measures(flat), catalog.infer_joins(flat)
+    )
+    assert hashed(details) == 0
+    got = {r["subject"]: r for r in details.filter("tenant_slug = 'c7'").collect()}
+    assert [d["name"] for d in got["sessions"]["dimensions"]] == ["user_id", "start_ts", "start_date"]
+    assert [m["name"] for m in got["sessions"]["measures"]] == ["clicks", "impressions", "total_users"]
+    assert [c["name"] for c in got["sessions"]["calculated_measures"]] == ["ctr"]
+    assert [j["to"] for j in got["sessions"]["joins"]] == ["users"]
+    assert got["users"]["joins"] is None
+    assert details.count() == 2000

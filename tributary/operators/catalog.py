@@ -8,6 +8,7 @@ width and never by data volume.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -102,35 +103,66 @@ def star_catalog(tables: DataFrame) -> DataFrame:
 _MANIFEST = "array<struct<column_name: string, data_type: string, ordinal_position: int>>"
 
 
-def column_manifest(columns: DataFrame, by: list[str]) -> DataFrame:
-    """Per table: JSON list of its columns in order."""
-    item = F.struct("ordinal_position", "column_name", "data_type")
+def _manifest_of(items: Column) -> Column:
+    """JSON list of a table's columns in order, from a list of them."""
     ordered = F.transform(
-        F.sort_array(F.collect_list(item)),
+        F.sort_array(items),
         lambda c: F.struct(
             c["column_name"].alias("column_name"),
             c["data_type"].alias("data_type"),
             c["ordinal_position"].alias("ordinal_position"),
         ),
     )
-    return columns.groupBy(*by).agg(F.to_json(ordered).alias("semantic_manifest"))
+    return F.to_json(ordered)
+
+
+_MANIFEST_ITEM = ("ordinal_position", "column_name", "data_type")
+
+
+def column_manifest(columns: DataFrame, by: list[str]) -> DataFrame:
+    """Per table: JSON list of its columns in order."""
+    items = F.collect_list(F.struct(*_MANIFEST_ITEM))
+    return columns.groupBy(*by).agg(_manifest_of(items).alias("semantic_manifest"))
 
 
 def _follows_tables(side: DataFrame) -> DataFrame:
-    """A join side with rows for every table: never broadcast.
+    """A join side with rows for every table: never broadcast, nor hashed in memory.
 
     Built of exploded rows and lists, such a side is planned by the size of its source files,
-    a small part of its own.
+    a small part of its own; sorted sides spill.
+    """
+    return side.hint("merge")
+
+
+def _follows_overlay(side: DataFrame) -> DataFrame:
+    """A join side with a few rows per overlaid table: hashed per partition, never broadcast.
+
+    The other side has a row per column of every table, which a merge join would sort.
     """
     return side.hint("shuffle_hash")
 
 
+def _all_known(key: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in key])
+
+
 def semantic_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """One row per star table with its column manifest."""
+    """One row per star table with its column manifest; NULL when it has no columns.
+
+    Tables and columns are grouped together instead of joined: one aggregate, which spills,
+    and no side of manifests to hash or to sort.
+    """
     key = [c for c in ("table_schema", "table_name") if c in tables.columns and c in columns.columns]
-    manifests = _follows_tables(column_manifest(columns, key))
-    return star_catalog(tables).join(manifests, key, "left").select(
-        "tenant_slug", "table_type", "subject", "table_name", "semantic_manifest"
+    head = ["tenant_slug", "table_type", "subject", "table_name"]
+    stars = star_catalog(tables).select(*key, F.struct(*head).alias("_table"))
+    # an unknown key names no table
+    items = columns.filter(_all_known(key)).select(*key, F.struct(*_MANIFEST_ITEM).alias("_item"))
+    grouped = items.unionByName(stars, allowMissingColumns=True).groupBy(*key).agg(
+        F.collect_list("_item").alias("_items"), F.collect_list("_table").alias("_tables")
+    )
+    manifest = F.when(F.size("_items") > 0, _manifest_of(F.col("_items")))
+    return grouped.select(F.explode("_tables").alias("_table"), manifest.alias("semantic_manifest")).select(
+        *[f"_table.{c}" for c in head], "semantic_manifest"
     )
 
 
@@ -249,18 +281,23 @@ def infer_joins(columns: DataFrame) -> DataFrame:
     The key is the shared ``_id`` column that comes first in the dimension, else the
     alphabetically first shared column.
     """
-    usable = columns.filter(~F.col("column_name").isin(*SHARED_COLUMNS))
-    facts = usable.filter(F.col("table_type") == "fact").select(
-        "tenant_slug", "subject", "table_name", "column_name"
-    )
-    dims = usable.filter(F.col("table_type") == "dimension").select(
-        "tenant_slug",
-        F.col("subject").alias("to"),
-        F.col("table_name").alias("to_table"),
-        "column_name",
-        "ordinal_position",
+    kind = F.col("table_type")
+    target = F.struct(F.col("subject").alias("to"), F.col("table_name").alias("to_table"), "ordinal_position")
+    # the columns are read once and the dimensions that share one collected over it, so
+    # that no side has to be hashed or planned a second time
+    same = Window.partitionBy("tenant_slug", "column_name")
+    shared = (
+        columns.filter(
+            ~F.col("column_name").isin(*SHARED_COLUMNS)
+            & F.col("tenant_slug").isNotNull()
+            & kind.isin("fact", "dimension")
+        )
+        .select("tenant_slug", "table_type", "subject", "table_name", "column_name", "ordinal_position")
+        .withColumn("_targets", F.collect_list(F.when(kind == "dimension", target)).over(same))
+        .filter(kind == "fact")
+        .select("tenant_slug", "subject", "table_name", "column_name", F.explode("_targets").alias("_target"))
+        .select("tenant_slug", "subject", "table_name", "column_name", "_target.*")
     )
-    shared = facts.join(_follows_tables(dims), ["tenant_slug", "column_name"])
     is_id = F.col("column_name").endswith("_id")
     preference = F.struct(
         (~is_id).alias("no_id"),
@@ -289,9 +326,13 @@ def derived_date_name(name: Column) -> Column:
     return F.when(replaced == name, F.concat(name, F.lit("_date"))).otherwise(replaced)
 
 
+def _has_derived_date() -> Column:
+    return F.col("is_time_dimension") & (F.col("bsl_type") == "timestamp_epoch")
+
+
 def derived_dates(classified: DataFrame) -> DataFrame:
     """Catalogue rows for the derived dates of all epoch dimensions."""
-    epochs = classified.filter(F.col("is_time_dimension") & (F.col("bsl_type") == "timestamp_epoch"))
+    epochs = classified.filter(_has_derived_date())
     return epochs.select(
         "tenant_slug",
         "table_type",
@@ -309,23 +350,31 @@ def count_measure_name(name: Column) -> Column:
 
 
 def auto_count_measures(columns: DataFrame) -> DataFrame:
-    """COUNT(DISTINCT) measures for text ids of fact tables, unless the name is taken."""
-    ids = columns.filter(
+    """COUNT(DISTINCT) measures for text ids of fact tables, unless the name is taken.
+
+    Measure names are ``total_…s`` and ids end with ``_id``, so a column is an id, may take a
+    measure's name or neither: ids and takers meet in one window over the name.
+    """
+    name = F.col("column_name")
+    is_id = (
         (F.col("table_type") == "fact")
-        & F.col("column_name").endswith("_id")
+        & name.endswith("_id")
         & (F.col("data_type") == "VARCHAR")
-        & ~F.col("column_name").isin(*SHARED_COLUMNS)
-    ).select(
+        & ~name.isin(*SHARED_COLUMNS)
+    )
+    takes = name.startswith("total_") & name.endswith("s")
+    named = columns.filter(is_id | takes).select(
         "tenant_slug",
         "table_type",
         "subject",
         "table_name",
-        count_measure_name(F.col("column_name")).alias("measure_name"),
-        F.col("column_name").alias("source_column"),
+        F.when(takes, name).otherwise(count_measure_name(name)).alias("measure_name"),
+        F.when(~takes, name).alias("source_column"),
         "ordinal_position",
     )
-    taken = columns.select("tenant_slug", "table_name", F.col("column_name").alias("measure_name"))
-    return ids.join(_follows_tables(taken), ["tenant_slug", "table_name", "measure_name"], "left_anti")
+    alike = Window.partitionBy("tenant_slug", "table_name", "measure_name")
+    taken = F.max(F.col("source_column").isNull()).over(alike) & _all_known(["tenant_slug", "table_name"])
+    return named.withColumn("_taken", taken).filter(F.col("source_column").isNotNull() & ~F.col("_taken")).drop("_taken")
 
 
 # --- metadata with overlays ---------------------------------------------------------
@@ -352,7 +401,7 @@ def _with_overrides(rows: DataFrame, overlay: DataFrame | None) -> DataFrame:
         F.max(F.when(is_measure, F.col("type"))).alias("_measure_type"),
         F.max(F.when(is_measure, F.col("agg"))).alias("_agg"),
     )
-    joined = rows.join(_follows_tables(picked), key, "left")
+    joined = rows.join(_follows_overlay(picked), key, "left")
     as_dim = F.coalesce("_dim", F.lit(False))
     new_type = F.when(as_dim, F.col("_dim_type")).otherwise(F.col("_measure_type"))
     dated = as_dim & F.coalesce(F.col("_dim_type").isin(*DATE_TYPES), F.lit(False))
@@ -381,17 +430,22 @@ def column_metadata(classified: DataFrame, overlay: DataFrame | None = None, tab
         F.col("inferred_agg").alias("agg"),
         F.lit(None).cast("string").alias("source_column"),
         (F.col("ordinal_position") * 2).alias("position"),
+        _has_derived_date().alias("_dated"),
     )
     own = _with_overrides(own, overlay)
-    dates = derived_dates(classified).select(
-        *head,
-        "column_name",
+    # a column and its derived date come out of one row: the columns are not read again for the dates
+    date = F.struct(
+        derived_date_name(F.col("column_name")).alias("column_name"),
         F.lit("date").alias("bsl_type"),
         F.lit("dimension").alias("role"),
         F.lit(True).alias("is_time_dimension"),
         F.lit(None).cast("string").alias("agg"),
-        "source_column",
-        (F.col("ordinal_position") * 2 + 1).alias("position"),
+        F.col("column_name").alias("source_column"),
+        (F.col("position") + 1).alias("position"),
+    )
+    itself = F.struct("column_name", "bsl_type", "role", "is_time_dimension", "agg", "source_column", "position")
+    fields = own.select(
+        *head, F.inline(F.when(F.col("_dated"), F.array(itself, date)).otherwise(F.array(itself)))
     )
     counts = auto_count_measures(classified).select(
         *head,
@@ -403,7 +457,7 @@ def column_metadata(classified: DataFrame, overlay: DataFrame | None = None, tab
         "source_column",
         (F.col("ordinal_position") + 10_000).alias("position"),
     )
-    fields = own.unionByName(dates).unionByName(counts)
+    fields = fields.unionByName(counts)
     label = F.initcap(F.replace("subject", F.lit("_"), F.lit(" ")))
     description = F.concat(F.initcap("table_type"), F.lit(": "), F.col("subject"))
     if tables is None:
@@ -413,7 +467,7 @@ def column_metadata(classified: DataFrame, overlay: DataFrame | None = None, tab
     )
     empty = F.lit("")
     return (
-        fields.join(_follows_tables(named), ["tenant_slug", "table_name"], "left")
+        fields.join(_follows_overlay(named), ["tenant_slug", "table_name"], "left")
         .withColumns(
             {
                 "label": F.coalesce(F.nullif("_label", empty), label),
@@ -428,7 +482,7 @@ def merge_calc_measures(inferred: DataFrame, overlay: DataFrame) -> DataFrame:
     """Inferred calculated measures plus overlay ones whose name is new on the table."""
     key = ["tenant_slug", "table_name", "name"]
     subjects = F.regexp_extract("table_name", "__(.+)$", 1)
-    extra = overlay.join(inferred.select(*key), key, "left_anti").withColumn("subject", subjects)
+    extra = overlay.join(_follows_tables(inferred.select(*key)), key, "left_anti").withColumn("subject", subjects)
     return inferred.unionByName(extra.select(inferred.columns))
 
 
@@ -456,22 +510,31 @@ def join_cardinality(joins: DataFrame) -> DataFrame:
 def list_models(metadata: DataFrame, joins: DataFrame) -> DataFrame:
     """Per tenant and model: label, description, field counts, whether it has joins."""
     is_dim, is_measure = F.col("role") == "dimension", F.col("role") == "measure"
-    counted = metadata.groupBy("tenant_slug", "subject").agg(
-        F.max("label").alias("label"),
-        F.max("description").alias("description"),
-        F.count_if(is_dim).alias("dimension_count"),
-        F.count_if(is_measure).alias("measure_count"),
+    key = ["tenant_slug", "subject"]
+    # counted per text first: the maximum of a text sorts its rows, counts are hashed
+    counted = metadata.groupBy(*key, "label", "description").agg(
+        F.count_if(is_dim).alias("dimension_count"), F.count_if(is_measure).alias("measure_count")
     )
-    joined = joins.select("tenant_slug", "subject").distinct().withColumn("has_joins", F.lit(True))
-    return counted.join(joined, ["tenant_slug", "subject"], "left").withColumn(
-        "has_joins", F.coalesce("has_joins", F.lit(False))
+    joined = joins.filter(_all_known(key)).select(*key).distinct().withColumn("has_joins", F.lit(True))
+    return (
+        counted.unionByName(joined, allowMissingColumns=True)
+        .groupBy(*key)
+        .agg(
+            F.max("label").alias("label"),
+            F.max("description").alias("description"),
+            F.sum("dimension_count").alias("dimension_count"),
+            F.sum("measure_count").alias("measure_count"),
+            F.coalesce(F.max("has_joins"), F.lit(False)).alias("has_joins"),
+        )
+        .filter(F.col("dimension_count").isNotNull())
     )
 
 
-def _listed(condition: Column, *fields: str) -> Column:
-    item = F.struct("position", *[F.col(f) for f in fields])
-    ordered = F.sort_array(F.collect_list(F.when(condition, item)))
-    return F.transform(ordered, lambda x: x.dropFields("position"))
+_FIELD = ("name", "type")
+
+
+def _listed(item: str) -> Column:
+    return F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("position"))
 
 
 def model_details(
@@ -482,22 +545,49 @@ def model_details(
         metadata, calcs, joins = (d.filter(F.col("tenant_slug") == tenant) for d in (metadata, calcs, joins))
     if model is not None:
         metadata, calcs, joins = (d.filter(F.col("subject") == model) for d in (metadata, calcs, joins))
-    name = F.col("column_name").alias("name")
-    base = metadata.select("*", name, F.col("bsl_type").alias("type"))
     key = ["tenant_slug", "subject"]
-    fields = base.groupBy(*key).agg(
+    pair = [c for c in ("to", "type", "left_on", "right_on", "cardinality") if c in joins.columns]
+    dimension = F.struct("position", *_FIELD, "is_time_dimension")
+    measure = F.struct("position", *_FIELD, "agg", "source_column")
+    named = metadata.withColumns({"name": F.col("column_name"), "type": F.col("bsl_type")})
+    # fields, calculated measures and joins are grouped together: no list is sorted for a join
+    parts = (
+        named.select(
+            *key,
+            "table_name",
+            "label",
+            "description",
+            F.when(F.col("role") == "dimension", dimension).alias("_dimension"),
+            F.when(F.col("role") == "measure", measure).alias("_measure"),
+            F.lit(True).alias("_field"),
+        )
+        .unionByName(calcs.select(*key, F.struct("name", "label", "sql", "format").alias("_calc")), allowMissingColumns=True)
+        .unionByName(joins.select(*key, F.struct(*pair).alias("_join")), allowMissingColumns=True)
+    )
+    grouped = parts.groupBy(*key).agg(
         F.max("table_name").alias("table_name"),
         F.max("label").alias("label"),
         F.max("description").alias("description"),
-        _listed(F.col("role") == "dimension", "name", "type", "is_time_dimension").alias("dimensions"),
-        _listed(F.col("role") == "measure", "name", "type", "agg", "source_column").alias("measures"),
+        _listed("_dimension").alias("dimensions"),
+        _listed("_measure").alias("measures"),
+        F.sort_array(F.collect_list("_calc")).alias("_calcs"),
+        F.sort_array(F.collect_list("_join")).alias("_joins"),
+        F.max("_field").alias("_field"),
     )
-    calc_lists = calcs.groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.struct("name", "label", "sql", "format"))).alias("calculated_measures")
+
+    def known(items: str) -> Column:
+        return F.when(_all_known(key) & (F.size(items) > 0), F.col(items))
+
+    return grouped.filter("_field").select(
+        *key,
+        "table_name",
+        "label",
+        "description",
+        "dimensions",
+        "measures",
+        known("_calcs").alias("calculated_measures"),
+        known("_joins").alias("joins"),
     )
-    pair = [c for c in ("to", "type", "left_on", "right_on", "cardinality") if c in joins.columns]
-    join_lists = joins.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*pair))).alias("joins"))
-    return fields.join(calc_lists, key, "left").join(join_lists, key, "left")
 
 
 def require_model(details: DataFrame, model: str) -> DataFrame:
