@@ -176,3 +176,13 @@ def test_model_details_hash_no_side_in_memory(spark, tmp_path):
     assert [j["to"] for j in got["sessions"]["joins"]] == ["users"]
     assert got["users"]["joins"] is None
     assert details.count() == 2000
+
+
+def test_count_measures_and_dates_hash_no_side_in_memory(spark, tmp_path):
+    fields = catalog.column_metadata(catalog.column_catalog(stored_catalogue(spark, tmp_path / "t")))
+    assert hashed(fields) == 0
+    got = rows(fields.filter("tenant_slug = 'c7' AND subject = 'sessions'"), "column_name", "role", "source_column", "position")
+    assert got == [
+        ("clicks", "measure", None, 2), ("impressions", "measure", None, 4), ("start_date", "dimension", "start_ts", 7),
+        ("start_ts", "dimension", None, 6), ("total_users", "measure", "user_id", 10_000), ("user_id", "dimension", None, 0),
+    ]
