@@ -186,3 +186,19 @@ def test_count_measures_and_dates_hash_no_side_in_memory(spark, tmp_path):
         ("clicks", "measure", None, 2), ("impressions", "measure", None, 4), ("start_date", "dimension", "start_ts", 7),
         ("start_ts", "dimension", None, 6), ("total_users", "measure", "user_id", 10_000), ("user_id", "dimension", None, 0),
     ]
+
+
+def test_only_overlays_are_hashed(spark, tmp_path):
+    """Of the sides of overlaid metadata only the overlay's columns and its labels."""
+    semantic = stored_catalogue(spark, tmp_path / "t")
+    chosen = [("c7", "fct_c7__sessions")]
+    overlay = local_frame(spark, [(*c, "start_ts", "dimension", "timestamp", None) for c in chosen], catalog.OVERLAY_COLUMNS)
+    labels = local_frame(spark, [(*c, "Visits", "") for c in chosen], catalog.OVERLAY_TABLES)
+    fields = catalog.column_metadata(catalog.column_catalog(semantic), overlay, labels)
+    assert hashed(fields) == 2
+    picked = fields.filter("tenant_slug IN ('c7', 'c8') AND source_column IS NOT NULL OR column_name = 'start_ts'")
+    got = rows(picked.filter("tenant_slug IN ('c7', 'c8') AND subject = 'sessions'"), "tenant_slug", "column_name", "bsl_type", "label")
+    assert got == [
+        ("c7", "start_date", "date", "Visits"), ("c7", "start_ts", "timestamp", "Visits"), ("c7", "total_users", "number", "Visits"),
+        ("c8", "start_date", "date", "Sessions"), ("c8", "start_ts", "timestamp_epoch", "Sessions"), ("c8", "total_users", "number", "Sessions"),
+    ]
