@@ -202,3 +202,24 @@ def test_only_overlays_are_hashed(spark, tmp_path):
         ("c7", "start_date", "date", "Visits"), ("c7", "start_ts", "timestamp", "Visits"), ("c7", "total_users", "number", "Visits"),
         ("c8", "start_date", "date", "Sessions"), ("c8", "start_ts", "timestamp_epoch", "Sessions"), ("c8", "total_users", "number", "Sessions"),
     ]
+
+
+def test_listed_models_hash_no_side_and_need_no_sort_of_fields(spark, tmp_path):
+    semantic = stored_catalogue(spark, tmp_path / "t")
+    flat = catalog.flatten_manifest(semantic)
+    listed = catalog.list_models(catalog.column_metadata(catalog.column_catalog(semantic)), catalog.infer_joins(flat))
+    assert hashed(listed) == 0
+    assert rows(listed.filter("tenant_slug = 'c7'")) == [
+        ("c7", "sessions", "Sessions", "Fact: sessions", 3, 3, True), ("c7", "users", "Users", "Dimension: users", 3, 2, False),
+    ]
+    assert listed.count() == 2000
+
+
+def test_a_model_without_subject_has_no_joins(spark):
+    fields = local_frame(
+        spark, [("a", None, "l", "d", "measure"), ("a", "s", None, "d", "dimension")],
+        "tenant_slug string, subject string, label string, description string, role string",
+    )
+    joins = local_frame(spark, [("a", None), ("a", "s"), ("b", "s")], "tenant_slug string, subject string")
+    got = rows(catalog.list_models(fields, joins))
+    assert got == [("a", "s", None, "d", 1, 0, True), ("a", None, "l", "d", 0, 1, False)]
