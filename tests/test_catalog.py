@@ -223,3 +223,18 @@ def test_a_model_without_subject_has_no_joins(spark):
     joins = local_frame(spark, [("a", None), ("a", "s"), ("b", "s")], "tenant_slug string, subject string")
     got = rows(catalog.list_models(fields, joins))
     assert got == [("a", "s", None, "d", 1, 0, True), ("a", None, "l", "d", 0, 1, False)]
+
+
+def test_listings_hash_no_side_in_memory(spark, tmp_path):
+    fields = catalog.column_metadata(catalog.column_catalog(stored_catalogue(spark, tmp_path / "t")))
+    dims, measures = catalog.dimension_listing(fields), catalog.measure_listing(fields)
+    assert hashed(dims) + hashed(measures) == 0
+    assert (dims.count(), measures.count()) == (6000, 5000)
+
+
+def test_names_are_taken_by_columns_of_the_same_known_table_only(spark):
+    ids = [("a", "fact", "s", "fct_a__s", "x_id", "VARCHAR", 1), (None, "fact", "s", "f", "x_id", "VARCHAR", 1)]
+    takers = [("a", "fact", "s", "fct_a__t", "total_xs", "BIGINT", 2), (None, "fact", "s", "f", "total_xs", "BIGINT", 2)]
+    made = local_frame(spark, [*ids, *ids, *takers], COLUMNS)
+    got = rows(catalog.auto_count_measures(made), "tenant_slug", "measure_name", "source_column")
+    assert got == [("a", "total_xs", "x_id")] * 2 + [(None, "total_xs", "x_id")] * 2
