@@ -238,3 +238,28 @@ def test_names_are_taken_by_columns_of_the_same_known_table_only(spark):
     made = local_frame(spark, [*ids, *ids, *takers], COLUMNS)
     got = rows(catalog.auto_count_measures(made), "tenant_slug", "measure_name", "source_column")
     assert got == [("a", "total_xs", "x_id")] * 2 + [(None, "total_xs", "x_id")] * 2
+
+
+def test_merged_joins_and_measures_hash_no_side_in_memory(spark, tmp_path):
+    flat = catalog.flatten_manifest(stored_catalogue(spark, tmp_path / "t"))
+    table = ("c7", "fct_c7__sessions")
+    calcs = local_frame(spark, [(*table, n, n, "SUM(clicks)", "number") for n in ("ctr", "extra")], catalog.OVERLAY_CALCS)
+    joins = local_frame(spark, [(*table, "dim_c7__users", "left", "other_id", "other_id")], catalog.OVERLAY_JOINS)
+    merged = catalog.merge_joins(catalog.infer_joins(flat), joins)
+    measures = catalog.merge_calc_measures(catalog.infer_calc_measures(flat), calcs)
+    assert hashed(merged) + hashed(measures) == 0
+    assert rows(merged.filter("tenant_slug IN ('c7', 'c8')"), "tenant_slug", "to", "left_on") == [
+        ("c7", "users", "other_id"), ("c8", "users", "user_id"),
+    ]
+    assert rows(measures.filter("tenant_slug = 'c7'"), "subject", "name") == [("sessions", "ctr"), ("sessions", "extra"), ("users", "ctr")]
+
+
+def test_unknown_names_meet_no_manifest_and_no_join(spark):
+    tables = local_frame(spark, [(None, "fct_a__s"), ("m", "fct_b__s"), ("m", "fct_b__s")], "table_schema string, table_name string")
+    shape = "table_schema string, table_name string, column_name string, data_type string, ordinal_position int"
+    made = [(None, "fct_a__s", "x", "VARCHAR", 1), ("m", "fct_b__s", "x", "VARCHAR", 1), ("m", None, "x", "VARCHAR", 1)]
+    got = rows(catalog.semantic_tables(tables, local_frame(spark, made, shape)), "tenant_slug", "semantic_manifest")
+    one = '[{"column_name":"x","data_type":"VARCHAR","ordinal_position":1}]'
+    assert got == [("a", None), ("b", one), ("b", one)] or got == [("b", one), ("b", one), ("a", None)]
+    flat = local_frame(spark, [(None, k, s, t, "x", "VARCHAR", 1) for k, s, t in (("fact", "s", "f"), ("dimension", "d", "d"))], COLUMNS)
+    assert catalog.infer_joins(flat).count() == 0

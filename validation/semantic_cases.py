@@ -292,9 +292,8 @@ def sem_19_rest(spark, sf):
     columns = star_columns(spark, sf)
     joins = catalog.merge_joins(catalog.infer_joins(columns), extra_joins)
     inferred = catalog.infer_calc_measures(columns)
-    calcs = catalog.merge_calc_measures(inferred, extra_calcs).join(
-        inferred.select("tenant_slug", "table_name", "name"), ["tenant_slug", "table_name", "name"], "left_anti"
-    )
+    known = inferred.select("tenant_slug", "table_name", "name").hint("merge")
+    calcs = catalog.merge_calc_measures(inferred, extra_calcs).join(known, ["tenant_slug", "table_name", "name"], "left_anti")
     return joins.select("tenant_slug", "subject", F.col("to").alias("name"), F.col("left_on").alias("detail")).unionByName(
         calcs.select("tenant_slug", "subject", "name", F.col("format").alias("detail"))
     )
