@@ -134,3 +134,16 @@ def test_a_push_builds_each_payload_once(spark):
     assert built.value == 2 * 40
     assert len(stored(spark, path)) == 40
     assert hub_log.Store(spark, path).names(hub_log.STAGING) == []
+
+
+def bytes_below(spark, path):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+def test_index_files_follow_their_keys(spark):
+    path = scratch_path(spark, "hub")
+    hub.push_into(spark, path, packed(spark, payloads(3000)))
+    index = f"{path}/{hub_log.INDEX}"
+    assert spark.read.parquet(index).count() == 3000
+    assert bytes_below(spark, index) < 100_000 * 16**hub_log.PREFIX

@@ -36,6 +36,8 @@ from tributary.sources.sinks import HUB_PARTITIONS, read_hub
 #: Hex characters of a digest that name its index bucket (16 ** PREFIX buckets); distinct
 #: digests of a batch up to which they are also pushed to the index scan; commit attempts.
 PREFIX, LITERAL_DIGESTS, ATTEMPTS = 2, 2000, 50
+#: Codec of rows and keys: half a payload is names, half a hex digest its alphabet.
+CODEC = "zstd"
 INDEX, COMMITS, STAGING, PUBLISHED = "_digests", "_commits", "_staging", "_published"
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
@@ -149,12 +151,16 @@ def roll_forward(store: Store) -> None:
 
 
 def write_index(keys: DataFrame, path: str) -> None:
+    """Append the distinct keys; they are dealt by bucket before copies go, in one shuffle."""
     (
         keys.withColumn("prefix", bucket())
         .repartition("prefix")
+        .distinct()
         .sortWithinPartitions("prefix", HUB_DIGEST)
         .write.mode("append")
+        .option("compression", CODEC)
         .option(f"parquet.bloom.filter.enabled#{HUB_DIGEST}", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")  # as large as its keys need, not 1 MB a file
         .partitionBy("prefix")
         .parquet(path)
     )
@@ -195,7 +201,7 @@ def _backfill(store: Store, spark: SparkSession) -> None:
     data = [n for n in store.names() if not n.startswith(("_", "."))]
     if not data:
         return
-    keys = read_hub(spark, store.root, digest=True).select("tenant_slug", "source_platform", HUB_DIGEST).distinct()
+    keys = read_hub(spark, store.root, digest=True).select("tenant_slug", "source_platform", HUB_DIGEST)
     write_index(keys, f"{store.root}/{INDEX}")
 
 
@@ -214,6 +220,10 @@ def _few_digests(rows: DataFrame, shape: list) -> list | None:
     return [r[0] for r in named] if len(named) <= LITERAL_DIGESTS else None
 
 
+def _ordered(prefixes: set) -> list:
+    return sorted(prefixes, key=lambda v: (v is None, v or ""))
+
+
 def prepare(spark: SparkSession, path: str, batch: DataFrame) -> Pending:
     """Stage the rows of ``batch`` that the hub, as of its latest commit, does not hold."""
     from tributary.operators.hub import push, with_digest
@@ -225,22 +235,30 @@ def prepare(spark: SparkSession, path: str, batch: DataFrame) -> Pending:
     batch = with_digest(batch)
     token = uuid.uuid4().hex
     staged = f"{store.root}/{STAGING}/{token}"
-    # the batch is read several times below and its payloads are dear: they are built once
-    batch.write.mode("errorifexists").parquet(f"{staged}/batch")
-    rows = spark.read.schema(batch.schema).parquet(f"{staged}/batch")
-    # buckets and (tenant, platform) pairs of a batch: at most 16 ** PREFIX and few
-    shape = rows.groupBy(bucket().alias("p"), *HUB_PARTITIONS).agg(F.approx_count_distinct(HUB_DIGEST).alias("n")).collect()
-    prefixes = sorted({r["p"] for r in shape}, key=lambda v: (v is None, v or ""))
-    pairs = sorted({(r[1], r[2]) for r in shape}, key=repr)
-    fresh = push(index_keys(spark, path, prefixes, _few_digests(rows, shape)), rows)
+    first = not store.names(INDEX)
+    if first:
+        # nothing is stored: every row is new and is written once, to the place it is moved from
+        pairs = {tuple(r) for r in batch.select(*HUB_PARTITIONS).distinct().collect()}
+        fresh = batch
+    else:
+        # the batch is read several times below and its payloads are dear: they are built once
+        batch.write.mode("errorifexists").option("compression", CODEC).parquet(f"{staged}/batch")
+        rows = spark.read.schema(batch.schema).parquet(f"{staged}/batch")
+        # buckets and (tenant, platform) pairs of a batch: at most 16 ** PREFIX and few
+        shape = rows.groupBy(bucket().alias("p"), *HUB_PARTITIONS).agg(F.approx_count_distinct(HUB_DIGEST).alias("n")).collect()
+        prefixes, pairs = _ordered({r["p"] for r in shape}), {(r[1], r[2]) for r in shape}
+        fresh = push(index_keys(spark, path, prefixes, _few_digests(rows, shape)), rows)
     contract = [*HUB.fieldNames(), HUB_DIGEST]
     fresh = fresh.select(*contract, *[c for c in fresh.columns if c not in contract])
     if len(pairs) > 1:  # large tenants are split over tasks, small ones merged
         fresh = fresh.hint("rebalance", *map(F.col, HUB_PARTITIONS))
-    fresh.write.mode("errorifexists").partitionBy(*HUB_PARTITIONS).parquet(f"{staged}/data")
+    fresh.write.mode("errorifexists").option("compression", CODEC).partitionBy(*HUB_PARTITIONS).parquet(f"{staged}/data")
     store.fs.delete(store.path(STAGING, token, "batch"), True)
     written = spark.read.schema(fresh.schema).parquet(f"{staged}/data")
-    write_index(written.select("tenant_slug", "source_platform", HUB_DIGEST).distinct(), f"{staged}/index")
+    if first:
+        prefixes = _ordered({r[0] for r in written.select(bucket()).distinct().collect()})
+    write_index(written.select("tenant_slug", "source_platform", HUB_DIGEST), f"{staged}/index")
+    pairs = sorted(pairs, key=repr)
     return Pending(path, batch, version, token, prefixes, [list(p) for p in pairs])
 
 
