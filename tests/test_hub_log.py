@@ -147,3 +147,18 @@ def test_index_files_follow_their_keys(spark):
     index = f"{path}/{hub_log.INDEX}"
     assert spark.read.parquet(index).count() == 3000
     assert bytes_below(spark, index) < 100_000 * 16**hub_log.PREFIX
+
+
+def test_a_first_push_writes_its_rows_once(spark, monkeypatch):
+    """Nothing is stored, so nothing is compared; copies and unknown tenants are kept."""
+    path = scratch_path(spark, "hub")
+    batch = packed(spark, ['{"a":1}', '{"a":1}', None]).unionByName(packed(spark, ['{"a":2}'], tenant=None))
+    with monkeypatch.context() as patched:
+        patched.setattr(hub, "push", None)
+        assert hub.push_into(spark, path, batch) == 1
+    want = rows(batch, "tenant_slug", "raw_data_payload")
+    assert stored(spark, path) == want
+    assert spark.read.parquet(f"{path}/{hub_log.INDEX}").count() == 3
+    assert not hub_log.Store(spark, path).names(hub_log.STAGING)
+    hub.push_into(spark, path, batch)
+    assert stored(spark, path) == want
